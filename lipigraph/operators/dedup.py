@@ -1,0 +1,123 @@
+"""Problem 3: records that differ in layout alone, collapsed to one with the number of its copies.
+
+Records get a canonical key: words folded to one case, without punctuation, with single spaces; fields `label: value` in
+the order of their text. The keys are range-partitioned together with the id, so a group of any size spreads over as many
+partitions as its rows need; each partition is sorted externally by Spark and scanned once, comparing full keys of
+neighbours. Runs that touch a partition's border are completed by a small aggregate over those runs alone.
+
+Defined results: null texts are equal to null texts alone and count as copies of each other; null ids can't be kept or
+copied and are left out; empty texts are a group like others; texts are compared whole; of rows with one id and key the
+repeats count as copies in n_copies, and no row pairs an id with itself; columns beside those named aren't touched.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from lipigraph.session import stable
+
+#: A field: a label of few words, a colon, its value, up to a separator or the end of its line.
+SEPARATOR = r"\s*(?:[;|\n\r•]|\s/\s|,\s+(?=[^:;,|\n]{1,40}:\s))+\s*"
+FIELD = r"^[^:;|\n]{1,40}:.*\S"
+
+
+def plain_words(text: Column) -> Column:
+    """Words of one case with single spaces between them; punctuation counts as space."""
+    low = F.lower(F.upper(text))
+    spaced = F.regexp_replace(low, r"[\s\p{Z}\p{Cc}]+", " ")
+    bare = F.regexp_replace(spaced, r"\p{P}+", " ")
+    return F.trim(F.regexp_replace(bare, r" +", " "))
+
+
+def canonical(text: Column) -> Column:
+    """The key of a text: its words, or its fields in the order of their words where every part is a field."""
+    parts = F.filter(F.split(F.trim(text), SEPARATOR), lambda x: F.length(F.trim(x)) > 0)
+    # A quotation mark or bracket around the whole belongs to no field.
+    bare = F.transform(parts, lambda x: F.regexp_replace(x, r"^[\s\"'“”‘’(\[{]+", ""))
+    fields = (F.size(bare) > 1) & F.forall(bare, lambda x: x.rlike(FIELD))
+    # The separator between fields can't occur in a key of words.
+    return F.when(fields, F.array_join(F.array_sort(F.transform(bare, lambda x: field_key(x))), "\u0001")).otherwise(plain_words(text))
+
+
+def field_key(part: Column) -> Column:
+    at = F.instr(part, ":")
+    return F.concat(plain_words(part.substr(F.lit(1), at - 1)), F.lit("\u0002"), plain_words(part.substr(at + 1, F.length(part))))
+
+
+SCOPE = ("source_lang", "target_lang", "domain", "subdomain")
+TEXTS = ("source_text", "target_text")
+
+
+def keyed(records: DataFrame, id_column: str = "id", scope: tuple[str, ...] = SCOPE, texts: tuple[str, ...] = TEXTS) -> DataFrame:
+    """(id, key): the full key, scope and texts apart, null apart from empty."""
+    part = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("~"))
+    key = F.concat_ws("\u0003", *(part(F.col(c).cast("string")) for c in scope), *(part(canonical(F.col(c).cast("string"))) for c in texts))
+    return records.select(F.col(id_column).cast("string").alias("id"), key.alias("key")).where(F.col("id").isNotNull())
+
+
+def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key and id, with the first id of their run; the runs at both borders of the partition keep their key."""
+    key: str | None = None
+    first: str | None = None
+    opening = True
+    held: pa.RecordBatch | None = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        ids, keys = b.column(0), b.column(1)
+        n = b.num_rows
+        change = [True] * n if n == 1 else [True, *pc.not_equal(keys.slice(1), keys.slice(0, n - 1)).to_pylist()]
+        change[0] = keys[0].as_py() != key
+        # The last run of the batch before wasn't the partition's last if this one begins with another key.
+        if held is not None:
+            yield _border(held, False) if change[0] else _border(held, True)
+        firsts, runs_open = [], []
+        id_list = ids.to_pylist()
+        for i, new in enumerate(change):
+            if new:
+                opening = key is None
+                first = id_list[i]
+                key = "" if i else keys[0].as_py()
+            firsts.append(first)
+            runs_open.append(opening)
+        key = keys[n - 1].as_py()
+        held = pa.RecordBatch.from_arrays([ids, keys, pa.array(firsts, pa.string()), pa.array(runs_open, pa.bool_())], names=["id", "key", "first", "open"])
+    if held is not None:
+        yield _border(held, True)
+
+
+def _border(b: pa.RecordBatch, last_open: bool) -> pa.RecordBatch:
+    """Keeps the key of rows whose run may go on in another partition: the partition's first run, and the last of the batch where it goes on or ends the partition."""
+    keys, is_open = b.column(1), b.column(3)
+    if last_open:
+        is_open = pc.or_(is_open, pc.equal(keys, keys[b.num_rows - 1]))
+    kept = pc.if_else(is_open, keys, pa.scalar(None, pa.string()))
+    return pa.RecordBatch.from_arrays([b.column(0), b.column(2), kept], names=["id", "first", "key"])
+
+
+def runs(records: DataFrame, **columns) -> DataFrame:
+    """(id, keep): each record with the smallest id of its group."""
+    rows = keyed(records, **columns)
+    n = max(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    ordered = rows.repartitionByRange(n, "key", "id").sortWithinPartitions("key", "id")
+    scanned = stable(ordered.mapInArrow(scan, "id string, first string, key string"))
+    # At most two runs of a partition touch its borders, so this aggregate has at most that many groups; Spark combines it before the shuffle.
+    border = scanned.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("first").alias("least"))
+    inner = scanned.where(F.col("key").isNull()).select("id", F.col("first").alias("keep"))
+    outer = scanned.where(F.col("key").isNotNull()).join(F.broadcast(border), "key").select("id", F.col("least").alias("keep"))
+    return inner.unionByName(outer)
+
+
+def copies(records: DataFrame, **columns) -> DataFrame:
+    """(keep_id, copy_id): each id of a group beside the smallest one."""
+    return runs(records, **columns).where("id > keep").select(F.col("keep").alias("keep_id"), F.col("id").alias("copy_id")).distinct()
+
+
+def representatives(records: DataFrame, **columns) -> DataFrame:
+    """(keep_id, n_copies): one record of each group with the number of its rows."""
+    return runs(records, **columns).groupBy(F.col("keep").alias("keep_id")).agg(F.count(F.lit(1)).alias("n_copies"))

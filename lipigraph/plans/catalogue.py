@@ -2,5 +2,21 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+
+from lipigraph.operators import dedup
+from lipigraph.session import table
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Copies of memory entries beside the one that is kept."""
+    return dedup.copies(table(spark, d, "memory_entries"))
+
+
+def p3_representatives(spark: SparkSession, d: str) -> DataFrame:
+    """One memory entry of each group of copies, with their number."""
+    return dedup.representatives(table(spark, d, "memory_entries"))
+
+
+QUERIES: dict = {"p3_found": p3_found, "p3_representatives": p3_representatives}
 ORACLE: dict[str, str] = {}

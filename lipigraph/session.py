@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,7 +27,22 @@ def local_session(cores: int | str = 8, partitions: int = 8) -> SparkSession:
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the workers, once a context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_lipigraph_shipped", False):
+        return
+    root = Path(__file__).parent
+    at = Path(tempfile.mkdtemp(prefix="lipigraph-")) / "lipigraph-package.zip"
+    with zipfile.ZipFile(at, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, Path(root.name) / p.relative_to(root))
+    sc.addPyFile(str(at))
+    sc._lipigraph_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
