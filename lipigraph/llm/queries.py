@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lipigraph.llm import langid, lookalike, pairs, pii
+from lipigraph.llm import langid, leakage, lookalike, mixing, pairs, pii, safety
 from lipigraph.session import spread, table
 
 PII_FIELDS = [("segments", "source_text"), ("translations", "approved_text"), ("review_events", "after_text")]
@@ -82,5 +82,44 @@ def p5_consistent(spark: SparkSession, d: str) -> DataFrame:
     return _consistent(spark, d, False).select("field_name", "row_id", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_defects": p2_defects, "p4_found": p4_found, "p4_confidence": p4_confidence, "p5_found": p5_found, "p5_consistent": p5_consistent}
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that contain an evaluation item or a passage of it."""
+    return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The mixture: documents with the number of times each is taken."""
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual share of each source."""
+    targets = table(spark, d, "mix_targets")
+    return mixing.shares(mixing.mix(table(spark, d, "documents"), targets), targets)
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    return safety.score_documents(documents, safety.fit(documents, table(spark, d, "safety_labels")))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with abusive, hateful or sexual language."""
+    return _scored(spark, d).where("flagged").select("doc_id").distinct()
+
+
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The score of every document."""
+    return _scored(spark, d).select("doc_id", F.round("score", 4).alias("score"), "flagged")
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    """The rate of harmful documents of every source."""
+    return safety.rates(_scored(spark, d))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p1_found, p1_redacted, p2_found, p2_defects, p4_found, p4_confidence, p5_found, p5_consistent, p6_found, p7_mix, p7_shares, p8_found, p8_scores, p8_rates)
+}
 ORACLE: dict[str, str] = {}
