@@ -1,12 +1,48 @@
-"""Every query of the core, by name, with its SQL."""
+"""Every query of the core, by name, with the SQL it is checked against where SQL can say it."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lipigraph.operators import dedup
+from lipigraph.functions import entities as E
+from lipigraph.functions import rules as R
+from lipigraph.functions import text as T
+from lipigraph.operators import dedup, feedback, joins, language, metrics, regions, review
+from lipigraph.operators.joins import SCOPE
+from lipigraph.sources import segmenters, sinks
+from lipigraph.streaming import progress
 from lipigraph.session import table
 
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str = "") -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+# Parts of the SQL side.
+SPACE = r"[\t\n\v\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+ONCE = "(SELECT * FROM review_events QUALIFY row_number() OVER (PARTITION BY id ORDER BY created_at) = 1)"
+EFFECTIVE = "trim(coalesce(nullif(approved_text, ''), candidate_text, ''))"
+SCOPED = """scoped AS (SELECT s.*, d.source_lang, d.target_lang, d.domain, coalesce(nullif(trim(d.subdomain), ''), '__none__') AS subdomain
+  FROM segments s JOIN document_summary d ON s.document_id = d.id)"""
+ACTIVE = """active AS (SELECT * FROM memory_entries WHERE is_active
+  QUALIFY row_number() OVER (PARTITION BY source_lang, target_lang, domain, subdomain, normalized_source ORDER BY coalesce(approved_at, TIMESTAMP '1970-01-01') DESC, id DESC) = 1)"""
+STRUCTURAL = r"""CASE WHEN source_text IS NULL OR regexp_matches(source_text, '(^|[^\p{L}\p{N}_])(\p{Nd}{4}[-/]\p{Nd}{1,2}[-/]\p{Nd}{1,2}|\p{Nd}{1,2}[-/]\p{Nd}{1,2}[-/]\p{Nd}{2,4})($|[^\p{L}\p{N}_])') THEN NULL
+  WHEN regexp_matches(trim(source_text), '^(#\p{Nd}+|\p{Nd}+([.,:/-]\p{Nd}+)*)$') THEN translate(trim(source_text), '0123456789', '०१२३४५६७८९')
+  WHEN regexp_matches(trim(source_text), '^[ivxlcdmIVXLCDM]{1,8}$') OR regexp_matches(trim(source_text), '^[•\-–—]$') OR regexp_matches(trim(source_text), '^[.·•\-–—\s]{3,}$') THEN trim(source_text) END"""
+
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Copies of memory entries beside the one that is kept."""
@@ -18,5 +54,367 @@ def p3_representatives(spark: SparkSession, d: str) -> DataFrame:
     return dedup.representatives(table(spark, d, "memory_entries"))
 
 
-QUERIES: dict = {"p3_found": p3_found, "p3_representatives": p3_representatives}
-ORACLE: dict[str, str] = {}
+QUERIES |= {"p3_found": p3_found, "p3_representatives": p3_representatives}
+
+
+def _scoped(spark: SparkSession, d: str) -> DataFrame:
+    return joins.scoped(table(spark, d, "segments"), table(spark, d, "document_summary"))
+
+
+@query(f"""WITH t AS (SELECT segment_id, status AS t_status, {EFFECTIVE} AS effective, len(risk_reasons) AS n_reasons FROM translations)
+SELECT document_id, count(*) AS total, count(*) FILTER (status = 'approved') AS approved, count(*) FILTER (t_status = 'memory_applied') AS memory_reused,
+  sum(CASE WHEN coalesce(effective, '') <> '' THEN coalesce(len(protected_entities), 0) ELSE 0 END)::BIGINT AS protected_total,
+  count(*) FILTER (status <> 'approved' AND n_reasons > 0) AS unresolved
+FROM segments LEFT JOIN t ON segment_id = id GROUP BY document_id""")
+def trust_summary(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.trust_summary(table(spark, d, "segments"), table(spark, d, "translations"), kept=False)
+
+
+@query()
+def trust_summary_preserved(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.trust_summary(table(spark, d, "segments"), table(spark, d, "translations"))
+
+
+@query("""SELECT document_id, count(*) AS segments, count(*) FILTER (s.status = 'approved') AS approved, count(*) FILTER (s.status = 'needs_review') AS needs_review,
+  count(*) FILTER (s.status NOT IN ('approved', 'needs_review')) AS pending, count(*) FILTER (t.status = 'memory_applied') AS memory_applied
+FROM segments s LEFT JOIN translations t ON t.segment_id = s.id GROUP BY document_id""")
+def document_counts(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.document_counts(table(spark, d, "segments"), table(spark, d, "translations"))
+
+
+@query("""WITH c AS (SELECT document_id, count(*) AS segments, count(*) FILTER (s.status = 'approved') AS approved, count(*) FILTER (t.status = 'memory_applied') AS memory_applied
+  FROM segments s LEFT JOIN translations t ON t.segment_id = s.id GROUP BY document_id),
+title AS (SELECT id, list_transform(string_split(replace(domain, '_', ' '), ' '), w -> upper(w[1]) || lower(w[2:])) AS dom,
+  list_transform(string_split(replace(nullif(nullif(subdomain, '__none__'), ''), '_', ' '), ' '), w -> upper(w[1]) || lower(w[2:])) AS sub FROM document_summary)
+SELECT d.id, original_filename, concat_ws(' / ', array_to_string(dom, ' '), array_to_string(sub, ' ')) AS scope_label, status, created_at,
+  coalesce(segments, 0) AS segments, coalesce(approved, 0) AS approved, coalesce(memory_applied, 0) AS memory_applied
+FROM document_summary d JOIN title USING (id) LEFT JOIN c ON c.document_id = d.id""")
+def document_list(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.document_list(table(spark, d, "document_summary"), table(spark, d, "segments"), table(spark, d, "translations"))
+
+
+@query("""SELECT (SELECT count(*) FROM document_summary) AS total_documents, (SELECT count(*) FROM document_summary WHERE status = 'exported') AS total_exports,
+  (SELECT count(*) FROM segments) AS total_segments, (SELECT count(*) FROM segments WHERE status = 'approved') AS approved_segments,
+  (SELECT count(*) FROM translations WHERE source_type = 'memory') AS memory_reuse_count, (SELECT round(coalesce(avg(risk_score), 0.0), 2) FROM translations) AS average_risk,
+  (SELECT count(*) FROM memory_entries WHERE is_active) AS active_memory, (SELECT count(*) FROM review_events WHERE event_type IN ('edit', 'edit_and_approve')) AS corrections""")
+def analytics_summary(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.analytics_summary(*(table(spark, d, t) for t in ("document_summary", "segments", "translations", "memory_entries", "review_events")))
+
+
+@query("SELECT provider_name, count(*) AS n, round(avg(risk_score), 4) AS average_risk FROM translations GROUP BY provider_name")
+def provider_breakdown(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.provider_breakdown(table(spark, d, "translations"))
+
+
+@query(f"SELECT segment_id, string_agg(event_type, '>' ORDER BY created_at, id) AS events, count(*) AS n FROM {ONCE} GROUP BY segment_id")
+def events_by_segment(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.events_by_segment(table(spark, d, "review_events"))
+
+
+@query("""SELECT segment_id, before_text AS baseline FROM review_events WHERE event_type IN ('edit', 'edit_and_approve') AND coalesce(before_text, '') <> ''
+QUALIFY row_number() OVER (PARTITION BY segment_id ORDER BY created_at, id) = 1""")
+def first_edit_baseline(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.first_baseline(table(spark, d, "review_events"))
+
+
+@query("SELECT id, lag(source_text) OVER (PARTITION BY document_id ORDER BY sequence, id) AS previous_text FROM segments")
+def previous_segment(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.previous_text(table(spark, d, "segments").select("id", "document_id", "sequence", "source_text")).select("id", "previous_text")
+
+
+@query("""WITH n AS (SELECT id, row_number() OVER (PARTITION BY document_id ORDER BY sequence, id) AS n FROM segments)
+SELECT id, CASE WHEN n <= 8 THEN 0 ELSE ((n - 9) // 25 + 1)::INTEGER END AS chunk FROM n""")
+def chunk_assignment(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.chunks(table(spark, d, "segments").select("id", "document_id", "sequence"), 25, 8)
+
+
+@query("""WITH last AS (SELECT translation_id, max(created_at) AS at FROM review_events GROUP BY 1)
+SELECT memory_entry_id, count(*) AS n_used, max(at) AS last_used FROM translations LEFT JOIN last ON translation_id = id WHERE memory_entry_id IS NOT NULL GROUP BY 1""")
+def memory_usage(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.usage(table(spark, d, "translations"), table(spark, d, "review_events"))
+
+
+@query(f"SELECT segment_id, {EFFECTIVE} AS effective_text FROM translations")
+def effective_text(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "translations").select("segment_id", T.effective_text(F.col("approved_text"), F.col("candidate_text")).alias("effective_text"))
+
+
+@query("""SELECT id, translate(source_text, '0123456789', '०१२३४५६७८९') AS native, translate(source_text, '०१२३४५६७८९', '0123456789') AS ascii FROM segments""")
+def digit_forms(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "segments").select("id", T.to_native_digits(F.col("source_text")).alias("native"), T.to_ascii_digits(F.col("source_text")).alias("ascii"))
+
+
+@query()
+def normalized_text(spark: SparkSession, d: str) -> DataFrame:
+    """Segments whose stored normal form is stale."""
+    now = table(spark, d, "segments").select("id", "normalized_source", T.normalize_text("source_text").alias("normalized_now"))
+    return now.where(~F.col("normalized_source").eqNullSafe(F.col("normalized_now")))
+
+
+@query(f"SELECT * FROM (SELECT id, {STRUCTURAL} AS label FROM segments) WHERE label IS NOT NULL")
+def structural_labels(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "segments").select("id", T.structural_label(F.col("source_text")).alias("label")).where("label IS NOT NULL")
+
+
+@query(f"""WITH {SCOPED}, x AS (SELECT *, regexp_replace(source_text, 'https?://[^\\s,;]+', ' ', 'gi') AS raw, regexp_replace(normalized_source, 'https?://[^\\s,;]+', ' ', 'gi') AS plain FROM scoped)
+SELECT DISTINCT x.id, g.source_term, g.target_term, g.term_type FROM x JOIN glossary_terms g ON g.source_lang = x.source_lang AND g.target_lang = x.target_lang AND g.domain = x.domain
+  AND g.subdomain IN (x.subdomain, '__none__') AND CASE WHEN g.case_sensitive THEN contains(x.raw, g.source_term) ELSE contains(x.plain, g.normalized_source_term) END""")
+def glossary_hits(spark: SparkSession, d: str) -> DataFrame:
+    return joins.glossary_hits(_scoped(spark, d), table(spark, d, "glossary_terms"))
+
+
+@query(f"""WITH {SCOPED}, {ACTIVE} SELECT s.id, a.id AS memory_id, a.target_text AS memory_text FROM scoped s JOIN active a
+  ON s.source_lang = a.source_lang AND s.target_lang = a.target_lang AND s.domain = a.domain AND s.subdomain = a.subdomain AND s.normalized_source = a.normalized_source""")
+def memory_lookup(spark: SparkSession, d: str) -> DataFrame:
+    return joins.memory_lookup(_scoped(spark, d), table(spark, d, "memory_entries")).select("id", "memory_id", "memory_text")
+
+
+@query(f"""WITH {SCOPED}, {ACTIVE}, s AS (SELECT *, {STRUCTURAL} AS label FROM scoped)
+SELECT id FROM s WHERE label IS NULL AND NOT EXISTS (SELECT 1 FROM active a WHERE s.source_lang = a.source_lang AND s.target_lang = a.target_lang AND s.domain = a.domain AND s.subdomain = a.subdomain AND s.normalized_source = a.normalized_source)""")
+def provider_work_list(spark: SparkSession, d: str) -> DataFrame:
+    return joins.work_list(_scoped(spark, d), table(spark, d, "memory_entries")).select("id")
+
+
+@query("""SELECT document_id, source_text, count(*) AS n, count(*) FILTER (status <> 'approved') AS n_open FROM segments GROUP BY 1, 2 HAVING count(*) > 1 AND count(*) FILTER (status <> 'approved') > 0""")
+def identical_open_segments(spark: SparkSession, d: str) -> DataFrame:
+    return joins.identical_open(table(spark, d, "segments"))
+
+
+@query("""SELECT * FROM (SELECT id, first(id) OVER (PARTITION BY checksum, source_lang, target_lang, domain, subdomain ORDER BY created_at, id) AS first_id FROM document_summary WHERE status <> 'failed') WHERE id <> first_id""")
+def duplicate_uploads(spark: SparkSession, d: str) -> DataFrame:
+    return joins.duplicate_uploads(table(spark, d, "document_summary"))
+
+
+@query("""WITH r AS (SELECT segment_id, count(*) AS n, count(*) FILTER (trim(coalesce(translated_text, '')) = '') AS n_blank FROM translation_results GROUP BY 1),
+x AS (SELECT coalesce(s.id, r.segment_id) AS segment_id, CASE WHEN r.n IS NULL THEN 'missing' WHEN s.id IS NULL THEN 'extra' WHEN r.n > 1 THEN 'duplicate' WHEN r.n_blank > 0 THEN 'blank' END AS problem FROM segments s FULL JOIN r ON r.segment_id = s.id)
+SELECT * FROM x WHERE problem IS NOT NULL""")
+def contract_check(spark: SparkSession, d: str) -> DataFrame:
+    return joins.contract_check(table(spark, d, "segments"), table(spark, d, "translation_results"))
+
+
+@query("""SELECT t.created_from_document_id, t.memory_entry_id, t.id, t.approved_by, t.times_used, d.original_filename
+FROM (SELECT t.id, t.memory_entry_id, m.created_from_document_id, m.approved_by, m.times_used FROM translations t LEFT JOIN memory_entries m ON m.id = t.memory_entry_id) t LEFT JOIN document_summary d ON d.id = t.created_from_document_id""")
+def provenance_chain(spark: SparkSession, d: str) -> DataFrame:
+    return joins.provenance(table(spark, d, "translations"), table(spark, d, "memory_entries"), table(spark, d, "document_summary"))
+
+
+@query(f"""WITH l AS (SELECT *, count(*) OVER (PARTITION BY segment_id) AS n_events FROM {ONCE} QUALIFY row_number() OVER (PARTITION BY segment_id ORDER BY created_at DESC, id DESC) = 1)
+SELECT segment_id, CASE WHEN event_type IN ('approve', 'edit_and_approve') THEN 'approved' ELSE 'needs_review' END AS status, CASE WHEN event_type IN ('approve', 'edit_and_approve') THEN after_text END AS approved_text,
+  after_text AS candidate_text, actor, n_events FROM l""")
+def review_state(spark: SparkSession, d: str) -> DataFrame:
+    return review.state(table(spark, d, "review_events"))
+
+
+def _approvals(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "review_events").dropDuplicates(["id"]).where(F.col("event_type").isin("approve", "edit_and_approve") & F.col("after_text").isNotNull())
+    s = _scoped(spark, d).select(F.col("id").alias("segment_id"), *SCOPE, "source_text", "normalized_source")
+    return e.join(s, "segment_id").select(*SCOPE, "normalized_source", "source_text", F.col("after_text").alias("target_text"), F.col("actor").alias("approved_by"), F.col("created_at").alias("approved_at"))
+
+
+@query(f"""WITH {SCOPED}, a AS (SELECT s.source_lang, s.target_lang, s.domain, s.subdomain, s.normalized_source, e.after_text AS target_text, e.created_at AS approved_at FROM {ONCE} e JOIN scoped s ON s.id = e.segment_id
+  WHERE event_type IN ('approve', 'edit_and_approve') AND after_text IS NOT NULL),
+n AS (SELECT * FROM a WHERE source_lang IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source_lang, target_lang, domain, subdomain, normalized_source ORDER BY approved_at DESC, target_text DESC) = 1),
+o AS (SELECT * FROM memory_entries WHERE is_active AND source_lang IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source_lang, target_lang, domain, subdomain, normalized_source ORDER BY approved_at DESC, id DESC) = 1)
+SELECT coalesce(n.normalized_source, o.normalized_source) AS normalized_source, coalesce(n.target_lang, o.target_lang) AS target_lang, coalesce(n.subdomain, o.subdomain) AS subdomain, coalesce(n.target_text, o.target_text) AS target_text,
+  coalesce(o.times_used, 0)::INTEGER AS times_used, CASE WHEN o.id IS NULL THEN 'inserted' WHEN n.target_text IS NULL THEN 'kept' ELSE 'updated' END AS change
+FROM o FULL JOIN n ON o.source_lang = n.source_lang AND o.target_lang = n.target_lang AND o.domain = n.domain AND o.subdomain = n.subdomain AND o.normalized_source = n.normalized_source""")
+def memory_upsert(spark: SparkSession, d: str) -> DataFrame:
+    approvals = _approvals(spark, d).where("source_lang IS NOT NULL")
+    memory = table(spark, d, "memory_entries").where("source_lang IS NOT NULL")
+    return review.upsert_memory(memory, approvals).select("normalized_source", "target_lang", "subdomain", "target_text", "times_used", "change")
+
+
+@query("""SELECT id, document_id FROM segments s WHERE status <> 'approved' AND EXISTS (SELECT 1 FROM translations t WHERE t.segment_id = s.id AND risk_score = 0)""")
+def approve_unflagged(spark: SparkSession, d: str) -> DataFrame:
+    return review.unflagged(table(spark, d, "segments"), table(spark, d, "translations"))
+
+
+@query(f"""SELECT s.id, document_id, sequence FROM segments s LEFT JOIN (SELECT *, {EFFECTIVE} AS effective FROM translations) t ON t.segment_id = s.id
+WHERE risk_score > 0 AND (contains(lower(source_text), 'ward') OR contains(lower(coalesce(effective, '')), 'ward'))""")
+def review_queue(spark: SparkSession, d: str) -> DataFrame:
+    return review.queue(table(spark, d, "segments"), table(spark, d, "translations"), "Ward", "flagged")
+
+
+@query("""WITH c AS (SELECT document_id, count(*) AS total, count(*) FILTER (status = 'approved') AS approved FROM segments GROUP BY 1)
+SELECT document_id, greatest(0, total - approved) AS remaining, total > 0 AND approved = total AS all_approved FROM c""")
+def remaining_approvals(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.remaining(metrics.trust_summary(table(spark, d, "segments"), table(spark, d, "translations"), kept=False))
+
+
+@query("""SELECT id, array_to_string(list_sort(list_distinct(list_transform(protected_entities, e -> e.kind))), ', ') AS kinds, len(glossary_hits) AS n_hits FROM segments WHERE len(protected_entities) > 0""")
+def entity_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "segments").where(F.size("protected_entities") > 0).select("id", E.kinds(F.col("protected_entities")).alias("kinds"), F.size("glossary_hits").cast("long").alias("n_hits"))
+
+
+@query()
+def entities_detected(spark: SparkSession, d: str) -> DataFrame:
+    found = table(spark, d, "segments").select("id", F.explode(E.detect_entities("source_text")).alias("e"))
+    return found.select("id", "e.kind", "e.text", "e.start", F.col("e.end").alias("stop"))
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "translations").select(F.col("segment_id").alias("id"), "candidate_text")
+    return table(spark, d, "segments").select("id", "source_text", "protected_entities", "glossary_hits").join(t, "id")
+
+
+def _fired(spark: SparkSession, d: str, only: set[str]) -> DataFrame:
+    codes = R.codes(F.col("source_text"), F.col("candidate_text"), F.lit("en"), only)
+    return _pairs(spark, d).select("id", F.explode(codes).alias("code"))
+
+
+def _rules_sql(rules: dict[str, str]) -> str:
+    cases = ", ".join(f"CASE WHEN {cond} THEN '{code}' END" for code, cond in rules.items())
+    return f"""WITH p AS (SELECT s.id, s.source_text AS s, coalesce(t.candidate_text, '') AS t, lower(s.source_text) AS sl, lower(coalesce(t.candidate_text, '')) AS tl FROM segments s JOIN translations t ON t.segment_id = s.id)
+SELECT id, code FROM (SELECT id, unnest([{cases}]) AS code FROM p) WHERE code IS NOT NULL"""
+
+
+_n = lambda c, x: f"(length({c}) - length(replace({c}, '{x}', '')))"
+_words = lambda c: rf"len(regexp_extract_all({c}, '[\p{{L}}\p{{N}}_]+'))"
+_set = lambda c, p, g=0: f"list_distinct(regexp_extract_all({c}, '{p}', {g}))"
+_minus = lambda a, b: f"len(list_filter({a}, x -> NOT list_contains({b}, x)))"
+_any = lambda c, ws: "(" + " OR ".join(f"contains({c}, '{w.replace(chr(39), chr(39) * 2)}')" for w in ws) + ")"
+_word = lambda c, ws: rf"regexp_matches({c}, '(^|[^\p{{L}}\p{{N}}_])({'|'.join(ws)})($|[^\p{{L}}\p{{N}}_])')"
+_ascii = lambda c: f"translate({c}, '०१२३४५६७८९', '0123456789')"
+STRUCTURE_SQL = {
+    "length_deviation": "(length(trim(t)) / greatest(length(trim(s)), 1) < 0.35 OR length(trim(t)) / greatest(length(trim(s)), 1) > 3.0)",
+    "punctuation_mismatch": "(" + " OR ".join(f"{_n('s', c)} <> {_n('t', c)}" for c in "()[]{}") + f" OR {_n('s', chr(34))} % 2 <> {_n('t', chr(34))} % 2)",
+    "symbol_leak": _minus(_set("t", r"[@#$%^&*_=+|\\<>]"), _set("s", r"[@#$%^&*_=+|\\<>]")) + " > 0",
+    "markup_mismatch": "(" + " OR ".join(f"{_n('s', c)} <> {_n('t', c)}" for c in "•-*|:") + ")",
+    "major_omission": f"({_words('s')} > 10 AND {_words('t')} / {_words('s')} < 0.4)",
+    "major_addition": f"({_words('s')} > 10 AND {_words('t')} / {_words('s')} > 2.5)",
+    "placeholder_broken": _minus(_set("s", r"\{\{[^}]+\}\}|\{[^}]+\}|\[[A-Z_]+\]"), _set("t", r"\{\{[^}]+\}\}|\{[^}]+\}|\[[A-Z_]+\]")) + " > 0",
+    "ai_filler": _any("substring(tl, 1, 50)", R.FILLERS),
+}
+NUMBER_SQL = {
+    "changed_number": _minus(f"list_transform({_set('s', '[+0-9०-९]+(?:[,.\\-:/][+0-9०-९]+)*')}, x -> {_ascii('x')})", f"list_transform({_set('t', '[+0-9०-९]+(?:[,.\\-:/][+0-9०-९]+)*')}, x -> {_ascii('x')})") + " > 0",
+    "date_mismatch": rf"len(regexp_extract_all(s, '[0-9]{{1,4}}[-./][0-9]{{1,2}}[-./][0-9]{{1,4}}')) <> len(regexp_extract_all({_ascii('t')}, '[0-9]{{1,4}}[-./][0-9]{{1,2}}[-./][0-9]{{1,4}}'))",
+    "spacing_standard": "regexp_matches(t, '[रु$][०-९0-9]')",
+}
+LEXICON_SQL = {
+    "honorific_inconsistency": f"({_any('t', R.HONORIFIC_HIGH)} AND {_any('t', R.HONORIFIC_LOW)})",
+    "directional_flip": "(" + " OR ".join(f"({_any('sl', a)} AND {_any('t', b)})" for a, b in R.DIRECTIONS) + ")",
+    "currency_missing": "(" + " OR ".join(f"({_any('sl', a)} AND NOT {_any('tl', b)} AND NOT {_any('tl', a)})" for a, b in R.CURRENCIES) + ")",
+    "logical_flow_broken": "(" + " OR ".join(f"({_word('sl', a)} AND NOT {_any('t', b)})" for a, b in R.CONNECTIVES) + ")",
+    "missing_landmark": "(" + " OR ".join(f"({_any('sl', [f'[{w}]' for w in a] + [f'({w})' for w in a])} AND NOT {_any('t', b)})" for a, b in R.LANDMARKS) + ")",
+    "certification_missing": f"({_any('sl', ['verified', 'certified'])} AND NOT contains(t, 'प्रमाणित'))",
+    "anachronism_risk": "(" + " OR ".join(_any("sl", w) for w in R.OBSOLETE) + ")",
+    "legal_modal_flip": "(" + " OR ".join(f"({_word('sl', R.MODALS[i][0])} AND {_any('t', R.MODALS[1 - i][1])} AND NOT {_any('t', R.MODALS[i][1])})" for i in (0, 1)) + ")",
+    "untranslated_legalism": _word("tl", R.LEGALISMS),
+    "legal_anchor_missing": "(" + " OR ".join(f"({_any('sl', a)} AND NOT {_any('t', b)})" for a, b in R.CONDITIONS) + ")",
+}
+
+
+@query(_rules_sql(STRUCTURE_SQL))
+def rules_structure(spark: SparkSession, d: str) -> DataFrame:
+    return _fired(spark, d, set(STRUCTURE_SQL))
+
+
+@query(_rules_sql(NUMBER_SQL))
+def rules_numbers(spark: SparkSession, d: str) -> DataFrame:
+    return _fired(spark, d, set(NUMBER_SQL))
+
+
+@query(_rules_sql(LEXICON_SQL))
+def rules_lexicon(spark: SparkSession, d: str) -> DataFrame:
+    return _fired(spark, d, set(LEXICON_SQL))
+
+
+@query()
+def risk_scored(spark: SparkSession, d: str) -> DataFrame:
+    """Every pair with all its reasons."""
+    scored = R.score(_pairs(spark, d), "source_text", "candidate_text", "protected_entities", "glossary_hits")
+    return scored.select("id", "risk_score", F.array_join(F.transform("risk_reasons", lambda r: r["code"]), ",").alias("codes"))
+
+
+@query()
+def house_style(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates that the house style changes."""
+    lang = _scoped(spark, d).select("id", "source_text", "target_lang")
+    t = table(spark, d, "translations").select(F.col("segment_id").alias("id"), T.strip_chatter(F.col("candidate_text")).alias("text"))
+    return lang.join(t, "id").select("id", "text", T.house_style(F.col("source_text"), F.col("text"), F.col("target_lang")).alias("styled")).where("text <> styled")
+
+
+def _pack(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return feedback.pack(*(table(spark, d, t) for t in ("document_summary", "segments", "translations", "review_events")))
+
+
+@query()
+def feedback_rows(spark: SparkSession, d: str) -> DataFrame:
+    return _pack(spark, d)[0]
+
+
+@query()
+def feedback_corrections(spark: SparkSession, d: str) -> DataFrame:
+    return _pack(spark, d)[1]
+
+
+@query()
+def feedback_manifest(spark: SparkSession, d: str) -> DataFrame:
+    return _pack(spark, d)[2]
+
+
+@query("""WITH w AS (SELECT DISTINCT sample_id, lang, unnest(regexp_extract_all(lower(text), '[A-Za-z]+|[ऀ-ॿ]+')) AS token FROM lang_samples), n AS (SELECT token, lang, count(*) AS n FROM w GROUP BY 1, 2),
+b AS (SELECT token, sum(n) AS total, max(n) AS most, arg_max(lang, (n, lang)) AS lang FROM n GROUP BY 1)
+SELECT lang, token, round(3.5 * most / total, 2) AS weight FROM b WHERE total >= 5 AND most / total >= 0.8""")
+def language_weights(spark: SparkSession, d: str) -> DataFrame:
+    return language.weights_from(table(spark, d, "lang_samples"))
+
+
+@query()
+def language_suggestion(spark: SparkSession, d: str) -> DataFrame:
+    return language.suggest(table(spark, d, "segments"), language.weights_from(table(spark, d, "lang_samples")))
+
+
+@query(rf"""WITH b AS (SELECT doc_id, unnest(list_filter(list_transform(string_split_regex(regexp_replace(text, '\r\n?', '\n', 'g'), '\n{SPACE}*\n+'), x -> trim(regexp_replace(x, '{SPACE}+', ' ', 'g'))), x -> x <> '')) AS source_text,
+  generate_subscripts(list_filter(list_transform(string_split_regex(regexp_replace(text, '\r\n?', '\n', 'g'), '\n{SPACE}*\n+'), x -> trim(regexp_replace(x, '{SPACE}+', ' ', 'g'))), x -> x <> ''), 1)::INTEGER AS sequence FROM documents)
+SELECT doc_id, sequence, source_text FROM b""")
+def text_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return segmenters.segment_texts(table(spark, d, "documents"), "doc_id")
+
+
+@query(rf"""WITH b AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), x -> trim(regexp_replace(x, '{SPACE}+', ' ', 'g'))), x -> x <> '') AS l FROM documents)
+SELECT doc_id, unnest(l) AS source_text, generate_subscripts(l, 1)::INTEGER AS sequence FROM b""")
+def text_lines(spark: SparkSession, d: str) -> DataFrame:
+    return segmenters.segment_lines(table(spark, d, "documents"), "doc_id")
+
+
+@query(f"""SELECT document_id, string_agg({EFFECTIVE}, chr(10) || chr(10) ORDER BY sequence, {EFFECTIVE}) AS value FROM segments s JOIN translations t ON t.segment_id = s.id GROUP BY 1""")
+def export_text(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "translations").select(F.col("segment_id").alias("id"), T.effective_text(F.col("approved_text"), F.col("candidate_text")).alias("text"))
+    return sinks.as_text(table(spark, d, "segments").select("id", "document_id", "sequence").join(t, "id"))
+
+
+@query("""SELECT document_id, count(*) AS n_open FROM segments s LEFT JOIN translations t ON t.segment_id = s.id
+WHERE s.status <> 'approved' OR coalesce(trim(approved_text), '') = '' GROUP BY 1""")
+def export_guard(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "translations").select(F.col("segment_id").alias("id"), F.col("approved_text").alias("text"))
+    return sinks.not_ready(table(spark, d, "segments").select("id", "document_id", "status").join(t, "id", "left"))
+
+
+@query("""SELECT id, CASE WHEN file_type IN ('csv', 'tsv') THEN file_type || ',docx,pdf,txt' WHEN file_type = 'pdf' THEN 'pdf,docx,txt' ELSE 'docx,pdf,txt' END AS formats FROM document_summary""")
+def export_formats(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "document_summary").select("id", F.array_join(sinks.export_formats(F.col("file_type")), ",").alias("formats"))
+
+
+@query("""WITH g AS (SELECT event_id, user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 1 HOUR THEN 0 ELSE 1 END AS start FROM events)
+SELECT event_id, sum(start) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS session FROM g""")
+def gap_sessions(spark: SparkSession, d: str) -> DataFrame:
+    return regions.sessions(table(spark, d, "events"), "user_id", "ts", F.expr("INTERVAL 1 HOUR"), "event_id").select("event_id", F.col("session").cast("long").alias("session"))
+
+
+@query("SELECT event_type, count(*) AS n FROM review_events GROUP BY 1")
+def stream_progress(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of a stream over the table, equal to those of the table."""
+    path = f"{d}/review_events.parquet"
+    return progress.run_once(progress.counts(progress.event_stream(spark, path, spark.read.parquet(path).schema)))
+
+
+@query("""SELECT source_lang, target_lang, domain, count(*) AS n_terms, count(*) FILTER (case_sensitive) AS n_case_sensitive, count(DISTINCT normalized_source_term) AS n_distinct FROM glossary_terms GROUP BY 1, 2, 3""")
+def glossary_scopes(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "glossary_terms").groupBy("source_lang", "target_lang", "domain").agg(F.count(F.lit(1)).alias("n_terms"), F.count_if("case_sensitive").alias("n_case_sensitive"), F.countDistinct("normalized_source_term").alias("n_distinct"))
+
+
+@query("""SELECT source_lang, target_lang, domain, subdomain, normalized_source, count(*) AS n FROM memory_entries WHERE is_active GROUP BY ALL HAVING count(*) > 1""")
+def memory_key_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Keys of active memory that should be unique and aren't."""
+    return table(spark, d, "memory_entries").where("is_active").groupBy(*SCOPE, "normalized_source").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
