@@ -130,7 +130,9 @@ class LangModel:
             got = self.cache[word] = tuple(self.table[grams(word)].sum(axis=0).tolist())
         return got
 
-    def decide(self, total: list[float]) -> tuple[str, float]:
+    def decide(self, total: list[float]) -> tuple[str | None, float]:
+        if not self.langs:
+            return None, 0.0
         mass = (total[-1] or 1.0) / SCALE * self.temperature
         z = [x / mass + b / self.temperature for x, b in zip(total, self.bias)]  # noqa: B905
         top = max(z)
@@ -151,6 +153,8 @@ SCALE = 10.0
 def train(rows: list[tuple[str, str]], l1: float = 1e-3, l2: float = 1e-3, alpha: float = 0.5, beta: float = 1.0, epochs: int = 3, seed: int = 7) -> LangModel:
     """rows: (text, language). Every fifth sample is held out for the temperature."""
     langs = sorted({x for _, x in rows})
+    if not langs:
+        return LangModel([], np.zeros(1 << BITS, np.float32), np.zeros((1 << BITS, 0), np.float32), np.zeros(0), 1.0)
     pieces: list[tuple[list[str], int, bool]] = []
     rng = np.random.default_rng(seed)
     for k, (text, lang) in enumerate(rows):
@@ -254,12 +258,14 @@ def label_segments(segments: DataFrame, model: LangModel) -> DataFrame:
                     col.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f[1]) for c, f in zip(out, fields, strict=True)], schema=schema)
 
-    ddl = "id string, document_id string, " + ", ".join(f"n_{x} long" for x in langs) + ", whole array<string>, confidence double"
+    ddl = ", ".join(["id string", "document_id string", *(f"n_{x} long" for x in langs), "whole array<string>", "confidence double"])
     return spread(segments.select(F.col("id").cast("string"), F.col("document_id").cast("string"), "source_text")).mapInArrow(run, ddl)
 
 
 def document_languages(labelled: DataFrame, langs: list[str]) -> DataFrame:
     """(document_id, lang, confidence): the language of most of a document's text and its share."""
+    if not langs:
+        return labelled.select("document_id", F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("confidence")).where("false")
     sums = labelled.groupBy("document_id").agg(*(F.sum(f"n_{x}").alias(f"n_{x}") for x in langs))
     total = sum((F.col(f"n_{x}") for x in langs), F.lit(0))
     top = F.greatest(*(F.col(f"n_{x}") for x in langs))

@@ -99,7 +99,7 @@ def classes_of(counts: dict[str, int]) -> dict[str, str]:
         union.join(a, b)
     to: dict[str, str] = {}
     for members in union.classes():
-        usual = [x for x in members if x in ("", " ") or unicodedata.is_normalized("NFC", x)] or members
+        usual = [x for x in members if x in ("", " ") or unicodedata.is_normalized("NFC", x) and not any(unicodedata.decomposition(c).split(" ")[0] in SAME_DRAWING for c in x)] or members
         best = min(usual, key=lambda x: (x not in ("", " "), -counts.get(x, 0), x in VOWELS, x in TWINS, len(x), x))
         to |= {x: best for x in members if x and x != best}
     return to
