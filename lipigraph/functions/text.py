@@ -123,19 +123,28 @@ def structural_label(text: Column) -> Column:
 CHATTER = ["Sure, here is the translation:", "Sure, here's the translation:", "Translation:", "Translated text:", "Here is the translation in Nepali:", "Sure!", "Okay,"]
 
 
+def let(value: Column, body) -> Column:
+    """body of a value that is evaluated once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip_chatter(text: Column) -> Column:
     """Without such openings, tested in turn; quotation marks around the rest go with an opening."""
-    out = F.trim(text)
-    for p in CHATTER:
-        rest = F.trim(F.regexp_replace(out, "(?i)^" + re.escape(p), ""))
-        out = F.when(F.lower(out).startswith(p.lower()), F.when(rest.rlike('(?s)^".*"$') & (F.length(rest) > 1), F.trim(F.regexp_replace(rest, '(?s)^"(.*)"$', "$1"))).otherwise(rest)).otherwise(out)
-    return out
+
+    def step(now: Column, opening: Column) -> Column:
+        rest = F.trim(now.substr(F.length(opening) + 1, F.length(now)))
+        return F.when(F.startswith(F.lower(now), F.lower(opening)), F.trim(F.regexp_replace(rest, '(?s)^"(.*)"$', "$1"))).otherwise(now)
+
+    return F.aggregate(F.array(*map(F.lit, CHATTER)), F.trim(text), step)
 
 
 def neighbours_equal(words: Column) -> Column:
     """Whether any word of more than one character stands twice in a row."""
-    w = F.filter(words, lambda x: F.length(x) > 1)
-    return F.when(F.size(w) < 2, False).otherwise(F.exists(F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: a == b), lambda x: x))
+
+    def twice(w: Column) -> Column:
+        return F.when(F.size(w) < 2, False).otherwise(F.exists(F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: a == b), lambda x: x))
+
+    return let(F.filter(words, lambda x: F.length(x) > 1), twice)
 
 
 def house_style(source: Column, target: Column, lang: Column) -> Column:
@@ -148,7 +157,11 @@ def house_style(source: Column, target: Column, lang: Column) -> Column:
     native = F.regexp_replace(native, EDGE_BEFORE + r"न\s+([०-९0-9])", "नं. $1")
     latin = F.replace(F.replace(target, F.lit("रु"), F.lit("NPR")), F.lit("एनपीआर"), F.lit("NPR"))
     latin = F.regexp_replace(to_ascii_digits(latin), r"(NPR|Rs\.?)([0-9])", "$1 $2")
-    text = F.when(F.lower(lang) == "ne", native).when(F.lower(lang) == "en", latin).otherwise(target)
-    once = F.regexp_replace(F.regexp_replace(text, r"(^|\s)([ऀ-ॿ]+)\s+\2($|\s)", "$1$2$3"), r"(^|\s)([a-zA-Z]+)\s+\2($|\s)", "$1$2$3")
-    short = (F.size(F.filter(F.split(text, r"\s+"), lambda x: x != "")) <= 4) & ~neighbours_equal(F.split(F.lower(source), r"\s+"))
-    return F.when(short, collapse(once)).otherwise(text)
+    alone = ~neighbours_equal(F.split(F.lower(source), r"\s+"))
+
+    def once(text: Column) -> Column:
+        short = F.size(F.filter(F.split(text, r"\s+"), lambda x: x != "")) <= 4
+        single = F.regexp_replace(F.regexp_replace(text, r"(^|\s)([ऀ-ॿ]+)\s+\2($|\s)", "$1$2$3"), r"(^|\s)([a-zA-Z]+)\s+\2($|\s)", "$1$2$3")
+        return F.when(short & alone, collapse(single)).otherwise(text)
+
+    return let(F.when(F.lower(lang) == "ne", native).when(F.lower(lang) == "en", latin).otherwise(target), once)

@@ -84,13 +84,14 @@ def document_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH c AS (SELECT document_id, count(*) AS segments, count(*) FILTER (s.status = 'approved') AS approved, count(*) FILTER (t.status = 'memory_applied') AS memory_applied
   FROM segments s LEFT JOIN translations t ON t.segment_id = s.id GROUP BY document_id),
-title AS (SELECT id, list_transform(string_split(replace(domain, '_', ' '), ' '), w -> upper(w[1]) || lower(w[2:])) AS dom,
-  list_transform(string_split(replace(nullif(nullif(subdomain, '__none__'), ''), '_', ' '), ' '), w -> upper(w[1]) || lower(w[2:])) AS sub FROM document_summary)
-SELECT d.id, original_filename, concat_ws(' / ', array_to_string(dom, ' '), array_to_string(sub, ' ')) AS scope_label, status, created_at,
+title AS (SELECT id, list_transform(string_split(replace(domain, '_', ' '), ' '), lambda w: upper(w[1]) || lower(w[2:])) AS dom,
+  list_transform(string_split(replace(nullif(nullif(subdomain, '__none__'), ''), '_', ' '), ' '), lambda w: upper(w[1]) || lower(w[2:])) AS sub FROM document_summary)
+SELECT d.id, original_filename, concat_ws(' / ', array_to_string(dom, ' '), array_to_string(sub, ' ')) AS scope_label, status, epoch_us(created_at) AS created_us,
   coalesce(segments, 0) AS segments, coalesce(approved, 0) AS approved, coalesce(memory_applied, 0) AS memory_applied
 FROM document_summary d JOIN title USING (id) LEFT JOIN c ON c.document_id = d.id""")
 def document_list(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.document_list(table(spark, d, "document_summary"), table(spark, d, "segments"), table(spark, d, "translations"))
+    listed = metrics.document_list(table(spark, d, "document_summary"), table(spark, d, "segments"), table(spark, d, "translations"))
+    return listed.withColumn("created_at", F.unix_micros(F.col("created_at").cast("timestamp"))).withColumnRenamed("created_at", "created_us")
 
 
 @query("""SELECT (SELECT count(*) FROM document_summary) AS total_documents, (SELECT count(*) FROM document_summary WHERE status = 'exported') AS total_exports,
@@ -128,10 +129,11 @@ def chunk_assignment(spark: SparkSession, d: str) -> DataFrame:
     return metrics.chunks(table(spark, d, "segments").select("id", "document_id", "sequence"), 25, 8)
 
 
-@query("""WITH last AS (SELECT translation_id, max(created_at) AS at FROM review_events GROUP BY 1)
-SELECT memory_entry_id, count(*) AS n_used, max(at) AS last_used FROM translations LEFT JOIN last ON translation_id = id WHERE memory_entry_id IS NOT NULL GROUP BY 1""")
+@query("""WITH last AS (SELECT translation_id, max(created_at) AS touched FROM review_events GROUP BY 1)
+SELECT memory_entry_id, count(*) AS n_used, epoch_us(max(touched)) AS last_used_us FROM translations LEFT JOIN last ON translation_id = id WHERE memory_entry_id IS NOT NULL GROUP BY 1""")
 def memory_usage(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.usage(table(spark, d, "translations"), table(spark, d, "review_events"))
+    used = metrics.usage(table(spark, d, "translations"), table(spark, d, "review_events"))
+    return used.select("memory_entry_id", "n_used", F.unix_micros(F.col("last_used").cast("timestamp")).alias("last_used_us"))
 
 
 @query(f"SELECT segment_id, {EFFECTIVE} AS effective_text FROM translations")
@@ -241,7 +243,7 @@ def remaining_approvals(spark: SparkSession, d: str) -> DataFrame:
     return metrics.remaining(metrics.trust_summary(table(spark, d, "segments"), table(spark, d, "translations"), kept=False))
 
 
-@query("""SELECT id, array_to_string(list_sort(list_distinct(list_transform(protected_entities, e -> e.kind))), ', ') AS kinds, len(glossary_hits) AS n_hits FROM segments WHERE len(protected_entities) > 0""")
+@query("""SELECT id, array_to_string(list_sort(list_distinct(list_transform(protected_entities, lambda e: e.kind))), ', ') AS kinds, len(glossary_hits) AS n_hits FROM segments WHERE len(protected_entities) > 0""")
 def entity_kinds(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "segments").where(F.size("protected_entities") > 0).select("id", E.kinds(F.col("protected_entities")).alias("kinds"), F.size("glossary_hits").cast("long").alias("n_hits"))
 
@@ -271,7 +273,7 @@ SELECT id, code FROM (SELECT id, unnest([{cases}]) AS code FROM p) WHERE code IS
 _n = lambda c, x: f"(length({c}) - length(replace({c}, '{x}', '')))"
 _words = lambda c: rf"len(regexp_extract_all({c}, '[\p{{L}}\p{{N}}_]+'))"
 _set = lambda c, p, g=0: f"list_distinct(regexp_extract_all({c}, '{p}', {g}))"
-_minus = lambda a, b: f"len(list_filter({a}, x -> NOT list_contains({b}, x)))"
+_minus = lambda a, b: f"len(list_filter({a}, lambda x: NOT list_contains({b}, x)))"
 _any = lambda c, ws: "(" + " OR ".join(f"contains({c}, '{w.replace(chr(39), chr(39) * 2)}')" for w in ws) + ")"
 _word = lambda c, ws: rf"regexp_matches({c}, '(^|[^\p{{L}}\p{{N}}_])({'|'.join(ws)})($|[^\p{{L}}\p{{N}}_])')"
 _ascii = lambda c: f"translate({c}, '०१२३४५६७८९', '0123456789')"
@@ -286,7 +288,7 @@ STRUCTURE_SQL = {
     "ai_filler": _any("substring(tl, 1, 50)", R.FILLERS),
 }
 NUMBER_SQL = {
-    "changed_number": _minus(f"list_transform({_set('s', '[+0-9०-९]+(?:[,.\\-:/][+0-9०-९]+)*')}, x -> {_ascii('x')})", f"list_transform({_set('t', '[+0-9०-९]+(?:[,.\\-:/][+0-9०-९]+)*')}, x -> {_ascii('x')})") + " > 0",
+    "changed_number": _minus(f"list_transform({_set('s', '[+0-9०-९]+(?:[,.\\-:/][+0-9०-९]+)*')}, lambda x: {_ascii('x')})", f"list_transform({_set('t', '[+0-9०-९]+(?:[,.\\-:/][+0-9०-९]+)*')}, lambda x: {_ascii('x')})") + " > 0",
     "date_mismatch": rf"len(regexp_extract_all(s, '[0-9]{{1,4}}[-./][0-9]{{1,2}}[-./][0-9]{{1,4}}')) <> len(regexp_extract_all({_ascii('t')}, '[0-9]{{1,4}}[-./][0-9]{{1,2}}[-./][0-9]{{1,4}}'))",
     "spacing_standard": "regexp_matches(t, '[रु$][०-९0-9]')",
 }
@@ -365,14 +367,14 @@ def language_suggestion(spark: SparkSession, d: str) -> DataFrame:
     return language.suggest(table(spark, d, "segments"), language.weights_from(table(spark, d, "lang_samples")))
 
 
-@query(rf"""WITH b AS (SELECT doc_id, unnest(list_filter(list_transform(string_split_regex(regexp_replace(text, '\r\n?', '\n', 'g'), '\n{SPACE}*\n+'), x -> trim(regexp_replace(x, '{SPACE}+', ' ', 'g'))), x -> x <> '')) AS source_text,
-  generate_subscripts(list_filter(list_transform(string_split_regex(regexp_replace(text, '\r\n?', '\n', 'g'), '\n{SPACE}*\n+'), x -> trim(regexp_replace(x, '{SPACE}+', ' ', 'g'))), x -> x <> ''), 1)::INTEGER AS sequence FROM documents)
+@query(rf"""WITH b AS (SELECT doc_id, unnest(list_filter(list_transform(string_split_regex(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\n{SPACE}*\n+'), lambda x: trim(regexp_replace(x, '{SPACE}+', ' ', 'g'))), lambda x: x <> '')) AS source_text,
+  generate_subscripts(list_filter(list_transform(string_split_regex(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\n{SPACE}*\n+'), lambda x: trim(regexp_replace(x, '{SPACE}+', ' ', 'g'))), lambda x: x <> ''), 1)::INTEGER AS sequence FROM documents)
 SELECT doc_id, sequence, source_text FROM b""")
 def text_blocks(spark: SparkSession, d: str) -> DataFrame:
     return segmenters.segment_texts(table(spark, d, "documents"), "doc_id")
 
 
-@query(rf"""WITH b AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), x -> trim(regexp_replace(x, '{SPACE}+', ' ', 'g'))), x -> x <> '') AS l FROM documents)
+@query(rf"""WITH b AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '{SPACE}+', ' ', 'g'))), lambda x: x <> '') AS l FROM documents)
 SELECT doc_id, unnest(l) AS source_text, generate_subscripts(l, 1)::INTEGER AS sequence FROM b""")
 def text_lines(spark: SparkSession, d: str) -> DataFrame:
     return segmenters.segment_lines(table(spark, d, "documents"), "doc_id")
@@ -405,8 +407,7 @@ def gap_sessions(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT event_type, count(*) AS n FROM review_events GROUP BY 1")
 def stream_progress(spark: SparkSession, d: str) -> DataFrame:
     """Counts of a stream over the table, equal to those of the table."""
-    path = f"{d}/review_events.parquet"
-    return progress.run_once(progress.counts(progress.event_stream(spark, path, spark.read.parquet(path).schema)))
+    return progress.run_once(progress.counts(progress.event_stream(spark, f"{d}/review_events.parquet")))
 
 
 @query("""SELECT source_lang, target_lang, domain, count(*) AS n_terms, count(*) FILTER (case_sensitive) AS n_case_sensitive, count(DISTINCT normalized_source_term) AS n_distinct FROM glossary_terms GROUP BY 1, 2, 3""")

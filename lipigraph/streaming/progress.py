@@ -10,8 +10,13 @@ from pyspark.sql import functions as F
 from lipigraph.session import shared_dir
 
 
-def event_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+def event_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
+    """A stream of the files of a table, which may be one file or a folder of them."""
+    read = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isFile():
+        return read.option("pathGlobFilter", at.getName()).parquet(str(at.getParent()))
+    return read.parquet(path)
 
 
 def stage(progress):
