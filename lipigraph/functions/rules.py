@@ -83,11 +83,20 @@ def negatives(text: Column, words: list[str], english: bool) -> Column:
     return plain + F.size(prefixed)
 
 
-def rules(source: Column, target: Column, lang: Column) -> list[Rule]:
-    """The rules that Catalyst evaluates, in the order in which they report."""
-    s, t = F.coalesce(source, F.lit("")), F.coalesce(target, F.lit(""))
-    sl, tl = F.lower(s), F.lower(t)
-    english = F.lower(F.coalesce(lang, F.lit("en"))) == "en"
+def prepared(pairs: DataFrame, source: str, target: str, lang: Column) -> tuple[DataFrame, list[Rule]]:
+    """pairs with what many rules ask of a pair in columns of their own, so that it is computed once a row, and the rules over them."""
+    s, t = F.coalesce(F.col(source), F.lit("")), F.coalesce(F.col(target), F.lit(""))
+    first = pairs.withColumns({"_s": s, "_t": t, "_sl": F.lower(s), "_tl": F.lower(t), "_en": F.lower(F.coalesce(lang, F.lit("en"))) == "en"})
+    return first, rules(F.col("_s"), F.col("_t"), lang, (F.col("_sl"), F.col("_tl"), F.col("_en")))
+
+
+PREPARED = ("_s", "_t", "_sl", "_tl", "_en")
+
+
+def rules(source: Column, target: Column, lang: Column, ready: tuple[Column, Column, Column] | None = None) -> list[Rule]:
+    """The rules that Catalyst evaluates, in the order in which they report. ready: the lower forms and whether the target is English, where the caller has them."""
+    s, t = (source, target) if ready else (F.coalesce(source, F.lit("")), F.coalesce(target, F.lit("")))
+    sl, tl, english = ready or (F.lower(s), F.lower(t), F.lower(F.coalesce(lang, F.lit("en"))) == "en")
     ls, lt = F.length(F.trim(s)), F.length(F.trim(t))
     ratio = lt / F.greatest(ls, F.lit(1))
     ws, wt = T.word_count(s), T.word_count(t)
@@ -182,10 +191,11 @@ def reason(rule: Rule) -> Column:
     )
 
 
-def codes(source: Column, target: Column, lang: Column, only: set[str] | None = None) -> Column:
-    """Distinct codes that fire, of the Column rules alone; an empty rendering is one omission and nothing else."""
-    fired = [F.when(r.fires, F.lit(r.code)) for r in rules(source, target, lang) if only is None or r.code in only]
-    return F.array_distinct(F.filter(F.array(*fired), lambda x: x.isNotNull()))
+def fired(pairs: DataFrame, source: str, target: str, lang: Column, only: set[str] | None = None) -> DataFrame:
+    """pairs with codes: the distinct codes of the Column rules that fire. Conditions stay outside of lambdas, so they are generated code."""
+    df, found = prepared(pairs, source, target, lang)
+    text = F.concat_ws(",", *(F.when(r.fires, F.lit(r.code)) for r in found if only is None or r.code in only))
+    return df.withColumn("codes", F.when(text == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.split(text, ",")))).drop(*PREPARED)
 
 
 def near_numbers(text: str, window: int = 15) -> dict[str, set[str]]:
@@ -277,15 +287,12 @@ def _python_rules(source: pd.Series, target: pd.Series, entities: pd.Series, hit
 
 def score(pairs: DataFrame, source: str, target: str, entities: str, hits: str, lang: Column | None = None) -> DataFrame:
     """pairs with risk_reasons, in the order of the rules, and risk_score: their number, or ten for an empty rendering."""
-    s, t = F.col(source), F.coalesce(F.col(target), F.lit(""))
-    language = F.lit("en") if lang is None else lang
-    plain = F.filter(F.array(*(reason(r) for r in rules(s, t, language))), lambda x: x.isNotNull())
-    # One way for all rows: the function sees the pair, its entities and hits, and Catalyst merges both lists.
-    merged = F.array_sort(F.concat(plain.cast(f"array<{REASON}>"), F.coalesce(_python_rules(s, t, F.col(entities), F.col(hits)), F.array().cast(f"array<{REASON}>"))))
+    df, found = prepared(pairs, source, target, F.lit("en") if lang is None else lang)
+    s, t = F.col("_s"), F.col("_t")
+    none = F.array().cast(f"array<{REASON}>")
+    plain = F.concat(*(F.when(r.fires, F.array(reason(r)).cast(f"array<{REASON}>")).otherwise(none) for r in found))
+    # Catalyst merges its reasons with those of the function, which sees the pair, its entities and hits.
+    merged = F.sort_array(F.concat(plain, F.coalesce(_python_rules(s, t, F.col(entities), F.col(hits)), none)))
     omitted = (F.trim(t) == "") & (F.trim(F.coalesce(s, F.lit(""))) != "")
     only = F.array(F.struct(F.lit(0).alias("ord"), F.lit("total_omission").alias("code"), F.lit("Empty rendering").alias("label"), F.lit("high").alias("severity"), F.lit("").alias("detail"), F.lit(False).alias("repairable"))).cast(f"array<{REASON}>")
-    return (
-        pairs.withColumn("risk_reasons", F.when(omitted, only).otherwise(merged))
-        .withColumn("risk_score", F.when(omitted, F.lit(10.0)).otherwise(F.size("risk_reasons").cast("double")))
-        .withColumn("risk_reasons", F.transform("risk_reasons", lambda r: r.dropFields("ord")))
-    )
+    return df.withColumn("risk_reasons", F.when(omitted, only).otherwise(merged)).withColumn("risk_score", F.when(omitted, F.lit(10.0)).otherwise(F.size("risk_reasons").cast("double"))).drop(*PREPARED)

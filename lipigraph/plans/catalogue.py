@@ -14,7 +14,7 @@ from lipigraph.operators import dedup, feedback, joins, language, metrics, regio
 from lipigraph.operators.joins import SCOPE
 from lipigraph.sources import segmenters, sinks
 from lipigraph.streaming import progress
-from lipigraph.session import table
+from lipigraph.session import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -72,7 +72,7 @@ def trust_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def trust_summary_preserved(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.trust_summary(table(spark, d, "segments"), table(spark, d, "translations"))
+    return metrics.trust_summary(spread(table(spark, d, "segments")), spread(table(spark, d, "translations")))
 
 
 @query("""SELECT document_id, count(*) AS segments, count(*) FILTER (s.status = 'approved') AS approved, count(*) FILTER (s.status = 'needs_review') AS needs_review,
@@ -149,7 +149,7 @@ def digit_forms(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def normalized_text(spark: SparkSession, d: str) -> DataFrame:
     """Segments whose stored normal form is stale."""
-    now = table(spark, d, "segments").select("id", "normalized_source", T.normalize_text("source_text").alias("normalized_now"))
+    now = spread(table(spark, d, "segments").select("id", "normalized_source", "source_text")).select("id", "normalized_source", T.normalize_text("source_text").alias("normalized_now"))
     return now.where(~F.col("normalized_source").eqNullSafe(F.col("normalized_now")))
 
 
@@ -250,18 +250,17 @@ def entity_kinds(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def entities_detected(spark: SparkSession, d: str) -> DataFrame:
-    found = table(spark, d, "segments").select("id", F.explode(E.detect_entities("source_text")).alias("e"))
+    found = spread(table(spark, d, "segments").select("id", "source_text")).select("id", F.explode(E.detect_entities("source_text")).alias("e"))
     return found.select("id", "e.kind", "e.text", "e.start", F.col("e.end").alias("stop"))
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "translations").select(F.col("segment_id").alias("id"), "candidate_text")
-    return table(spark, d, "segments").select("id", "source_text", "protected_entities", "glossary_hits").join(t, "id")
+    t = spread(table(spark, d, "translations").select(F.col("segment_id").alias("id"), "candidate_text"))
+    return spread(table(spark, d, "segments").select("id", "source_text", "protected_entities", "glossary_hits")).join(t, "id")
 
 
 def _fired(spark: SparkSession, d: str, only: set[str]) -> DataFrame:
-    codes = R.codes(F.col("source_text"), F.col("candidate_text"), F.lit("en"), only)
-    return _pairs(spark, d).select("id", F.explode(codes).alias("code"))
+    return R.fired(_pairs(spark, d).select("id", "source_text", "candidate_text"), "source_text", "candidate_text", F.lit("en"), only).select("id", F.explode_outer("codes").alias("code")).where("code IS NOT NULL")
 
 
 def _rules_sql(rules: dict[str, str]) -> str:
@@ -325,7 +324,7 @@ def rules_lexicon(spark: SparkSession, d: str) -> DataFrame:
 def risk_scored(spark: SparkSession, d: str) -> DataFrame:
     """Every pair with all its reasons."""
     scored = R.score(_pairs(spark, d), "source_text", "candidate_text", "protected_entities", "glossary_hits")
-    return scored.select("id", "risk_score", F.array_join(F.transform("risk_reasons", lambda r: r["code"]), ",").alias("codes"))
+    return scored.select("id", "risk_score", F.array_join("risk_reasons.code", ",").alias("codes"))
 
 
 @query()
@@ -337,7 +336,7 @@ def house_style(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pack(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return feedback.pack(*(table(spark, d, t) for t in ("document_summary", "segments", "translations", "review_events")))
+    return feedback.pack(*(spread(table(spark, d, t)) for t in ("document_summary", "segments", "translations", "review_events")))
 
 
 @query()
@@ -364,7 +363,7 @@ def language_weights(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def language_suggestion(spark: SparkSession, d: str) -> DataFrame:
-    return language.suggest(table(spark, d, "segments"), language.weights_from(table(spark, d, "lang_samples")))
+    return language.suggest(spread(table(spark, d, "segments").select("id", "document_id", "sequence", "source_text")), language.weights_from(table(spark, d, "lang_samples")))
 
 
 @query(rf"""WITH b AS (SELECT doc_id, unnest(list_filter(list_transform(string_split_regex(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\n{SPACE}*\n+'), lambda x: trim(regexp_replace(x, '{SPACE}+', ' ', 'g'))), lambda x: x <> '')) AS source_text,

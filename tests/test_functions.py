@@ -99,7 +99,7 @@ CASES = [
 def test_each_rule_fires_and_rests(spark):
     rows = [(code, s, t, lang, fires) for code, s, bad, good, lang in CASES for t, fires in ((bad, True), (good, False))]
     df = spark.createDataFrame(rows, "code string, s string, t string, lang string, fires boolean")
-    got = df.select("code", "t", "fires", R.codes(F.col("s"), F.col("t"), F.col("lang")).alias("codes")).collect()
+    got = R.fired(df, "s", "t", F.col("lang")).collect()
     assert [(r.code, r.t) for r in got if (r.code in r.codes) != r.fires] == []
 
 
