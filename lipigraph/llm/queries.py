@@ -34,7 +34,7 @@ def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
     model = langid.fit(table(spark, d, "lang_samples"))
-    return pairs.find_defects(pairs.pairs_of(table(spark, d, "segments"), table(spark, d, "translations"), table(spark, d, "document_summary")), model)
+    return pairs.find_defects(pairs.pairs_of(spread(table(spark, d, "segments").select("id", "document_id", "source_text")), spread(table(spark, d, "translations").select("segment_id", "candidate_text")), table(spark, d, "document_summary")), model)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
