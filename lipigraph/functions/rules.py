@@ -130,12 +130,12 @@ def rules(source: Column, target: Column, lang: Column, ready: tuple[Column, Col
         Rule("untranslated_segment", "medium", (s == t) & (F.length(s) > 3) & F.trim(s).rlike(r"\b[A-Za-z][A-Za-z-]{1,}\b") & ~F.trim(s).rlike(r"^(?:\S+@\S+|https?://\S+)$") & ~name_like(s), "Source left as it was"),
         Rule("punctuation_mismatch", "medium", pairs_differ, "Brackets or quotes differ"),
         Rule("symbol_leak", "medium", F.size(F.array_except(symbols(t), symbols(s))) > 0, "Symbol that the source lacks", F.array_join(F.array_sort(F.array_except(symbols(t), symbols(s))), " ")),
-        Rule("script_imbalance", "medium", T.contains_devanagari(t) & (F.length(t) > 20) & ((latin_letters - F.length(F.array_join(F.regexp_extract_all(t, F.lit(r"(?i)https?://\S+|\S+@\S+"), F.lit(0)), ""))) / F.length(t) > 0.35), "Much Latin script"),
+        Rule("script_imbalance", "medium", T.contains_devanagari(t) & (F.length(t) > 20) & (F.try_divide(latin_letters - F.length(F.array_join(F.regexp_extract_all(t, F.lit(r"(?i)https?://\S+|\S+@\S+"), F.lit(0)), "")), F.length(t)) > 0.35), "Much Latin script"),
         Rule("word_repetition", "medium", t.rlike(r"(?iu)" + T.EDGE_BEFORE + r"([\p{L}\p{M}\p{N}_]+)(?:\s+\1){3,}"), "A word in a loop"),
         Rule("markup_mismatch", "low", markup, "List or label marks differ"),
         Rule("date_mismatch", "high", dates(s) != dates(T.to_ascii_digits(t)), "Number of dates differs", "", True),
-        Rule("major_omission", "high", (ws > 10) & (wt / ws < 0.4), "Much left out"),
-        Rule("major_addition", "medium", (ws > 10) & (wt / ws > 2.5), "Much added"),
+        Rule("major_omission", "high", (ws > 10) & (F.try_divide(wt, ws) < 0.4), "Much left out"),
+        Rule("major_addition", "medium", (ws > 10) & (F.try_divide(wt, ws) > 2.5), "Much added"),
         Rule("negation_flip", "high", F.exists(s_words, lambda w: w.isin(ENGLISH_NEGATION)) & ~has_any(t, NEPALI_NEGATION), "Negation missing"),
         Rule("honorific_inconsistency", "medium", has_any(t, HONORIFIC_HIGH) & has_any(t, HONORIFIC_LOW), "Mixed forms of respect"),
         Rule("instruction_leak", "medium", F.exists(first_words, lambda w: w.isin(INSTRUCTION_KEYWORDS)), "Instructions in the text"),
