@@ -103,5 +103,5 @@ def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     return (
         targets.select("source", "target_share", "max_repeats").join(got, "source", "left").join(F.broadcast(total))
-        .select("source", "target_share", "max_repeats", zero("n_documents"), zero("most_copies"), zero("tokens"), F.round(F.coalesce(F.col("tokens") / F.col("total"), F.lit(0.0)), 6).alias("actual_share"))
+        .select("source", "target_share", "max_repeats", zero("n_documents"), zero("most_copies"), zero("tokens"), F.round(F.coalesce(F.try_divide("tokens", "total"), F.lit(0.0)), 6).alias("actual_share"))
     )
