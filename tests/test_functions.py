@@ -78,7 +78,7 @@ CASES = [
     ("currency_unlocalized", "NPR 5", "NPR ५", "रु ५", "ne"),
     ("currency_suboptimal", "NPR 5", "एनपीआर ५", "रु ५", "ne"),
     ("list_sequence_broken", "1. a 2. b", "१. क ३. ख", "१. क २. ख", "en"),
-    ("forbidden_term", "x", "यो कागज हो", "यो कागजात हो", "en"),
+    ("forbidden_term", "x", "यो कागज हो", "यो फाइल हो", "en"),
     ("logical_flow_broken", "because of it", "यो", "किनभने", "en"),
     ("anchor_mismatch", "ward 4", "वडा ५", "वडा ४", "en"),
     ("missing_landmark", "[stamp]", "यहाँ", "[छाप]", "en"),
