@@ -121,7 +121,9 @@ class PairReader:
         if abrupt and not src.rstrip(" \n\t\"'”’)]").endswith(CLOSING) and not ending.endswith(ABRUPT):
             abrupt = False
         ns, nc = numbers(src), set(numbers(cand))
-        return types, f"{from_lang}{latin}>{to_lang}{to_latin}" if to_lang and (whole or abrupt) else None, math.log(len(cand.strip()) / max(1, len(src.strip()))), abrupt, bool(ns) and ns[-1] not in nc
+        # A heading has no usual length: only sentences, lists of fields and abrupt endings are judged by it.
+        judged = abrupt or whole and (src.rstrip(" \n\t\"'”’)]").endswith(CLOSING) or ";" in src)
+        return types, f"{from_lang}{latin}>{to_lang}{to_latin}" if to_lang and judged else None, math.log(len(cand.strip()) / max(1, len(src.strip()))), abrupt, bool(ns) and ns[-1] not in nc
 
     def personal(self, text: str) -> bool:
         return bool(detect(text, NOBODY))

@@ -171,10 +171,10 @@ def test_defects(model):
 def test_truncation_on_tables(spark, samples, model):
     en = [t for t, y in samples if y == "en"][:60]
     rows = [(f"s{i}", t, t.replace(" the ", " that ") + "", "en") for i, t in enumerate(en)]
-    rows += [("cut", en[0], en[0][: len(en[0]) // 2] + "…", "en"), (None, None, None, None)]
+    rows += [("cut", en[0], en[0][: len(en[0]) // 2] + "…", "en"), (None, None, None, None), ("head", "Notice about the flood warning service here", "Flood notice now", "en")]
     df = spark.createDataFrame(rows, "segment_id string, source_text string, candidate_text string, target_lang string").withColumn("types", F.lit(1))
     got = {r.segment_id: r.types for r in pairs.find_defects(df, model).collect()}
-    assert "truncated" in got["cut"] and pairs.find_defects(df.limit(0), model).count() == 0
+    assert "truncated" in got["cut"] and "head" not in got and pairs.find_defects(df.limit(0), model).count() == 0
 
 
 # Leakage
