@@ -226,26 +226,32 @@ MARKED_WORDS = 4
 SURE = 0.8
 
 
-def languages_of(model: LangModel, text: str | None) -> tuple[dict[str, int], dict[str, float]]:
-    """Letters in each language, by sentence; and the languages of whole sentences, with the best confidence."""
+def languages_of(model: LangModel, text: str | None) -> tuple[dict[str, int], dict[str, float], str | None, float]:
+    """Letters in each language, by sentence; the languages of whole sentences, with the best confidence; and the language of the text with its confidence: that of all its words where it has no whole sentence."""
     letters: dict[str, int] = {}
     whole: dict[str, float] = {}
+    said: list[tuple[list[str], str, float]] = []
     for s in tokens_of(text or ""):
         lang, p, words, n = model.of_sentence(s)
         if lang is None:
             continue
+        said.append((s, lang, p))
         if p >= 0.5:
             letters[lang] = letters.get(lang, 0) + n
         if p >= SURE and (words >= WHOLE_WORDS or words >= MARKED_WORDS and s[-1].rstrip("”\"')")[-1:] in ENDS_SENTENCE):
             whole[lang] = max(whole.get(lang, 0.0), p)
-    return letters, whole
+    if whole:
+        return letters, whole, "+".join(sorted(whole)), min(whole.values())
+    if len(said) > 1:
+        return letters, whole, *model.of_sentence([t for s, _, _ in said for t in s])[:2]
+    return letters, whole, *(said[0][1:] if said else (None, 0.0))
 
 
 def label_segments(segments: DataFrame, model: LangModel) -> DataFrame:
-    """(id, document_id, n_<lang> for each language, whole array<string>, confidence) of segments (id, document_id, source_text)."""
+    """(id, document_id, n_<lang> for each language, whole array<string>, lang, confidence) of segments (id, document_id, source_text)."""
     shared = segments.sparkSession.sparkContext.broadcast(model)
     langs = model.langs
-    fields = [("id", pa.string()), ("document_id", pa.string()), *((f"n_{x}", pa.int64()) for x in langs), ("whole", pa.list_(pa.string())), ("confidence", pa.float64())]
+    fields = [("id", pa.string()), ("document_id", pa.string()), *((f"n_{x}", pa.int64()) for x in langs), ("whole", pa.list_(pa.string())), ("lang", pa.string()), ("confidence", pa.float64())]
     schema = pa.schema(fields)
 
     def run(batches):
@@ -253,12 +259,12 @@ def label_segments(segments: DataFrame, model: LangModel) -> DataFrame:
         for b in batches:
             out: list[list] = [[] for _ in fields]
             for i, d, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                letters, whole = languages_of(m, t)
-                for col, x in zip(out, [i, d, *(letters.get(x, 0) for x in langs), sorted(whole), min(whole.values(), default=0.0)], strict=True):
+                letters, whole, lang, p = languages_of(m, t)
+                for col, x in zip(out, [i, d, *(letters.get(x, 0) for x in langs), sorted(whole), lang, p], strict=True):
                     col.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f[1]) for c, f in zip(out, fields, strict=True)], schema=schema)
 
-    ddl = ", ".join(["id string", "document_id string", *(f"n_{x} long" for x in langs), "whole array<string>", "confidence double"])
+    ddl = ", ".join(["id string", "document_id string", *(f"n_{x} long" for x in langs), "whole array<string>", "lang string", "confidence double"])
     return spread(segments.select(F.col("id").cast("string"), F.col("document_id").cast("string"), "source_text")).mapInArrow(run, ddl)
 
 
@@ -290,20 +296,42 @@ def declared(column):
     return out
 
 
-def find_mislabelled(documents: DataFrame, segments: DataFrame, model: LangModel) -> DataFrame:
-    """(record_level, row_id, lang, confidence): documents with a missing or wrong label, and segments with a whole sentence in another language than their document's."""
+def _judged(documents: DataFrame, segments: DataFrame, model: LangModel) -> tuple[DataFrame, DataFrame]:
+    """(row_id, lang, confidence, is_case) of every document, and the same with document_id of every segment of a document with a language."""
     labelled = stable(label_segments(segments, model))
     main = document_languages(labelled, model.langs)
+    # Words of which no sentence is sure still have a likeliest language; they make no case.
+    unsure = labelled.where(F.col("lang").isNotNull()).groupBy("document_id").agg(F.max(F.struct("confidence", "lang")).alias("u"))
     docs = (
         documents.select(F.col("id").cast("string").alias("document_id"), declared(F.col("source_lang")).alias("declared"))
-        .join(main, "document_id")
-        .where(~F.col("declared").eqNullSafe(F.col("lang")))
-        .select(F.lit("document").alias("record_level"), F.col("document_id").alias("row_id"), "lang", "confidence")
+        .join(main, "document_id", "left")
+        .join(unsure, "document_id", "left")
+        .select(
+            F.col("document_id").alias("row_id"),
+            F.coalesce("lang", "u.lang").alias("lang"),
+            F.coalesce("confidence", "u.confidence", F.lit(0.0)).alias("confidence"),
+            (F.col("lang").isNotNull() & ~F.col("declared").eqNullSafe(F.col("lang"))).alias("is_case"),
+        )
     )
-    mixed = (
-        labelled.where(F.size("whole") > 0)
-        .join(main.select("document_id", F.col("lang").alias("main")), "document_id")
-        .where((F.size("whole") > 1) | (F.col("whole")[0] != F.col("main")))
-        .select(F.lit("segment").alias("record_level"), F.col("id").alias("row_id"), F.concat_ws("+", "whole").alias("lang"), "confidence")
+    segs = labelled.join(main.select("document_id", F.col("lang").alias("main")), "document_id").select(
+        "document_id", F.col("id").alias("row_id"), "lang", "confidence", ((F.size("whole") > 1) | (F.size("whole") > 0) & (F.col("whole")[0] != F.col("main"))).alias("is_case")
     )
-    return docs.unionByName(mixed)
+    return docs, segs
+
+
+def _levels(docs: DataFrame, segs: DataFrame) -> DataFrame:
+    columns = ["row_id", "lang", "confidence"]
+    return docs.select(F.lit("document").alias("record_level"), *columns).unionByName(segs.select(F.lit("segment").alias("record_level"), *columns))
+
+
+def find_languages(documents: DataFrame, segments: DataFrame, model: LangModel) -> DataFrame:
+    """(record_level, row_id, lang, confidence): every document, and every segment of documents that hold a whole sentence in another language than their main one."""
+    docs, segs = _judged(documents, segments, model)
+    mixed = segs.where("is_case").select("document_id").distinct()
+    return _levels(docs, segs.join(mixed, "document_id", "left_semi"))
+
+
+def find_mislabelled(documents: DataFrame, segments: DataFrame, model: LangModel) -> DataFrame:
+    """(record_level, row_id, lang, confidence): documents with a missing or wrong label, and segments with a whole sentence in another language than their document's."""
+    docs, segs = _judged(documents, segments, model)
+    return _levels(docs.where("is_case"), segs.where("is_case"))

@@ -48,18 +48,18 @@ def p2_defects(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d).join(errors, "segment_id", "left").select("segment_id", F.array_join("types", ",").alias("defect_types"), F.coalesce("n_errors", F.lit(0)).alias("n_errors"))
 
 
-def _languages(spark: SparkSession, d: str) -> DataFrame:
-    return langid.find_mislabelled(table(spark, d, "document_summary"), table(spark, d, "segments"), langid.fit(table(spark, d, "lang_samples")))
+def _languages(spark: SparkSession, d: str, find) -> DataFrame:
+    return find(table(spark, d, "document_summary"), table(spark, d, "segments"), langid.fit(table(spark, d, "lang_samples")))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents with a missing or wrong language label, and segments in another language."""
-    return _languages(spark, d).select("record_level", "row_id", "lang")
+    return _languages(spark, d, langid.find_mislabelled).select("record_level", "row_id", "lang")
 
 
 def p4_confidence(spark: SparkSession, d: str) -> DataFrame:
-    """The same with the confidence of each label."""
-    return _languages(spark, d).select("record_level", "row_id", "lang", F.round("confidence", 4).alias("confidence"))
+    """Language and confidence of every document and of every segment of the mixed ones."""
+    return _languages(spark, d, langid.find_languages).select("record_level", "row_id", "lang", F.round("confidence", 4).alias("confidence"))
 
 
 def _consistent(spark: SparkSession, d: str, changed_only: bool) -> DataFrame:

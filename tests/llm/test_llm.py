@@ -149,6 +149,20 @@ def test_mislabelled(spark, samples, model):
     assert langid.find_mislabelled(d, s, langid.train([])).count() == 0
 
 
+@needs_data
+def test_every_language(spark, samples, model):
+    by = {y: [t for t, z in samples if z == y] for y in ("en", "ne", "tmg")}
+    d = spark.createDataFrame([("right", "en"), ("mixed", "en"), ("bare", "en"), ("none", None)], "id string, source_lang string")
+    seg = [("r0", "right", by["en"][0]), ("m0", "mixed", by["en"][1]), ("m1", "mixed", by["en"][2]), ("m2", "mixed", by["ne"][0]), ("m3", "mixed", "12 34"), ("m4", "mixed", "Notice board"), ("m5", "mixed", None), ("b0", "bare", "12 34")]
+    s = spark.createDataFrame(seg, "id string, document_id string, source_text string")
+    got = {(r.record_level, r.row_id): (r.lang, r.confidence) for r in langid.find_languages(d, s, model).collect()}
+    assert set(got) == {("document", x) for x in ("right", "mixed", "bare", "none")} | {("segment", f"m{i}") for i in range(6)}
+    assert got["document", "right"][0] == got["document", "mixed"][0] == got["segment", "m0"][0] == got["segment", "m4"][0] == "en" and got["segment", "m2"][0] == "ne"
+    assert all(got[k] == (None, 0.0) for k in [("document", "bare"), ("document", "none"), ("segment", "m3"), ("segment", "m5")])
+    assert all(0.3 < p <= 1 for x, p in got.values() if x)
+    assert {(r.lang, r.confidence) for r in langid.find_languages(d, s, langid.train([])).collect()} == {(None, 0.0)}
+
+
 # Pairs
 @needs_data
 def test_defects(model):
