@@ -14,7 +14,6 @@ wholly; of repeated rows each reports; an item occurring several times in a docu
 from __future__ import annotations
 
 import bisect
-import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
@@ -31,8 +30,10 @@ LEAST_WORDS = 15
 BLOCK = 3
 #: Words of a passage that may be replaced.
 REPLACED = 0.14
-#: Share of a passage's weight, its words weighed by their rarity among the items, that the replaced words may have.
-LOST = 0.2
+#: Share of the telling words that may have become others where no number did.
+CHANGED = 0.2
+#: Numbers, and words in at most this share of the items, tell an item from others of its making.
+TELLING = 0.1
 #: Items searched for in one pass; more go in further passes over the corpus.
 ITEMS_PER_PASS = 2_000
 LINE_NUMBER = re.compile(r"^[ \t]*(?:[(\[]?[0-9०-९]{1,4}[.):\]][ \t]*|[0-9०-९]{1,3}[ \t]+(?=\S))(?=\D)|(?<!\S)[(\[]?[0-9०-९]{1,3}[)\]](?=\s)", re.M)
@@ -88,15 +89,16 @@ class LeakFinder:
             n = min(SEED_WORDS, len(w))
             for k in range(len(w) - n + 1) if n else ():
                 self.at[f" {' '.join(w[k : k + n])} "].append((i, k))
-        self.count = Counter(x for w in self.words.values() for x in set(w))
-        self.idf = {x: math.log((len(self.words) + 1) / n) + 0.1 for x, n in self.count.items()}
-        self.rare = max(1, int(0.02 * len(self.words)))
+        # An item that stands under several ids counts once.
+        distinct = {tuple(w): i for i, w in self.words.items()}
+        self.count = Counter(x for w in distinct for x in set(w))
+        self.few = max(1, int(TELLING * len(distinct)))
         self.search = WuManber(self.at).search
         # A first sentence that items share is an instruction, no content of theirs.
         first = {i: len(words_of(SENTENCE_END.split(t, maxsplit=1)[0])) for i, t in items}
         opening: dict[tuple[str, ...], int] = defaultdict(int)
-        for i, w in self.words.items():
-            opening[tuple(w[: first[i]])] += 1
+        for w, i in distinct.items():
+            opening[w[: first[i]]] += 1
         self.shared = {i: first[i] if opening[tuple(w[: first[i]])] > 1 else 0 for i, w in self.words.items()}
 
     def find(self, text: str | None) -> set[int]:
@@ -121,24 +123,37 @@ class LeakFinder:
                 leaked.add(i)
         return leaked
 
+    def tells(self, word: str) -> bool:
+        return word.isdigit() or self.count[word] <= self.few
+
+    def another(self, mine: str, theirs: str) -> bool:
+        """Whether a word of the item gave way to one that may stand there in another item of its making: a number to a number, a telling word to a telling one."""
+        if mine.isdigit() or theirs.isdigit():
+            return mine.isdigit() and theirs.isdigit()
+        return self.tells(mine) and self.tells(theirs)
+
+    def judged(self, item: list[str], doc: list[str], d: int, lo: int, hi: int) -> tuple[list[int], list[int], list[int]]:
+        """For each position of the item, how many words before it tell the item, have become others, and are numbers among these."""
+        telling, others, numbers = [0], [0], [0]
+        for k, w in enumerate(item):
+            other = lo <= k < hi and w != doc[k + d] and self.another(w, doc[k + d])
+            telling.append(telling[-1] + self.tells(w))
+            others.append(others[-1] + other)
+            numbers.append(numbers[-1] + (other and w.isdigit()))
+        return telling, others, numbers
+
     def passage(self, item: list[str], doc: list[str], d: int, shared: int) -> bool:
         """Whether word k of the item and word k + d of the document agree over a passage long enough, but for the words that may be replaced."""
         least = min(LEAST_WORDS, len(item))
         lo, hi = max(0, -d), min(len(item), len(doc) - d)
         hits = [k for k in range(lo, hi) if item[k] == doc[k + d]]
+        if len(hits) < least - int(least * REPLACED):
+            return False
         own = [k >= shared for k in hits]
         ahead = [0]
         for x in own:
             ahead.append(ahead[-1] + x)
-        idf = [self.idf[w] for w in item]
-        rare = [self.count[w] <= self.rare for w in item]
-        mass, rares, hit_mass, hit_rares = [0.0], [0], [0.0], [0]
-        for k in range(len(item)):
-            mass.append(mass[-1] + idf[k])
-            rares.append(rares[-1] + rare[k])
-        for k in hits:
-            hit_mass.append(hit_mass[-1] + idf[k])
-            hit_rares.append(hit_rares[-1] + rare[k])
+        telling: list[int] = []
         for b in range(len(hits)):
             for a in range(b + 1):
                 n = hits[b] - hits[a] + 1
@@ -149,10 +164,12 @@ class LeakFinder:
                     continue
                 if not replaced:
                     return True
-                # What was replaced must not be what tells the item from others of its making.
-                kept_rares, all_rares = hit_rares[b + 1] - hit_rares[a], rares[hits[b] + 1] - rares[hits[a]]
-                lost = 1 - (hit_mass[b + 1] - hit_mass[a]) / (mass[hits[b] + 1] - mass[hits[a]])
-                if kept_rares and 2 * kept_rares >= all_rares and lost <= LOST:
+                if not telling:
+                    telling, others, numbers = self.judged(item, doc, d, lo, hi)
+                # Of the words that tell the item from others, no more than the same share may have become others; a little more, if no number did.
+                first, last = hits[a], hits[b] + 1
+                share = REPLACED if numbers[last] > numbers[first] else CHANGED
+                if others[last] - others[first] <= int((telling[last] - telling[first]) * share):
                     return True
         return False
 

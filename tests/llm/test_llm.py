@@ -217,6 +217,20 @@ def test_passages():
     assert f.find(None) == f.find("") == set()
 
 
+def test_replaced_words_are_judged_by_what_they_were():
+    rng = random.Random(6)
+    form = "when file {} vanished from the office of {} a porter from {} swore that the families there had left the paper under shelf {} and went home again"
+    place = lambda: "".join(rng.choice("klmnoprstuv") for _ in range(8))
+    items = [(i, form.format(1000 + i, place(), place(), 2000 + i)) for i in range(20)]
+    own = items[3][1].split()
+    swap = lambda words, at: " ".join({k: v for k, v in at}.get(k, w) for k, w in enumerate(words))
+    one, other = swap(own, [(14, "zzz")]), swap(own, [(2, "47"), (8, place()), (12, place()), (24, "58")])
+    # The same item, or nearly so, under a second id.
+    for more in ([], [(99, items[3][1])], [(99, items[3][1] + " today")]):
+        f = leakage.LeakFinder(items + more)
+        assert f.find(one) == {3, *(i for i, _ in more)} and f.find(other) == set()
+
+
 def test_leaks_on_tables(spark, monkeypatch):
     text = " ".join(f"w{i}x" for i in range(40))
     docs = spark.createDataFrame([(1, text, 5), (2, None, 5), (1, text, 5), (3, "filler " * 50_000 + text, 5)], "doc_id long, text string, item_id int")
