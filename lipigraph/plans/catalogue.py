@@ -256,7 +256,7 @@ def entities_detected(spark: SparkSession, d: str) -> DataFrame:
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
     t = spread(table(spark, d, "translations").select(F.col("segment_id").alias("id"), "candidate_text"))
-    return spread(table(spark, d, "segments").select("id", "source_text", "protected_entities", "glossary_hits")).join(t, "id")
+    return spread(table(spark, d, "segments").select("id", "document_id", "source_text", "protected_entities", "glossary_hits")).join(t, "id")
 
 
 def _fired(spark: SparkSession, d: str, only: set[str]) -> DataFrame:
@@ -322,8 +322,10 @@ def rules_lexicon(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def risk_scored(spark: SparkSession, d: str) -> DataFrame:
-    """Every pair with all its reasons."""
-    scored = R.score(_pairs(spark, d), "source_text", "candidate_text", "protected_entities", "glossary_hits")
+    """Every pair with all its reasons, by the rules of its document's target language."""
+    langs = table(spark, d, "document_summary").select(F.col("id").alias("document_id"), "target_lang")
+    pairs = _pairs(spark, d).join(langs, "document_id", "left")
+    scored = R.score(pairs, "source_text", "candidate_text", "protected_entities", "glossary_hits", F.coalesce("target_lang", F.lit("en")))
     return scored.select("id", "risk_score", F.array_join("risk_reasons.code", ",").alias("codes"))
 
 

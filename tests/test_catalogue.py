@@ -34,3 +34,15 @@ def test_query(spark, sql, name):
         want = sql.sql(catalogue.ORACLE[name])
         assert sorted(want.columns) == columns
         assert got == plain(want.select(*(f'"{c}"' for c in columns)).fetchall())
+
+
+def test_risk_follows_the_target_language(spark, tmp_path):
+    entity = "array<struct<kind:string,text:string,start:int,end:int>>"
+    hit = "array<struct<source_term:string,target_term:string,term_type:string>>"
+    spark.createDataFrame([("a", "ne"), ("b", "en"), ("c", None)], "id string, target_lang string").write.parquet(f"{tmp_path}/document_summary.parquet")
+    segments = [(x, x, "The fee is NPR 500", [], []) for x in "abcd"]
+    spark.createDataFrame(segments, f"id string, document_id string, source_text string, protected_entities {entity}, glossary_hits {hit}").write.parquet(f"{tmp_path}/segments.parquet")
+    spark.createDataFrame([(x, "शुल्क NPR 500 हो") for x in "abcd"], "segment_id string, candidate_text string").write.parquet(f"{tmp_path}/translations.parquet")
+    got = {r.id: (r.risk_score, r.codes.split(",")) for r in catalogue.risk_scored(spark, str(tmp_path)).collect()}
+    assert {x for x, (_, codes) in got.items() if "currency_unlocalized" in codes} == {"a"}
+    assert set(got) == set("abcd") and all(score == len(codes) for score, codes in got.values())
