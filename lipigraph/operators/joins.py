@@ -3,6 +3,8 @@ parameter or was checked, so at scale the big sides shuffle on their keys and ad
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,7 +37,7 @@ def scoped(segments: DataFrame, documents: DataFrame) -> DataFrame:
 def glossary_hits(segments: DataFrame, terms: DataFrame, key: Column | None = None) -> DataFrame:
     """(id, source_term, target_term, term_type): terms that a segment (id, source_text, normalized_source and scope) contains, of its scope or of no subdomain.
 
-    The dictionary joins by its scope, an equality; the text is compared within. A dictionary above the bound isn't broadcast: its terms then meet the texts on their first word."""
+    The dictionary joins by its scope, an equality; the text is compared within. A dictionary above the bound is broadcast in blocks below it, each with its own pass over the segments."""
     t = terms.select("source_lang", "target_lang", "domain", F.col("subdomain").alias("term_subdomain"), "source_term", "target_term", "term_type", "case_sensitive", "normalized_source_term")
     raw = T.without_urls(F.col("source_text"))
     plain = T.without_urls(F.col("normalized_source"))
@@ -46,10 +48,11 @@ def glossary_hits(segments: DataFrame, terms: DataFrame, key: Column | None = No
     if t.limit(MAX_DICTIONARY + 1).count() <= MAX_DICTIONARY:
         joined = s.join(F.broadcast(t), on).where(within & found)
     else:
-        first = lambda c: F.split(F.lower(c), r"[^\p{L}\p{M}\p{N}]+")
-        words = s.select("id", *on, F.explode(F.array_distinct(first(F.col("plain")))).alias("word"))
-        heads = t.withColumn("word", F.filter(first(F.col("normalized_source_term")), lambda w: w != "")[0])
-        joined = words.join(heads, [*on, "word"]).drop("word").join(s, ["id", *on]).where(within & found)
+        t = t.distinct()
+        # Blocks of half the bound on average, so that chance doesn't bring one above it.
+        n = 2 * t.count() // max(1, MAX_DICTIONARY) + 1
+        block = F.pmod(F.xxhash64(*t.columns), F.lit(n))
+        joined = reduce(DataFrame.unionByName, (s.join(F.broadcast(t.where(block == k)), on).where(within & found) for k in range(n)))
     return joined.select("id", "source_term", "target_term", "term_type").distinct()
 
 

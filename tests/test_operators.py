@@ -22,6 +22,16 @@ def test_glossary_both_ways(spark, monkeypatch):
     assert {r.id: len(r.hits) for r in joins.nested_hits(seg, hits).collect()} == {"1": 2, "2": 0, "3": 1, "4": 0}
 
 
+def test_glossary_hits_do_not_depend_on_its_size(spark, monkeypatch):
+    term = lambda source, cased, plain: ("en", "ne", "d", "__none__", source, "क", "t", cased, plain)
+    terms = spark.createDataFrame([term("form", False, "form"), term("वडा", False, "वडा"), term("§", False, "§"), term("Seal", True, None), term("Deed", True, "deed"), term("form", False, "form"), term("none", False, "none")], TERMS)
+    seg = spark.createDataFrame([("1", "en", "ne", "d", "x", "Forms with a Seal, § 4, a Deed", "forms with a seal, § 4, a stale text"), ("2", "en", "ne", "d", "x", "वडाको", "वडाको")], "id string, source_lang string, target_lang string, domain string, subdomain string, source_text string, normalized_source string")
+    want = [("1", "Deed"), ("1", "Seal"), ("1", "form"), ("1", "§"), ("2", "वडा")]
+    for bound in (50_000, 3, 1):
+        monkeypatch.setattr(joins, "MAX_DICTIONARY", bound)
+        assert sorted((r.id, r.source_term) for r in joins.glossary_hits(seg, terms).collect()) == want
+
+
 def test_contract(spark):
     asked = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "id string")
     got = spark.createDataFrame([("a", "x"), ("b", "x"), ("b", "y"), ("c", " "), ("e", "x")], "segment_id string, translated_text string")
