@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lipigraph.llm import langid, leakage, lookalike, mixing, pairs, pii, safety
+from lipigraph.llm import dedup, langid, leakage, lookalike, mixing, pairs, pii, safety
 from lipigraph.session import spread, table
 
 PII_FIELDS = [("segments", "source_text"), ("translations", "approved_text"), ("review_events", "after_text")]
@@ -48,6 +48,16 @@ def p2_defects(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d).join(errors, "segment_id", "left").select("segment_id", F.array_join("types", ",").alias("defect_types"), F.coalesce("n_errors", F.lit(0)).alias("n_errors"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Copies of memory entries beside the one that is kept."""
+    return dedup.copies(table(spark, d, "memory_entries"))
+
+
+def p3_representatives(spark: SparkSession, d: str) -> DataFrame:
+    """One memory entry of each group of copies, with their number."""
+    return dedup.representatives(table(spark, d, "memory_entries"))
+
+
 def _languages(spark: SparkSession, d: str, find) -> DataFrame:
     return find(table(spark, d, "document_summary"), table(spark, d, "segments"), langid.fit(table(spark, d, "lang_samples")))
 
@@ -120,6 +130,6 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_redacted, p2_found, p2_defects, p4_found, p4_confidence, p5_found, p5_consistent, p6_found, p7_mix, p7_shares, p8_found, p8_scores, p8_rates)
+    for f in (p1_found, p1_redacted, p2_found, p2_defects, p3_found, p3_representatives, p4_found, p4_confidence, p5_found, p5_consistent, p6_found, p7_mix, p7_shares, p8_found, p8_scores, p8_rates)
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"p3_found": dedup.COPIES_SQL, "p3_representatives": dedup.REPRESENTATIVES_SQL}
