@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lipigraph.functions import entities as E
 from lipigraph.functions import rules as R
 from lipigraph.functions import text as T
-from lipigraph.operators import dedup, feedback, joins, language, metrics, regions, review
+from lipigraph.operators import feedback, joins, language, metrics, regions, review
 from lipigraph.operators.joins import SCOPE
 from lipigraph.sources import segmenters, sinks
 from lipigraph.streaming import progress
@@ -44,19 +44,6 @@ STRUCTURAL = r"""CASE WHEN source_text IS NULL OR regexp_matches(source_text, '(
   WHEN regexp_matches(trim(source_text), '^[ivxlcdmIVXLCDM]{1,8}$') OR regexp_matches(trim(source_text), '^[•\-–—]$') OR regexp_matches(trim(source_text), '^[.·•\-–—\s]{3,}$') THEN trim(source_text) END"""
 
 
-def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    """Copies of memory entries beside the one that is kept."""
-    return dedup.copies(table(spark, d, "memory_entries"))
-
-
-def p3_representatives(spark: SparkSession, d: str) -> DataFrame:
-    """One memory entry of each group of copies, with their number."""
-    return dedup.representatives(table(spark, d, "memory_entries"))
-
-
-QUERIES |= {"p3_found": p3_found, "p3_representatives": p3_representatives}
-
-
 def _scoped(spark: SparkSession, d: str) -> DataFrame:
     return joins.scoped(table(spark, d, "segments"), table(spark, d, "document_summary"))
 

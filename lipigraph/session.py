@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -19,6 +21,7 @@ def local_session(cores: int | str = 8, partitions: int = 8) -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -53,17 +56,39 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where the session names none (tests)."""
+    """The shared folder that the cluster names in spark.checkpoint.dir. Where it names none a local session gets a temporary one; a cluster has to name one."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc._conf.get("spark.checkpoint.dir")
     if where is None:
-        where = getattr(sc, "_lipigraph_dir", None) or tempfile.mkdtemp(prefix="lipigraph-")
-        sc._lipigraph_dir = where
+        where = getattr(sc, "_lipigraph_dir", None)
+        if where is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        if where is None:
+            where = sc._lipigraph_dir = tempfile.mkdtemp(prefix="lipigraph-")
+            atexit.register(shutil.rmtree, where, ignore_errors=True)
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(where)
     return where
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path for a table of this application below the shared folder. The application's tables go when its context stops."""
+    sc = spark.sparkContext
+    root = f"{shared_dir(spark)}/lipigraph-{sc.applicationId}"
+    if not getattr(sc, "_lipigraph_scratch", False):
+        sc._lipigraph_scratch = True
+        atexit.register(_remove, sc, root)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def _remove(sc, root: str) -> None:
+    try:
+        path = sc._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # the context is gone already
+        pass
+
+
 def stable(df: DataFrame) -> DataFrame:
     """df computed once and kept where a lost executor can't take it."""
     shared_dir(df.sparkSession)
@@ -72,6 +97,6 @@ def stable(df: DataFrame) -> DataFrame:
 
 def stable_table(df: DataFrame, name: str) -> DataFrame:
     """Like stable(), as a compressed columnar table; for wide results that are read more than once."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lipigraph.session import shared_dir
+from lipigraph.session import scratch
 
 
 def event_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
@@ -33,7 +31,7 @@ def windowed(events: DataFrame, late: str = "2 days", width: str = "1 day") -> D
 def run_once(stream: DataFrame, mode: str = "complete") -> DataFrame:
     """The result of a stream over all that is there now, each batch committed exactly once to a table in the shared folder."""
     spark = stream.sparkSession
-    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    root = scratch(spark, "stream")
     columns = stream.schema
 
     def keep(batch: DataFrame, number: int) -> None:
