@@ -14,6 +14,7 @@ the threshold; texts count whole, long words in overlapping windows; repeated ro
 
 from __future__ import annotations
 
+import functools
 import re
 
 import numpy as np
@@ -26,10 +27,12 @@ from lipigraph.llm.roman import romanise
 from lipigraph.session import spread
 
 DECAY = 0.6
-LANDMARKS = 256
+LANDMARKS = 512
 WINDOW = 24
 MAX_TRAIN_DOCS = 10_000
 CACHE_WORDS = 200_000
+#: Longer words aren't kept, so a cache is bounded in bytes too.
+LONG = 64
 #: Where documents held out from training were told apart best.
 THRESHOLD = -0.2
 
@@ -43,10 +46,20 @@ LETTERS = re.compile(r"[^\W\d_]")
 
 
 def sentences_of(text: str) -> list[str]:
-    return [x for x in SPLIT.split(fold(text)) if len(x) > 3 and not x.isspace()]
+    return [x for x in SPLIT.split(fold(text)) if x and not x.isspace()]
+
+
+@functools.lru_cache(CACHE_WORDS)
+def _short_word(token: str) -> str:
+    return _word(token)
 
 
 def word_of(token: str) -> str:
+    """A token's word, kept for tokens of usual length."""
+    return _short_word(token) if len(token) <= LONG else _word(token)
+
+
+def _word(token: str) -> str:
     """A token as the kernel sees it: Latin letters, disguises of single letters undone, quotation marks and masks kept."""
     t = token.strip(EDGE)
     if not t:
@@ -67,91 +80,99 @@ def units_of(sentence: str) -> list[str]:
     return [w for w in map(word_of, s.split()) if w]
 
 
-def codes(words: list[str]) -> np.ndarray:
-    out = np.zeros((len(words), WINDOW), dtype=np.int32)
-    for i, w in enumerate(words):
-        out[i, : len(w)] = [ord(c) for c in w[:WINDOW]]
+#: What subsequences of one, two and three characters count for.
+ORDER_WEIGHTS = (0.2, 1.0, 1.5)
+GAPS = [DECAY**k for k in range(WINDOW)]
+
+
+def features(word: str) -> dict[str, float]:
+    """The word in the space of the gap-weighted subsequence kernel: every subsequence of up to three characters, weighed by the gaps of its occurrences. The kernel of two words is the product of these, so nothing is approximated."""
+    one, two, three = (w**0.5 for w in ORDER_WEIGHTS)
+    out: dict[str, float] = {}
+    get = out.get
+    n = len(word)
+    for i in range(n):
+        a = word[i]
+        out[a] = get(a, 0.0) + one
+        for k in range(i + 1, n):
+            gap = GAPS[k - i - 1]
+            ab = a + word[k]
+            out[ab] = get(ab, 0.0) + two * gap
+            gap *= three
+            for j in range(i + 1, k):
+                abc = a + word[j] + word[k]
+                out[abc] = get(abc, 0.0) + gap
     return out
 
 
-DECAYS = np.array([[DECAY ** (i - j) if j <= i else 0.0 for j in range(WINDOW)] for i in range(WINDOW)], dtype=np.float32)
-
+def norm(f: dict[str, float]) -> float:
+    return max(sum(x * x for x in f.values()), 1e-6) ** 0.5
 
-def raw_kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The sum of the gap-weighted kernels of subsequences of one, two and three characters, for all pairs of coded words."""
-    n, m = max(1, int((a > 0).sum(1).max(initial=1))), max(1, int((b > 0).sum(1).max(initial=1)))
-    a, b = a[:, :n], b[:, :m]
-    same = (a[:, None, :, None] == b[None, :, None, :]) & (a[:, None, :, None] > 0)
-    dps = same.astype(np.float32) * DECAY**2
-    total = 0.2 * dps.sum((2, 3)) / DECAY**2
-    left, right = DECAYS[:n, :n], DECAYS[:m, :m].T
-    for weight in (1.0, 1.5):
-        dp = np.matmul(np.matmul(left, dps), right)
-        nxt = np.zeros_like(dps)
-        nxt[:, :, 1:, 1:] = dp[:, :, :-1, :-1] * DECAY**2
-        dps = np.where(same, nxt, 0)
-        total += weight * dps.sum((2, 3)) / DECAY**4
-    return total
 
-
-def kernel(words: list[str], landmarks: list[str], own: np.ndarray | None = None) -> np.ndarray:
+def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
     """Normalised kernel of words and landmarks."""
-    lc = codes(landmarks)
-    own = self_kernel(landmarks) if own is None else own
+    index: dict[str, int] = {}
+    entries = []
+    for m, x in enumerate(landmarks):
+        f = features(x)
+        size = norm(f)
+        entries += [(index.setdefault(u, len(index)), m, v / size) for u, v in f.items()]
+    table = np.zeros((len(index), len(landmarks)), dtype=np.float32)
+    if entries:
+        rows, columns, values = zip(*entries, strict=True)
+        table[list(rows), list(columns)] = values
     out = np.zeros((len(words), len(landmarks)), dtype=np.float32)
-    order = sorted(range(len(words)), key=lambda i: len(words[i]))
-    for at in range(0, len(order), 16):
-        part = order[at : at + 16]
-        w = [words[i] for i in part]
-        out[part] = raw_kernel(codes(w), lc) / np.sqrt(self_kernel(w)[:, None] * own[None, :])
+    for k, w in enumerate(words):
+        f = features(w)
+        size = norm(f)
+        known = [(index[u], v / size) for u, v in f.items() if u in index]
+        if known:
+            at, v = zip(*known, strict=True)
+            out[k] = np.array(v, dtype=np.float32) @ table[list(at)]
     return out
 
 
-def self_kernel(words: list[str]) -> np.ndarray:
-    c = codes(words)
-    return np.maximum(np.array([raw_kernel(c[i : i + 1], c[i : i + 1])[0, 0] for i in range(len(words))], dtype=np.float32), 1e-6)
-
-
 def windows(word: str) -> list[str]:
     return [word] if len(word) <= WINDOW else [word[i : i + WINDOW] for i in range(0, len(word) - WINDOW // 2, WINDOW // 2)]
 
 
 class SafetyModel:
-    """Score of a sentence: bias and the scaled sum of what its words weigh."""
+    """Score of a sentence: bias and the scaled sum of what its words weigh.
+
+    The machine is a weighted sum of kernels with the landmarks. Since the kernel is a product of features, that sum is one weight for each subsequence that a landmark has."""
 
     def __init__(self, landmarks: list[str], weights: np.ndarray, bias: float, threshold: float) -> None:
-        self.landmarks, self.weights, self.bias, self.threshold = landmarks, weights, bias, threshold
-        self.own = self_kernel(landmarks) if landmarks else np.zeros(0)
+        self.landmarks, self.bias, self.threshold = landmarks, bias, threshold
+        self.subsequences: dict[str, float] = {}
+        for x, w in zip(landmarks, np.asarray(weights).tolist(), strict=True):
+            f = features(x)
+            size = norm(f)
+            for u, v in f.items():
+                self.subsequences[u] = self.subsequences.get(u, 0.0) + w * v / size
         self.cache: dict[str, float] = {}
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"cache": {}}
 
-    def learn(self, words: set[str]) -> None:
-        """Weighs the words that aren't known yet."""
-        new = [w for w in words if w not in self.cache]
-        if len(self.cache) + len(new) > CACHE_WORDS:
-            self.cache.clear()
-            new = list(words)
-        if not new:
-            return
-        if not self.landmarks:
-            self.cache.update(dict.fromkeys(new, 0.0))
-            return
-        parts = [(w, x) for w in new for x in windows(w)]
-        got = kernel([x for _, x in parts], self.landmarks, self.own) @ self.weights
-        for w in new:
-            self.cache[w] = -1e9
-        for (w, _), g in zip(parts, got.tolist(), strict=True):
-            self.cache[w] = max(self.cache[w], g)
+    def of_word(self, word: str) -> float:
+        got = self.cache.get(word)
+        if got is None:
+            if len(self.cache) >= CACHE_WORDS:
+                self.cache.clear()
+            got = max(map(self.of_window, windows(word)))
+            if len(word) <= LONG:
+                self.cache[word] = got
+        return got
+
+    def of_window(self, part: str) -> float:
+        f, get = features(part), self.subsequences.get
+        return sum(v * get(u, 0.0) for u, v in f.items()) / norm(f)
 
     def scores(self, texts: list[str | None]) -> list[float]:
-        split = [[units_of(s) for s in sentences_of(t)] if t else [] for t in texts]
-        self.learn({w for ss in split for s in ss for w in s})
-        return [max((self.of_units(s) for s in ss), default=self.bias) for ss in split]
+        return [max((self.of_units(u) for s in sentences_of(t) if (u := units_of(s))), default=self.bias) if t else self.bias for t in texts]
 
     def of_units(self, units: list[str]) -> float:
-        return self.bias + sum(self.cache[w] for w in units) / max(1.0, len(units)) ** 0.5
+        return self.bias + sum(map(self.of_word, units)) / max(1.0, len(units)) ** 0.5
 
 
 def fit_svm(x: np.ndarray, y: np.ndarray, c: np.ndarray, ridge: float = 1.0, rounds: int = 15) -> tuple[np.ndarray, float]:
@@ -192,13 +213,12 @@ def train(docs: list[tuple[str, bool]], landmarks: int = LANDMARKS, rounds: int
     marks = list(dict.fromkeys(by_odds[: landmarks * 5 // 8] + usual[: landmarks // 4] + [short[i] for i in rng.permutation(len(short))[: landmarks // 8]]))[:landmarks]
     vocab = sorted(odds)
     index = {w: i for i, w in enumerate(vocab)}
-    own = self_kernel(marks)
-    k_mm = kernel(marks, marks, own)
+    k_mm = kernel(marks, marks)
     value, vector = np.linalg.eigh(k_mm.astype(np.float64))
     root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-3))) @ vector.T
     image = np.zeros((len(vocab), len(marks)), dtype=np.float32)
     parts = [(index[w], x) for w in vocab for x in windows(w)]
-    k_parts = kernel([x for _, x in parts], marks, own)
+    k_parts = kernel([x for _, x in parts], marks)
     best = np.zeros(len(vocab))
     for (i, _), k in zip(parts, k_parts, strict=True):
         if k.max(initial=0) >= best[i]:
@@ -240,8 +260,9 @@ def agreed(labels: DataFrame) -> DataFrame:
 def fit(documents: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> SafetyModel:
     """The model of labelled documents; of more than max_docs, those of the smallest doc_id serve."""
     chosen = agreed(labels).orderBy("doc_id").limit(max_docs)
-    rows = documents.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").orderBy("doc_id").collect()
-    return train([(r.text, r.harmful) for r in rows])
+    # At most max_docs rows; sorted here, since a distributed sort would read the corpus twice.
+    rows = documents.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").collect()
+    return train([(r.text, r.harmful) for r in sorted(rows, key=lambda r: (r.doc_id, r.text))])
 
 
 def score_documents(documents: DataFrame, model: SafetyModel) -> DataFrame:
