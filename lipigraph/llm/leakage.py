@@ -1,8 +1,8 @@
 """Problem 6: evaluation texts that occur, wholly or in a passage, in a corpus.
 
 Wu-Manber multi-pattern search: the patterns are all windows of five successive words of the test items. A table of shifts
-by blocks of three characters skips positions where no pattern can end; where the shift is nothing, the bucket of that
-block holds the patterns that are compared directly. An occurrence confirms five words; the passage around it is then
+by blocks of characters skips positions where no pattern can end; where the shift is nothing, the bucket of the characters
+before holds the patterns that are compared directly. An occurrence confirms five words; the passage around it is then
 aligned word by word with the item, so that replaced words are tolerated.
 
 Five words are enough: of 15 words with two replaced, five successive ones at least are untouched.
@@ -17,28 +17,31 @@ import bisect
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
+from functools import reduce
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lipigraph.llm.lookalike import fold
-from lipigraph.session import spread
+from lipigraph.session import spread, stable
 
 SEED_WORDS = 5
 LEAST_WORDS = 15
-BLOCK = 3
+#: Characters of a block of the shift table; fewer where a pattern is shorter.
+BLOCK = 5
 #: Words of a passage that may be replaced.
 REPLACED = 0.14
 #: Share of the telling words that may have become others where no number did.
 CHANGED = 0.2
 #: Numbers, and words in at most this share of the items, tell an item from others of its making.
 TELLING = 0.1
-#: Items searched for in one pass; more go in further passes over the corpus.
-ITEMS_PER_PASS = 2_000
+#: Characters of items searched for in one pass, some 200 MB as patterns in a worker; more go in further passes over the corpus, with the same results.
+CHARS_PER_PASS = 4_000_000
 LINE_NUMBER = re.compile(r"^[ \t]*(?:[(\[]?[0-9०-९]{1,4}[.):\]][ \t]*|[0-9०-९]{1,3}[ \t]+(?=\S))(?=\D)|(?<!\S)[(\[]?[0-9०-९]{1,3}[)\]](?=\s)", re.M)
 SENTENCE_END = re.compile(r"[.।?!]\s")
-TOKEN = re.compile("[0-9]+|[A-Za-zÀ-ॣॱ-῿‍Ⰰ-⿯぀-퟿豈-﷿]+")
+TOKEN = re.compile("[0-9०-९]+|[A-Za-zÀ-ॣॱ-῿‍Ⰰ-⿯぀-퟿豈-﷿]+")
 DIGITS = str.maketrans("०१२३४५६७८९", "0123456789")
 
 
@@ -47,59 +50,81 @@ def words_of(text: str) -> list[str]:
     text = fold(text)
     if "\n" in text or ")" in text or "]" in text:
         text = LINE_NUMBER.sub("", text)
-    return TOKEN.findall(text.casefold().translate(DIGITS))
+    words = TOKEN.findall(text.casefold())
+    return words if text.isascii() else [w.translate(DIGITS) if w[0].isdigit() else w for w in words]
+
+
+def opening_of(text: str) -> int:
+    """Words of the first sentence."""
+    return len(words_of(SENTENCE_END.split(text, maxsplit=1)[0]))
 
 
 class WuManber:
     def __init__(self, patterns: Iterable[str]) -> None:
         patterns = sorted(set(patterns))
         self.least = min(map(len, patterns), default=BLOCK)
+        self.block = min(BLOCK, self.least)
         self.shift: dict[str, int] = {}
+        #: Buckets by all characters that the patterns have in common length, so that few are compared.
         self.bucket: dict[str, list[str]] = defaultdict(list)
         for p in patterns:
-            for end in range(BLOCK, self.least + 1):
-                b = p[end - BLOCK : end]
+            for end in range(self.block, self.least + 1):
+                b = p[end - self.block : end]
                 self.shift[b] = min(self.shift.get(b, self.least), self.least - end)
-            self.bucket[p[self.least - BLOCK : self.least]].append(p)
-        self.default = self.least - BLOCK + 1
+            self.bucket[p[: self.least]].append(p)
+        self.default = self.least - self.block + 1
 
     def search(self, text: str) -> Iterator[tuple[int, str]]:
         """(start, pattern) of all occurrences."""
-        least, shift, default, n = self.least, self.shift.get, self.default, len(text)
+        least, block, shift, default, bucket, n = self.least, self.block, self.shift.get, self.default, self.bucket.get, len(text)
         end = least
         while end <= n:
-            s = shift(text[end - BLOCK : end], default)
+            s = shift(text[end - block : end], default)
             if s:
                 end += s
                 continue
             start = end - least
-            for p in self.bucket[text[end - BLOCK : end]]:
+            for p in bucket(text[start:end], ()):
                 if text.startswith(p, start):
                     yield start, p
             end += 1
 
 
+class Item(NamedTuple):
+    id: int
+    words: list[str]
+    #: Words of an opening that other items have too: an instruction, no content of the item.
+    shared: int
+
+
+def prepare(texts: list[tuple[int, str]]) -> tuple[list[Item], set[str]]:
+    """Items of (item_id, text), and the words that more than a TELLING share of them have; find_leaks() computes the same over a table."""
+    words = {i: words_of(t) for i, t in texts}
+    first = {i: opening_of(t) for i, t in texts}
+    distinct = {tuple(w) for w in words.values()}
+    count = Counter(x for w in distinct for x in set(w))
+    opening = Counter(o for o, _ in {(tuple(w[: first[i]]), tuple(w)) for i, w in words.items()})
+    items = [Item(i, w, first[i] if opening[tuple(w[: first[i]])] > 1 else 0) for i, w in words.items()]
+    return items, {x for x, n in count.items() if n > few(len(distinct))}
+
+
+def few(n_items: int) -> int:
+    return max(1, int(TELLING * n_items))
+
+
 class LeakFinder:
-    """The finder for items (item_id, text)."""
+    """The finder for some items. common: words that are usual over all items, beyond those given here too."""
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
-        self.words = {i: words_of(t) for i, t in items}
+    def __init__(self, items: list[Item], common: set[str]) -> None:
+        self.words = {x.id: x.words for x in items}
+        self.shared = {x.id: x.shared for x in items}
+        self.common = common
         self.at: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for i, w in self.words.items():
             n = min(SEED_WORDS, len(w))
             for k in range(len(w) - n + 1) if n else ():
                 self.at[f" {' '.join(w[k : k + n])} "].append((i, k))
-        # An item that stands under several ids counts once.
-        distinct = {tuple(w): i for i, w in self.words.items()}
-        self.count = Counter(x for w in distinct for x in set(w))
-        self.few = max(1, int(TELLING * len(distinct)))
         self.search = WuManber(self.at).search
-        # A first sentence that items share is an instruction, no content of theirs.
-        first = {i: len(words_of(SENTENCE_END.split(t, maxsplit=1)[0])) for i, t in items}
-        opening: dict[tuple[str, ...], int] = defaultdict(int)
-        for w, i in distinct.items():
-            opening[w[: first[i]]] += 1
-        self.shared = {i: first[i] if opening[tuple(w[: first[i]])] > 1 else 0 for i, w in self.words.items()}
 
     def find(self, text: str | None) -> set[int]:
         if not text:
@@ -124,7 +149,7 @@ class LeakFinder:
         return leaked
 
     def tells(self, word: str) -> bool:
-        return word.isdigit() or self.count[word] <= self.few
+        return word.isdigit() or word not in self.common
 
     def another(self, mine: str, theirs: str) -> bool:
         """Whether a word of the item gave way to one that may stand there in another item of its making: a number to a number, a telling word to a telling one."""
@@ -154,11 +179,19 @@ class LeakFinder:
         for x in own:
             ahead.append(ahead[-1] + x)
         telling: list[int] = []
+        # Hits ahead of what a passage needs: a passage from a to b gains no less than -REPLACED, so ends that gain less beside the lowest start are passed over.
+        gain = [k - (1 - REPLACED) * h for k, h in enumerate(hits)]
+        lowest, starts = float("inf"), 0
         for b in range(len(hits)):
-            for a in range(b + 1):
+            while hits[b] - hits[starts] + 1 >= least and starts <= b:
+                lowest = min(lowest, gain[starts])
+                starts += 1
+            if gain[b] - lowest < -REPLACED - 1e-9:
+                continue
+            for a in range(starts):
+                if gain[b] - gain[a] < -REPLACED - 1e-9:
+                    continue
                 n = hits[b] - hits[a] + 1
-                if n < least:
-                    break
                 replaced = n - (b - a + 1)
                 if replaced > int(n * REPLACED) or ahead[b + 1] - ahead[a] < min(5, len(item) - shared):
                     continue
@@ -174,31 +207,49 @@ class LeakFinder:
         return False
 
 
+def prepared(items: DataFrame) -> tuple[DataFrame, set[str]]:
+    """(item_id, words, shared) of items with words, and the common words. Openings and counts are taken over all items; at most the words of an item over TELLING are common, so these fit anywhere."""
+    schema = pa.schema([("item_id", pa.int64()), ("words", pa.list_(pa.string())), ("first", pa.int32())])
+
+    def run(batches):
+        for b in batches:
+            ids, texts = b.column(0), b.column(1).to_pylist()
+            yield pa.RecordBatch.from_arrays([ids, pa.array(map(words_of, texts), schema[1].type), pa.array(map(opening_of, texts), pa.int32())], schema=schema)
+
+    rows = items.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long"), F.col("text")).mapInArrow(run, "item_id long, words array<string>, first int")
+    rows = stable(rows.where(F.size("words") > 0).withColumn("opening", F.slice("words", 1, "first")))
+    distinct = rows.select("words").distinct()
+    least = few(distinct.count())
+    words = distinct.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least)
+    openings = rows.select("opening", "words").distinct().groupBy("opening").agg((F.count(F.lit(1)) > 1).alias("is_shared"))
+    told = rows.join(openings, "opening").select("item_id", "words", F.when(F.col("is_shared"), F.col("first")).otherwise(0).alias("shared"))
+    return told, {r.word for r in words.collect()}
+
+
 def find_leaks(documents: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, item_id): the documents that contain an item or a passage of it."""
-    rows = items.where(F.col("text").isNotNull()).select("item_id", "text").toLocalIterator()
-    blocks: list[list[tuple[int, str]]] = [[]]
-    for r in rows:
-        if len(blocks[-1]) >= ITEMS_PER_PASS:
-            blocks.append([])
-        blocks[-1].append((r.item_id, r.text))
+    """(doc_id, item_id): the documents that contain an item or a passage of it. Items go to the workers in blocks of a bounded size, each searched for in one pass."""
+    told, common = prepared(items)
+    told = stable(told)
+    chars = told.agg(F.sum(F.aggregate("words", F.lit(0), lambda n, w: n + F.length(w) + 1))).first()[0] or 0
+    n = 1 + int(chars // CHARS_PER_PASS)
     corpus = spread(documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")))
-    out = None
-    for block in blocks:
-        part = corpus.mapInArrow(_finder(documents.sparkSession.sparkContext.broadcast(block)), "doc_id long, item_id long")
-        out = part if out is None else out.unionByName(part)
-    return out
+    sc = documents.sparkSession.sparkContext
+    parts = []
+    for k in range(n):
+        block = [Item(r.item_id, r.words, r.shared) for r in told.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect()]
+        parts.append(corpus.mapInArrow(_finder(sc.broadcast((block, common))), "doc_id long, item_id long"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _finder(block):
     def run(batches):
-        finder = LeakFinder(block.value)
+        finder = LeakFinder(*block.value)
         for b in batches:
-            docs, items = [], []
+            docs, found = [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 for k in sorted(finder.find(t)):
                     docs.append(i)
-                    items.append(k)
-            yield pa.RecordBatch.from_pydict({"doc_id": docs, "item_id": items}, schema=pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64())]))
+                    found.append(k)
+            yield pa.RecordBatch.from_pydict({"doc_id": docs, "item_id": found}, schema=pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64())]))
 
     return run
