@@ -1,9 +1,10 @@
 """Problem 1: personal information in free text, replaced by typed placeholders that keep equal values linked.
 
-Numbers are pseudonymised in their own format: a keyed Feistel permutation of the digits that identify somebody, written
-back with the prefix, separators and script of digits of the occurrence. Dates can be permuted the same way within the
-calendar. Mail addresses, street addresses and names get a keyed tag. The same value gets the same pseudonym in every
-document, whatever its layout.
+Numbers are pseudonymised in their own format: once validated, the digits that identify somebody go through a keyed Feistel
+permutation and are written back with the prefix, separators and script of digits of the occurrence. Dates are permuted the
+same way among the days of their century. Mail addresses, street addresses, names and numbers that no subscriber or paper
+can have get a keyed tag of 96 bits. The same value gets the same pseudonym in every document, whatever its layout. The
+key is a secret of the caller: who has it can read the pseudonyms back.
 
 People's names are found by a lexicon of given and family names that the corpus itself gives: both parts of personal mail
 addresses, and what follows a form of address. A name is a given beside a family name, in either order and script.
@@ -15,8 +16,11 @@ phone, address, name holds.
 
 from __future__ import annotations
 
+import datetime
+import functools
 import hashlib
 import re
+from calendar import monthrange
 from collections import Counter
 from collections.abc import Iterable
 
@@ -26,10 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lipigraph.llm.lookalike import fold
-from lipigraph.llm.roman import CONSONANT
+from lipigraph.llm.roman import CONSONANT, romanise
 from lipigraph.session import spread, stable
 
-DIGITS = str.maketrans("०१२३४५६७८९", "0123456789")
+DIGITS, NATIVE_DIGITS = str.maketrans("०१२३४५६७८९", "0123456789"), str.maketrans("0123456789", "०१२३४५६७८९")
 #: Runs of letters and marks; as ranges, which are searched much faster than properties.
 WORD = re.compile("[A-Za-z\u00c0-\u0963\u0971-\u1fff\u200d\u2c00-\u2fef\u3040-\ud7ff\uf900-\ufdff]+")
 NATIVE = re.compile("[०-९]")
@@ -57,7 +61,9 @@ LONG_NUMBER = regex.compile(r"(?<![\d/-])(?!(?:\d{4}[-/]\d{1,2}[-/]\d{1,2}|\d{1,
 
 STREET = r"(?:lane|road|marg|tole|street|galli|path|avenue|maarg|tol|sadak|गल्ली|सडक|मार्ग|टोल|पथ)"
 NAME_PART = r"[\p{L}][\p{L}\p{M}'’]*"
-HOUSE = r"(?:\bh\.?\s?n\.?|\bhouse\s+(?:no\.?|number)|\bflat(?:\s+no\.?)?|\bgha\.?\s?nan\.?|\bghar\s+nan\.?|\bphlyaat|घ\.\s?नं\.?|घर\s+नं\.?|घर\s+नम्बर|फ्ल्याट|दिम\s+अङ्क)\s*\d+\p{L}?(?:/\d+)?"
+HOUSE_WORD = r"(?:\bh\.?\s?n\.?|\bhouse\s+(?:no\.?|number)|\bflat(?:\s+no\.?)?|\bgha\.?\s?nan\.?|\bghar\s+nan\.?|\bphlyaat|घ\.\s?नं\.?|घर\s+नं\.?|घर\s+नम्बर|फ्ल्याट|दिम\s+अङ्क)"
+HOUSE = rf"{HOUSE_WORD}\s*\d+\p{{L}}?(?:/\d+)?"
+HOUSE_CUE = regex.compile(HOUSE_WORD + r"\s*", regex.I)
 TAIL = rf"(?:,\s*(?:ward|वडा|wadaa)\s+(?:no\.?\s*|नं\.?\s*)?\d+)?(?:,\s*{NAME_PART}(?:[- ]\d{{1,2}}(?![\d/-]))?)?"
 ADDRESS = regex.compile(
     rf"{HOUSE}(?:,\s*{NAME_PART}(?:\s+{NAME_PART}){{0,2}}?\s+{STREET}(?:\s+\d+)?|,\s*{NAME_PART}){TAIL}"
@@ -239,47 +245,94 @@ class Feistel:
     def digits(self, s: str, tweak: bytes = b"", back: bool = False) -> str:
         return str(self.permute(int(s), 10 ** len(s), tweak + b"%d" % len(s), back)).zfill(len(s)) if s else s
 
-    def date(self, year: int, month: int, day: int, back: bool = False) -> tuple[int, int, int]:
-        """Within the century of the year; every month has its first 28 days, later days stay."""
-        if not (1 <= month <= 12 and 1 <= day <= 28):
-            return year, month, day
-        x = ((year % 100) * 12 + month - 1) * 28 + day - 1
-        x = self.permute(x, 100 * 12 * 28, b"date", back)
-        return year - year % 100 + x // (12 * 28), x // 28 % 12 + 1, x % 28 + 1
+    def date(self, year: int, month: int, day: int, back: bool = False) -> tuple[int, int, int] | None:
+        """Another day of the same century: of the civil calendar where the date is one of that, else of the days up to the 32nd that only other calendars have. None for what is no date."""
+        if not (1 <= month <= 12 and 1 <= day <= 32):
+            return None
+        start = year - year % 100
+        if day <= monthrange(year, month)[1]:
+            first = datetime.date(start, 1, 1).toordinal()
+            n = datetime.date(start + 99, 12, 31).toordinal() - first + 1
+            x = self.permute(datetime.date(year, month, day).toordinal() - first, n, b"civil", back)
+            new = datetime.date.fromordinal(first + x)
+            return new.year, new.month, new.day
+        days, place = other_days(start)
+        return days[self.permute(place[year, month, day], len(days), b"other", back)]
+
+
+@functools.cache
+def other_days(start: int) -> tuple[list[tuple[int, int, int]], dict[tuple[int, int, int], int]]:
+    """The days of a century up to the 32nd of each month that the civil calendar lacks, in order, and their places."""
+    days = [(y, m, d) for y in range(start, start + 100) for m in range(1, 13) for d in range(monthrange(y, m)[1] + 1, 33)]
+    return days, {x: i for i, x in enumerate(days)}
+
+
+def subscriber(digits: str) -> int:
+    """Digits before those that identify the subscriber: country code, trunk zero and the kind of number."""
+    keep = 5 if digits.startswith("00977") else 3 if digits.startswith("977") and len(digits) > 10 else 0
+    keep += 1 if digits[keep : keep + 1] == "0" else 0
+    return keep + (2 if digits[keep : keep + 1] == "9" else 1)
+
+
+def valid(kind: str, digits: str) -> bool:
+    """Whether a number of this kind can have these digits."""
+    if len(set(digits)) < 2:
+        return False
+    return 6 <= len(digits) - subscriber(digits) <= 12 and len(digits.removeprefix("00")) <= 15 if kind == "phone" else 7 <= len(digits) <= 14
+
+
+def in_script(plain: str, like: str) -> str:
+    return plain.translate(NATIVE_DIGITS) if NATIVE.search(like) else plain
+
+
+AT_WORD, DOT_WORD = regex.compile(r"\s*[\[({<]\s*(?:at|एट)\s*[\])}>]\s*|\s+at\s+"), regex.compile(r"\s*[\[({<]\s*(?:dot|डट)\s*[\])}>]\s*|\s+dot\s+")
+
+
+def plain_value(value: str, kind: str) -> str:
+    """What two layouts of one value have in common, and no two values."""
+    low = value.translate(DIGITS).casefold()
+    if kind == "email":
+        return DOT_WORD.sub(".", AT_WORD.sub("@", low))
+    if kind == "address":
+        return " ".join(regex.findall(r"[\p{L}\p{M}\p{N}]+", HOUSE_CUE.sub("house ", low)))
+    if kind == "name":
+        family, comma, given = low.partition(",")
+        words = WORD.findall(f"{given} {family}" if comma else low)
+        return " ".join(REPEATED.sub(r"\1", romanise(w)) for w in words)
+    return "".join(c for c in low if c.isalnum())
+
+
+REPEATED = re.compile(r"([aeiou])\1+")
 
 
 def pseudonym(value: str, kind: str, feistel: Feistel) -> str:
     """The value's placeholder. Numbers keep format and script, so that +977 98... and 98... of one subscriber share their digits."""
     plain = value.translate(DIGITS)
-    if kind in ("phone", "id"):
-        digits = "".join(c for c in plain if c.isdigit())
-        keep = 0
-        if kind == "phone":
-            keep = 5 if digits.startswith("00977") else 3 if digits.startswith("977") and len(digits) > 10 else 0
-            keep += 1 if digits[keep : keep + 1] == "0" else 0
-            keep += 2 if digits[keep : keep + 1] == "9" else 1
+    digits = "".join(c for c in plain if c.isdigit())
+    if kind in ("phone", "id") and valid(kind, digits):
+        keep = subscriber(digits) if kind == "phone" else 0
         new = iter(digits[:keep] + feistel.digits(digits[keep:], kind.encode()))
-        zero = 0x966 if any("०" <= c <= "९" for c in value) else 0x30
-        out = "".join(chr(zero + int(next(new))) if c.isdigit() else c for c in plain)
-        return f"[{kind.upper()} {out}]"
-    canon = " ".join(sorted(skeleton(w) for w in WORD.findall(plain))) if kind == "name" else regex.sub(r"\s*[\[({<]\s*at\s*[\])}>]\s*", "@", regex.sub(r"\s*[\[({<]\s*dot\s*[\])}>]\s*", ".", plain.casefold()))
-    tag = hashlib.blake2b(canon.encode(), key=feistel.key, digest_size=4).hexdigest()
+        return f"[{kind.upper()} {in_script(''.join(next(new) if c.isdigit() else c for c in plain), value)}]"
+    if kind == "date":
+        m = DATE.fullmatch(plain)
+        ymd = m[1] is not None
+        y, mo, d = (m[1], m[3], m[4]) if ymd else (m[8], m[7], m[5])
+        a, b, c = (f"{x:0{len(old)}d}" for x, old in zip(feistel.date(int(y), int(mo), int(d)), (y, mo, d), strict=True))
+        sep = m[2] or m[6]
+        return f"[DATE {in_script(sep.join((a, b, c) if ymd else (c, b, a)), value)}]"
+    tag = hashlib.blake2b(plain_value(value, kind).encode(), key=feistel.key, digest_size=12).hexdigest()
     return f"[{kind.upper()} {tag}]"
 
 
 DATE = regex.compile(r"(?<![\d/-])((?:19|20)\d\d)([-/])(\d{1,2})\2(\d{1,2})(?![\d/-])|(?<![\d/-])(\d{1,2})([-/])(\d{1,2})\6((?:19|20)\d\d)(?![\d/-])")
 
 
-def permute_dates(text: str, feistel: Feistel) -> str:
-    def new(m: regex.Match) -> str:
-        ymd = m[1] is not None
-        y, mo, d = (m[1], m[3], m[4]) if ymd else (m[8], m[7], m[5])
-        sep = m[2] or m[6]
-        a, b, c = feistel.date(int(y), int(mo), int(d))
-        b, c = (f"{b:02d}", f"{c:02d}") if len(mo) == 2 and len(d) == 2 else (str(b), str(c))
-        return "[DATE " + sep.join((str(a), b, c) if ymd else (c, b, str(a))) + "]"
-
-    return DATE.sub(new, text.translate(DIGITS))
+def dates_in(text: str) -> Iterable[tuple[int, int, str]]:
+    plain = text.translate(DIGITS)
+    for m in DATE.finditer(plain):
+        month, day = (m[3], m[4]) if m[1] else (m[7], m[5])
+        if 1 <= int(month) <= 12 and 1 <= int(day) <= 32:
+            yield m.start(), m.end(), "date"
 
 
 def aligned(text: str) -> tuple[str, list[int] | None]:
@@ -300,23 +353,28 @@ def redact(text: str | None, names: Names, feistel: Feistel, dates: bool = False
         return text, []
     folded, at = aligned(text)
     found = detect(folded, names)
+    if dates:
+        taken = [*found, *((m.start(), m.end(), "") for m in PLACEHOLDER.finditer(folded))]
+        found = sorted([*found, *(x for x in dates_in(folded) if not any(x[0] < b and a < x[1] for a, b, _ in taken))])
     out, last = [], 0
     for a, b, kind in found:
         start, end = (a, b) if at is None else (at[a], at[b] if b < len(at) else len(text))
         out += (text[last:start], pseudonym(folded[a:b], kind, feistel))
         last = end
-    new = "".join(out) + text[last:]
-    return permute_dates(new, feistel) if dates else new, sorted({k for *_, k in found})
+    return "".join(out) + text[last:], sorted({k for *_, k in found if k in TYPES})
 
 
-CUES = r"@|[\[({<]\s*at\s*[\])}>]|(?i)\b(mr|mrs|ms|shri|sushri)\b|श्री"
+#: Whatever EMAIL or TITLED can match has one of these; they are cheaper to look for.
+CUES = re.compile(rf"@|[\[({{<]\s*(?:at|एट)\s*[\])}}>]|\bat [\w-]+ dot \w|{TITLE}\.?\s", re.I)
 
 
 def name_parts(text: str) -> Iterable[tuple[str, str]]:
     """(role, skeleton) that a text gives away."""
-    y = fold(text)
+    y = fold(text or "")
+    if not CUES.search(y):
+        return
     for m in EMAIL.finditer(y):
-        local = regex.split(r"@|\s*[\[({<]", m[0])[0].split("+")[0]
+        local = regex.split(r"@|\s*[\[({<]|\s+at\s", m[0])[0].split("+")[0]
         parts = [p for p in regex.split(r"[._-]", local) if p]
         if len(parts) == 2 and not ROLES & {p.casefold() for p in parts} and all(p.isalpha() for p in parts):
             if len(parts[0]) >= 3:
@@ -324,18 +382,18 @@ def name_parts(text: str) -> Iterable[tuple[str, str]]:
             if len(parts[1]) >= 3:
                 yield "family", skeleton(parts[1])
     for m in TITLED.finditer(y):
-        if m[0].isascii() and not (m[2][0].isupper() and m[3][0].isupper()):
+        if m[0].isascii() and not (m[2][0].isupper() and m[3][0].isupper()) or m[1] == "miss":
             continue
         yield "titled_given", skeleton(m[2])
         yield "titled_family", skeleton(next((m[3][: -len(e)] for e in ENDINGS if m[3].endswith(e) and len(m[3]) > len(e) + 2), m[3]))
 
 
-#: Distinct names that may be sent to every worker; as hashes and strings some 20 MB.
+#: Distinct names that may be sent to every worker, some 20 MB; more are joined to the texts that have them.
 MAX_NAMES = 200_000
 
 
-def learn_names(fields: list[DataFrame]) -> Names:
-    """The lexicon of all texts (each frame's one string column). It holds distinct names, not occurrences; its size is checked."""
+def learn_names(fields: list[DataFrame], most: int = MAX_NAMES) -> Names | DataFrame:
+    """The lexicon of all texts (each frame's one string column): distinct names, not occurrences. Above the bound it stays a table (part, role) instead of going to the driver."""
     texts = fields[0].toDF("text")
     for f in fields[1:]:
         texts = texts.unionByName(f.toDF("text"))
@@ -346,32 +404,57 @@ def learn_names(fields: list[DataFrame]) -> Names:
             if c:
                 yield pa.RecordBatch.from_pydict({"role": [k[0] for k in c], "part": [k[1] for k in c], "n": list(c.values())})
 
-    counted = texts.where(F.col("text").rlike(CUES)).mapInArrow(run, "role string, part string, n long").groupBy("role", "part").agg(F.sum("n").alias("n")).where(F.length("part") > 1)
+    counted = spread(texts).mapInArrow(run, "role string, part string, n long").groupBy("role", "part").agg(F.sum("n").alias("n")).where(F.length("part") > 1)
     # A title before two words is weaker evidence than a mail address: it must occur twice.
-    kept = stable(counted.where(~F.col("role").startswith("titled") | (F.col("n") >= 2)))
-    if (size := kept.count()) > MAX_NAMES:
-        raise ValueError(f"{size} distinct names are more than a worker should hold; pass a lexicon for each partition of the corpus")
+    kept = counted.where(~F.col("role").startswith("titled") | (F.col("n") >= 2))
+    kept = stable(kept.select("part", F.regexp_replace("role", "^titled_", "").alias("role")).distinct())
+    if kept.count() > most:
+        return kept
     got = kept.collect()
-    return Names({r.part for r in got if r.role.endswith("given")}, {r.part for r in got if r.role.endswith("family")})
+    return Names({r.part for r in got if r.role == "given"}, {r.part for r in got if r.role == "family"})
+
 
+def skeletons(text: str | None) -> set[str]:
+    """The skeletons by which a lexicon may know a word of the text, with and without its ending."""
+    y = fold(text or "").translate(DIGITS)
+    words = {*WORD.findall(y), *(m[k] for m in TITLED.finditer(y) for k in (2, 3))}
+    return {skeleton(x) for w in words for x in (w, *(w[: -len(e)] for e in ENDINGS if w.endswith(e) and len(w) - len(e) >= 3))}
 
-def find_pii(df: DataFrame, id_column: str, text_column: str, names: Names, key: bytes = b"lipigraph", dates: bool = False, found_only: bool = True) -> DataFrame:
-    """(row_id, text, types array<string>): the redacted text of each row; with found_only, of rows with findings."""
-    shared = df.sparkSession.sparkContext.broadcast((names, key, dates))
+
+def with_names(rows: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """rows (row_id, text) with names, the part of the lexicon that a row's words are in, by a join on the words."""
+
+    def run(batches):
+        for b in batches:
+            found = [(i, x) for i, t in zip(*(c.to_pylist() for c in b.columns), strict=True) for x in skeletons(t)]
+            yield pa.RecordBatch.from_pydict({"row_id": [i for i, _ in found], "part": [x for _, x in found]}, schema=pa.schema([("row_id", pa.string()), ("part", pa.string())]))
+
+    words = rows.where(F.col("row_id").isNotNull()).mapInArrow(run, "row_id string, part string")
+    own = words.join(lexicon, "part").groupBy("row_id").agg(F.collect_set(F.struct("part", "role")).alias("names"))
+    return rows.join(own, "row_id", "left").select("row_id", "text", "names")
+
+
+def find_pii(df: DataFrame, id_column: str, text_column: str, names: Names | DataFrame, key: bytes, dates: bool = False, found_only: bool = True) -> DataFrame:
+    """(row_id, text, types array<string>): the redacted text of each row; with found_only, of rows with findings. key: the secret of the pseudonyms, up to 64 bytes. A row of null id is redacted; names that only a joined lexicon knows are not sought in it."""
     schema = pa.schema([("row_id", pa.string()), ("text", pa.string()), ("types", pa.list_(pa.string()))])
+    rows = df.select(F.col(id_column).cast("string").alias("row_id"), F.col(text_column).alias("text"))
+    rows = spread(rows.where(F.col("text").isNotNull()) if found_only else rows)
+    joined = isinstance(names, DataFrame)
+    shared = df.sparkSession.sparkContext.broadcast((None if joined else names, key, dates))
 
     def run(batches):
         lexicon, secret, with_dates = shared.value
         feistel = Feistel(secret)
         for b in batches:
             ids, texts, types = [], [], []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                new, kinds = redact(t, lexicon, feistel, with_dates)
+            own = b.column(2).to_pylist() if joined else [None] * b.num_rows
+            for i, t, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), own, strict=True):
+                known = lexicon if lexicon is not None else Names({x["part"] for x in n or () if x["role"] == "given"}, {x["part"] for x in n or () if x["role"] == "family"})
+                new, kinds = redact(t, known, feistel, with_dates)
                 if kinds or not found_only:
                     ids.append(i)
                     texts.append(new)
                     types.append(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(texts, pa.string()), pa.array(types, pa.list_(pa.string()))], schema=schema)
 
-    rows = df.select(F.col(id_column).cast("string").alias("row_id"), F.col(text_column).alias("text"))
-    return spread(rows.where(F.col("text").isNotNull()) if found_only else rows).mapInArrow(run, "row_id string, text string, types array<string>")
+    return (with_names(rows, names) if joined else rows).mapInArrow(run, "row_id string, text string, types array<string>")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import secrets
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,10 +15,21 @@ from lipigraph.session import spread, table
 PII_FIELDS = [("segments", "source_text"), ("translations", "approved_text"), ("review_events", "after_text")]
 
 
+def secret(spark: SparkSession) -> bytes:
+    """The key of the pseudonyms: that of the setting spark.lipigraph.pii.key, else one drawn at random for this application."""
+    own = spark.conf.get("spark.lipigraph.pii.key", None)
+    if own:
+        return hashlib.blake2b(own.encode(), digest_size=32).digest()
+    sc = spark.sparkContext
+    if not hasattr(sc, "_lipigraph_secret"):
+        sc._lipigraph_secret = secrets.token_bytes(32)
+    return sc._lipigraph_secret
+
+
 def _pii(spark: SparkSession, d: str, found_only: bool) -> list[tuple[str, DataFrame]]:
     frames = [(f"{t}.{c}", table(spark, d, t), c) for t, c in PII_FIELDS]
     names = pii.learn_names([df.select(c) for _, df, c in frames])
-    return [(field, pii.find_pii(df, "id", c, names, found_only=found_only)) for field, df, c in frames]
+    return [(field, pii.find_pii(df, "id", c, names, secret(spark), dates=not found_only, found_only=found_only)) for field, df, c in frames]
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -27,7 +40,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
-    """Every field value with placeholders in place of personal information."""
+    """Every field value with placeholders in place of personal information, its dates permuted."""
     parts = [df.select(F.lit(f).alias("field_name"), "row_id", "text", F.array_join("types", ",").alias("pii_types")) for f, df in _pii(spark, d, False)]
     return reduce(DataFrame.unionByName, parts)
 

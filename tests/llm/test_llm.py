@@ -4,6 +4,7 @@ import os
 import random
 import unicodedata
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -75,7 +76,18 @@ def test_feistel_is_a_bijection_and_keyed():
     f = pii.Feistel(b"k")
     assert sorted(f.permute(x, 777) for x in range(777)) == list(range(777))
     assert f.digits("012345") != pii.Feistel(b"other").digits("012345") and f.digits(f.digits("012345"), back=True) == "012345"
-    assert f.date(*f.date(2081, 2, 3), back=True) == (2081, 2, 3) and f.date(2081, 2, 31) == (2081, 2, 31)
+    assert f.date(2081, 13, 1) is None and f.date(2081, 2, 33) is None
+
+
+@given(st.integers(1900, 2099), st.integers(1, 12), st.integers(1, 32))
+def test_dates_of_a_century_are_permuted(year, month, day):
+    import calendar
+
+    f = pii.Feistel(b"k")
+    y, m, d = f.date(year, month, day)
+    assert y // 100 == year // 100 and 1 <= m <= 12 and 1 <= d <= 32 and f.date(y, m, d, back=True) == (year, month, day)
+    # A day of the civil calendar stays one.
+    assert (day <= calendar.monthrange(year, month)[1]) == (d <= calendar.monthrange(y, m)[1])
 
 
 @pytest.mark.parametrize(
@@ -98,19 +110,43 @@ def test_redaction_keeps_the_rest_and_links():
     a, b, c = ("".join(x for x in p.split("]")[0] if x.isdigit()) for p in text.split("[PHONE ")[1:])
     assert a == b.removeprefix("977") and a != c
     assert pii.redact(text, NAMES, f) == (text, []) and pii.redact(None, NAMES, f) == (None, [])
-    assert pii.redact("रुपसेन साङरोटी", NAMES, f)[0] == pii.redact("Sangroti, Rupsen", NAMES, f)[0]
-    dated = pii.redact("born 2041-02-03", NAMES, f, dates=True)[0]
-    assert dated.startswith("born [DATE 20") and pii.permute_dates(dated.split("[DATE ")[1][:-1], pii.Feistel(b"k")) != dated
+    assert pii.redact("RUPSEN  SANGROTI", NAMES, f)[0] == pii.redact("Sangroti, Rupsen", NAMES, f)[0]
+    dated = pii.redact("वडा ५ मा २०४१-०२-०३ र ५०० रुपैयाँ, 9/4/2041", NAMES, f, dates=True)[0]
+    new, other = (x.split("]")[0] for x in dated.split("[DATE ")[1:])
+    assert dated == f"वडा ५ मा [DATE {new}] र ५०० रुपैयाँ, [DATE {other}]" and not new.isascii() and other.isascii()
+    assert f.date(*map(int, new.split("-")), back=True) == (2041, 2, 3)
+    assert pii.redact("on 2041-13-03, [ID 2041-02-03]", NAMES, f, dates=True)[0] == "on 2041-13-03, [ID 2041-02-03]"
+
+
+def test_pseudonyms_link_equal_values_alone():
+    f = pii.Feistel(b"k")
+    tag = lambda x, kind="name": pii.pseudonym(x, kind, f)
+    assert len({tag(x) for x in ("Sita Rana", "Sati Rani", "Suta Rina", "Rana Sita")}) == 4
+    assert tag("Sita Rana") == tag("SITA  RANA") == tag("Rana, Sita") == tag("Sitaa Rana") and len(tag("Sita Rana")) == len("[NAME ]") + 24
+    assert tag("H.N. 463, X Lane", "address") == tag("House No 463, x lane", "address") != tag("H.N. 464, X Lane", "address")
+    assert tag("a (at) b [dot] c", "email") == tag("A@b.c", "email") == tag("a at b dot c", "email") != tag("a@b.d", "email")
+    assert len({tag(f"{i}@x.org", "email") for i in range(2000)}) == 2000 and tag("a@b.c", "email") != pii.pseudonym("a@b.c", "email", pii.Feistel(b"m"))
+    # Numbers that nobody can have are no part of the permutation.
+    assert tag("9812345678", "phone").startswith("[PHONE 98") and tag("0000000000", "phone") != "[PHONE 0000000000]" and len(tag("00000000", "id")) > 24
 
 
 def test_pii_on_tables(spark):
     rows = [("1", "Mail rupsen.sangroti@a.example", "x"), ("2", "Rupsen Sangroti signed", "x"), ("3", None, None), ("2", "Rupsen Sangroti signed", "x"), ("4", "word " * 50_000 + "9812345678", "x")]
     df = spark.createDataFrame(rows, "id string, t string, types string")
     names = pii.learn_names([df.select("t")])
-    got = sorted((r.row_id, tuple(r.types)) for r in pii.find_pii(df, "id", "t", names).collect())
+    got = sorted((r.row_id, tuple(r.types)) for r in pii.find_pii(df, "id", "t", names, b"k").collect())
     assert got == [("1", ("email",)), ("2", ("name",)), ("2", ("name",)), ("4", ("phone",))]
-    assert pii.find_pii(df, "id", "t", names, found_only=False).count() == 5
-    assert pii.find_pii(df.limit(0), "id", "t", pii.learn_names([df.select("t").limit(0)])).count() == 0
+    assert pii.find_pii(df, "id", "t", names, b"k", found_only=False).count() == 5
+    assert pii.find_pii(df.limit(0), "id", "t", pii.learn_names([df.select("t").limit(0)]), b"k").count() == 0
+    # A lexicon above the bound is joined, with the same results.
+    table = pii.learn_names([df.select("t")], most=1)
+    assert sorted((r.row_id, tuple(r.types)) for r in pii.find_pii(df, "id", "t", table, b"k").collect()) == got
+
+
+@pytest.mark.parametrize("cue", ["Dr Rupsen Sangroti", "Prof. Rupsen Sangroti", "Miss Rupsen Sangroti", "Shree Rupsen Sangroti", "श्रीमती रुपसेन साङरोटी", "डा. रुपसेन साङरोटी", "write to rupsen.sangroti at office dot example", "rupsen.sangroti[AT]a.example", "rupsen.sangroti＠a.example"])
+def test_every_cue_teaches_names(cue):
+    parts = set(pii.name_parts(cue))
+    assert {x for r, x in parts if r.endswith("given")} == {pii.skeleton("Rupsen")} and {x for r, x in parts if r.endswith("family")} == {pii.skeleton("Sangroti")}
 
 
 # Languages
@@ -203,7 +239,7 @@ def test_passages():
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdefghijk") for _ in range(6))
     items = [(i, "Read and answer. " + " ".join(word() for _ in range(60))) for i in range(20)]
-    f = leakage.LeakFinder(items)
+    f = leakage.LeakFinder(*leakage.prepare(items))
     own = items[3][1].split()
     noise = lambda n: " ".join(word() for _ in range(n))
     assert f.find(noise(20) + " " + " ".join(own[20:36]).upper() + " " + noise(9)) == {3}
@@ -227,7 +263,7 @@ def test_replaced_words_are_judged_by_what_they_were():
     one, other = swap(own, [(14, "zzz")]), swap(own, [(2, "47"), (8, place()), (12, place()), (24, "58")])
     # The same item, or nearly so, under a second id.
     for more in ([], [(99, items[3][1])], [(99, items[3][1] + " today")]):
-        f = leakage.LeakFinder(items + more)
+        f = leakage.LeakFinder(*leakage.prepare(items + more))
         assert f.find(one) == {3, *(i for i, _ in more)} and f.find(other) == set()
 
 
@@ -237,11 +273,28 @@ def test_leaks_on_tables(spark, monkeypatch):
     items = spark.createDataFrame([(9, text), (8, None), (7, "other words entirely")], "item_id long, text string")
     want = [(1, 9), (1, 9), (3, 9)]
     assert sorted(map(tuple, leakage.find_leaks(docs, items).collect())) == want
-    monkeypatch.setattr(leakage, "ITEMS_PER_PASS", 1)
+    monkeypatch.setattr(leakage, "CHARS_PER_PASS", 100)
     assert sorted(map(tuple, leakage.find_leaks(docs, items).collect())) == want
     assert leakage.find_leaks(docs, items.limit(0)).count() == 0 == leakage.find_leaks(docs.limit(0), items).count()
 
 
+def test_leaks_do_not_depend_on_blocks(spark, monkeypatch):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijk") for _ in range(6))
+    line = "Read the whole of the following passage with care and then answer every question that stands below it in full"
+    items = [(i, f"{line}. " + " ".join(word() for _ in range(40))) for i in range(12)]
+    own = items[2][1].split()
+    texts = [line, " ".join(own[-20:]), f"{line} {' '.join(word() for _ in range(30))}", " ".join([*own[-20:-8], word(), *own[-7:]])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    table = spark.createDataFrame(items, "item_id long, text string")
+    told, common = leakage.prepared(table)
+    here, usual = leakage.prepare(items)
+    assert common == usual and sorted((r.item_id, tuple(r.words), r.shared) for r in told.collect()) == sorted((x.id, tuple(x.words), x.shared) for x in here)
+    for size in (10**9, 1000, 400):
+        monkeypatch.setattr(leakage, "CHARS_PER_PASS", size)
+        assert sorted(map(tuple, leakage.find_leaks(docs, table).collect())) == [(1, 2), (3, 2)]
+
+
 # Mixing
 @given(st.dictionaries(st.sampled_from("abcdef"), st.tuples(st.floats(0, 1), st.integers(0, 1000), st.integers(0, 5)), min_size=1), st.floats(0, 5000))
 @settings(max_examples=200)
@@ -286,7 +339,16 @@ def naive_kernel(s, t, decay=safety.DECAY):
 @given(st.text("abc*", min_size=1, max_size=6), st.text("abc*", min_size=1, max_size=6))
 @settings(max_examples=100)
 def test_kernel_is_the_definition(s, t):
-    assert safety.raw_kernel(safety.codes([s]), safety.codes([t]))[0, 0] == pytest.approx(naive_kernel(s, t), rel=1e-3)
+    f, g = safety.features(s), safety.features(t)
+    assert sum(v * g.get(u, 0.0) for u, v in f.items()) == pytest.approx(naive_kernel(s, t), rel=1e-9)
+    assert safety.kernel([s], [t])[0, 0] == pytest.approx(naive_kernel(s, t) / (naive_kernel(s, s) * naive_kernel(t, t)) ** 0.5, rel=1e-3)
+    model = safety.SafetyModel([t, "ab"], np.array([0.5, -0.2]), 0.1, 0.0)
+    assert model.of_word(s) == pytest.approx(float(safety.kernel([s], [t, "ab"]) @ np.array([0.5, -0.2])), abs=1e-4)
+
+
+def test_short_sentences_count():
+    assert safety.sentences_of("गधा। pig. ") == ["गधा", " pig"] and safety.units_of("गधा") == ["gadhaa"]
+    assert safety.sentences_of(" \n ।") == []
 
 
 def test_disguises():
