@@ -1,8 +1,10 @@
 """Problem 2: pairs of a source and its rendering that are defective, with every type of defect that shows.
 
 Ordered rules on each pair: emptiness, refusal phrases in several languages, copied text (whole, behind a prefix, or in
-another script), script and language that aren't the target's, then truncation by unclosed delimiters, abrupt endings and
-a length that the renderings of that pair of languages don't have. The usual lengths are medians over all pairs.
+another script), script and language that aren't the target's, then truncation. A delimiter that stays open and an ending on
+a mark that goes on (an ellipsis, comma, opening bracket) are truncations by themselves where the source has no such thing.
+An ending without its closing mark is none by itself: it is one together with a length that the renderings of that pair of
+languages don't have, as is such a length alone where it is far off. The usual lengths are medians over all pairs.
 
 Defined results: pairs whose source has nothing to translate have no defect; a null rendering beside a source with words
 is empty; a null source or target language only leaves out the rules that need it; texts count whole; repeated rows each
@@ -54,6 +56,11 @@ REFUSAL_WORDS = ("can't", "can’t", "cannot", "can not", "won't", "won’t", "w
 DIGITS = str.maketrans("०१२३४५६७८९", "0123456789")
 CLOSING = tuple(".।॥?!")
 ABRUPT = ("…", "...", "..", ",", ";", "-", "–", "—", ":", "(", "“", "/")
+#: Marks that go on; a colon, dash or slash may end a label and counts after sentences alone.
+GOES_ON, GOES_ON_SENTENCE = ("…", "..", ",", ";", "(", "“", "[", "{"), (":", "-", "–", "—", "/")
+DELIMITERS = (("(", ")"), ("[", "]"), ("{", "}"), ("“", "”"), ("«", "»"))
+# What a provider reports of an answer that it cut. It reports it of whole answers too, so this decides nothing.
+CUT = ("longer than limit", "length limit", "max tokens", "max_tokens", "truncated")
 PREFIX = re.compile(r"^\s*(?:\[[^\]]{1,20}\]|\([^)]{1,20}\)|[A-Za-z]{2,12}\s*[:>-]+)\s*")
 
 
@@ -66,6 +73,18 @@ def numbers(text: str) -> list[str]:
     return [str(int(x)) for x in re.findall(r"\d+", text)]
 
 
+def left_open(text: str) -> set[str]:
+    """The delimiters that a text opens more often than it closes them."""
+    return {a for a, b in DELIMITERS if text.count(a) > text.count(b)} | ({'"'} if text.count('"') % 2 else set())
+
+
+def broken_off(src: str, cand: str, whole: bool) -> bool:
+    """Whether a rendering leaves a delimiter open or ends on a mark that goes on, unlike its source."""
+    marks = GOES_ON + GOES_ON_SENTENCE if whole else GOES_ON
+    ends = lambda x: x.rstrip(" \n\t\"'”’").endswith(marks)
+    return bool(left_open(cand) - left_open(src)) or ends(cand) and not ends(src)
+
+
 class PairReader:
     """The types a pair shows of itself, and what is needed to judge its length."""
 
@@ -98,7 +117,7 @@ class PairReader:
         bare = cand.strip(EDGES)
         if not bare or bare.casefold() in STAND_INS:
             told = words >= 4 or src_sure >= 0.9 or words and len(src.split()) <= 3 and not self.personal(src)
-            return (["empty"] if told else []), None, 0.0, False, False
+            return (["empty", *["truncated"] * broken_off(src, cand, whole)] if told else []), None, 0.0, False, False
         types = []
         low = cand.casefold()
         if any(w in low for w in REFUSAL_WORDS) and (REFUSAL.search(low) or ROMAN_REFUSAL.search(low)) and not (REFUSAL.search(src.casefold()) or ROMAN_REFUSAL.search(src.casefold())):
@@ -116,6 +135,8 @@ class PairReader:
                 types.append("copied")
             if to_lang and target and to_lang != target and to_words >= 3 and sure >= 0.8:
                 types.append("wrong_language")
+        if broken_off(src, cand, whole):
+            types.append("truncated")
         ending = cand.rstrip(" \n\t\"'”’)]")
         abrupt = not ending.endswith(CLOSING) or ending.endswith(ABRUPT) or cand.count("(") > cand.count(")") or cand.count("“") > cand.count("”")
         if abrupt and not src.rstrip(" \n\t\"'”’)]").endswith(CLOSING) and not ending.endswith(ABRUPT):
@@ -167,7 +188,7 @@ def find_defects(pairs: DataFrame, model: LangModel) -> DataFrame:
         (F.col("abrupt") & (d < F.when(F.col("long"), SHORT_ABRUPT).otherwise(2 * SHORT_ABRUPT))) | (F.col("long") & (d < SHORT)) | (F.col("abrupt") & F.col("number") & (d < SHORT_NUMBER))
     )
     truncated = F.when(F.coalesce(short, F.lit(False)), F.array(F.lit("truncated"))).otherwise(F.array().cast("array<string>"))
-    return read.join(F.broadcast(usual), "kind", "left").select("segment_id", F.concat("types", truncated).alias("types")).where(F.size("types") > 0)
+    return read.join(F.broadcast(usual), "kind", "left").select("segment_id", F.array_union("types", truncated).alias("types")).where(F.size("types") > 0)
 
 
 def pairs_of(segments: DataFrame, translations: DataFrame, documents: DataFrame) -> DataFrame:
@@ -178,3 +199,11 @@ def pairs_of(segments: DataFrame, translations: DataFrame, documents: DataFrame)
         .join(segments.select(F.col("id").alias("segment_id"), "source_text"), "segment_id")
         .join(lang, "segment_id", "left")
     )
+
+
+def reported(results: DataFrame) -> DataFrame:
+    """(segment_id, n_errors, n_cut): attempts at a segment that reported an error, and one of an answer that was cut."""
+    cut = F.lit(False)
+    for phrase in CUT:
+        cut = cut | F.contains(F.lower("error"), F.lit(phrase))
+    return results.where(F.col("segment_id").isNotNull()).groupBy("segment_id").agg(F.count_if(F.col("error").isNotNull()).alias("n_errors"), F.count_if(cut).alias("n_cut"))

@@ -56,9 +56,9 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_defects(spark: SparkSession, d: str) -> DataFrame:
-    """Every type that a defective pair shows, and whether any attempt at it reported an error."""
-    errors = table(spark, d, "translation_results").groupBy("segment_id").agg(F.count_if(F.col("error").isNotNull()).alias("n_errors"))
-    return _pairs(spark, d).join(errors, "segment_id", "left").select("segment_id", F.array_join("types", ",").alias("defect_types"), F.coalesce("n_errors", F.lit(0)).alias("n_errors"))
+    """Every type that a defective pair shows, and what the attempts at it reported."""
+    told = _pairs(spark, d).join(pairs.reported(table(spark, d, "translation_results")), "segment_id", "left")
+    return told.select("segment_id", F.array_join("types", ",").alias("defect_types"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_errors", "n_cut")))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

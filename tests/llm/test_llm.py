@@ -227,6 +227,18 @@ def test_truncation_on_tables(spark, samples, model):
     assert "truncated" in got["cut"] and "head" not in got and pairs.find_defects(df.limit(0), model).count() == 0
 
 
+def test_truncation_by_marks_alone():
+    off = pairs.broken_off
+    assert off("a (b).", "क (ख", True) and off("It ends.", "यो…", True) and off("one, two", "एक,", False) and off('a "b"', 'क "ख', False)
+    assert not off("a (b", "क (ख", True) and not off("It ends.", "यो सकियो", True) and not off("Remarks", "कैफियत:", False) and off("The whole is here.", "सबै -", True)
+
+
+def test_reports_of_attempts(spark):
+    rows = [("a", "Response longer than limit"), ("a", "read timeout"), ("a", None), (None, "truncated"), ("b", None)]
+    got = pairs.reported(spark.createDataFrame(rows, "segment_id string, error string")).collect()
+    assert sorted(map(tuple, got)) == [("a", 2, 1), ("b", 0, 0)]
+
+
 # Leakage
 @given(st.lists(st.text("abc ", min_size=3, max_size=6), min_size=1, max_size=8), st.text("abc ", max_size=60))
 @settings(max_examples=200)
