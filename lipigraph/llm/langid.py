@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -111,8 +112,8 @@ class LangModel:
             got = self.tokens[token] = (tuple(map(sum, zip(*map(self.of_word, words), strict=True))), len(words), sum(map(len, words)))
         return got
 
-    def of_sentence(self, tokens: list[str]) -> tuple[str | None, float, int, int]:
-        """Language, confidence, words, letters."""
+    def sums(self, tokens: list[str]) -> tuple[list[float], int, int]:
+        """The score of a sentence, its words and letters."""
         total, words, letters = [0.0] * (len(self.langs) + 1), 0, 0
         for t in tokens:
             score, n, k = self.of_token(t)
@@ -120,6 +121,11 @@ class LangModel:
                 total = [a + b for a, b in zip(total, score)]  # noqa: B905
                 words += n
                 letters += k
+        return total, words, letters
+
+    def of_sentence(self, tokens: list[str]) -> tuple[str | None, float, int, int]:
+        """Language, confidence, words, letters."""
+        total, words, letters = self.sums(tokens)
         return (*self.decide(total), words, letters) if words else (None, 0.0, 0, 0)
 
     def of_word(self, word: str) -> tuple[float, ...]:
@@ -130,15 +136,21 @@ class LangModel:
             got = self.cache[word] = tuple(self.table[grams(word)].sum(axis=0).tolist())
         return got
 
-    def decide(self, total: list[float]) -> tuple[str | None, float]:
-        if not self.langs:
-            return None, 0.0
+    def probabilities(self, total: list[float]) -> list[float]:
+        """The calibrated probability of each language."""
         mass = (total[-1] or 1.0) / SCALE * self.temperature
         z = [x / mass + b / self.temperature for x, b in zip(total, self.bias)]  # noqa: B905
         top = max(z)
         e = [math.exp(x - top) for x in z]
-        k = e.index(max(e))
-        return self.langs[k], e[k] / sum(e)
+        whole = sum(e)
+        return [x / whole for x in e]
+
+    def decide(self, total: list[float]) -> tuple[str | None, float]:
+        return self.likeliest(self.probabilities(total)) if self.langs else (None, 0.0)
+
+    def likeliest(self, p: list[float]) -> tuple[str, float]:
+        k = p.index(max(p))
+        return self.langs[k], p[k]
 
     def predict(self, words: list[str]) -> tuple[str | None, float]:
         if not words:
@@ -226,32 +238,46 @@ MARKED_WORDS = 4
 SURE = 0.8
 
 
-def languages_of(model: LangModel, text: str | None) -> tuple[dict[str, int], dict[str, float], str | None, float]:
-    """Letters in each language, by sentence; the languages of whole sentences, with the best confidence; and the language of the text with its confidence: that of all its words where it has no whole sentence."""
+class Reading(NamedTuple):
+    """What a text says of its languages: letters by the language of their sentence, and by each language's probability; the languages of whole sentences; and language and confidence of the text."""
+
+    letters: dict[str, int]
+    mass: list[float]
+    whole: list[str]
+    lang: str | None
+    confidence: float
+
+
+def read(model: LangModel, text: str | None) -> Reading:
+    """The text's language is that of its whole sentences, that of all its words where it has none."""
     letters: dict[str, int] = {}
+    mass = [0.0] * len(model.langs)
     whole: dict[str, float] = {}
     said: list[tuple[list[str], str, float]] = []
     for s in tokens_of(text or ""):
-        lang, p, words, n = model.of_sentence(s)
-        if lang is None:
+        total, words, n = model.sums(s)
+        if not words or not model.langs:
             continue
+        shares = model.probabilities(total)
+        lang, p = model.likeliest(shares)
         said.append((s, lang, p))
+        mass = [m + n * x for m, x in zip(mass, shares)]  # noqa: B905
         if p >= 0.5:
             letters[lang] = letters.get(lang, 0) + n
         if p >= SURE and (words >= WHOLE_WORDS or words >= MARKED_WORDS and s[-1].rstrip("”\"')")[-1:] in ENDS_SENTENCE):
             whole[lang] = max(whole.get(lang, 0.0), p)
     if whole:
-        return letters, whole, "+".join(sorted(whole)), min(whole.values())
+        return Reading(letters, mass, sorted(whole), "+".join(sorted(whole)), min(whole.values()))
     if len(said) > 1:
-        return letters, whole, *model.of_sentence([t for s, _, _ in said for t in s])[:2]
-    return letters, whole, *(said[0][1:] if said else (None, 0.0))
+        return Reading(letters, mass, [], *model.of_sentence([t for s, _, _ in said for t in s])[:2])
+    return Reading(letters, mass, [], *(said[0][1:] if said else (None, 0.0)))
 
 
 def label_segments(segments: DataFrame, model: LangModel) -> DataFrame:
-    """(id, document_id, n_<lang> for each language, whole array<string>, lang, confidence) of segments (id, document_id, source_text)."""
+    """(id, document_id, n_<lang> and m_<lang> for each language, whole array<string>, lang, confidence) of segments (id, document_id, source_text): letters of each language's sentences, and letters times its probability."""
     shared = segments.sparkSession.sparkContext.broadcast(model)
     langs = model.langs
-    fields = [("id", pa.string()), ("document_id", pa.string()), *((f"n_{x}", pa.int64()) for x in langs), ("whole", pa.list_(pa.string())), ("lang", pa.string()), ("confidence", pa.float64())]
+    fields = [("id", pa.string()), ("document_id", pa.string()), *((f"n_{x}", pa.int64()) for x in langs), *((f"m_{x}", pa.float64()) for x in langs), ("whole", pa.list_(pa.string())), ("lang", pa.string()), ("confidence", pa.float64())]
     schema = pa.schema(fields)
 
     def run(batches):
@@ -259,24 +285,25 @@ def label_segments(segments: DataFrame, model: LangModel) -> DataFrame:
         for b in batches:
             out: list[list] = [[] for _ in fields]
             for i, d, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                letters, whole, lang, p = languages_of(m, t)
-                for col, x in zip(out, [i, d, *(letters.get(x, 0) for x in langs), sorted(whole), lang, p], strict=True):
+                r = read(m, t)
+                for col, x in zip(out, [i, d, *(r.letters.get(x, 0) for x in langs), *r.mass, r.whole, r.lang, r.confidence], strict=True):
                     col.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f[1]) for c, f in zip(out, fields, strict=True)], schema=schema)
 
-    ddl = ", ".join(["id string", "document_id string", *(f"n_{x} long" for x in langs), "whole array<string>", "lang string", "confidence double"])
+    ddl = ", ".join(["id string", "document_id string", *(f"n_{x} long" for x in langs), *(f"m_{x} double" for x in langs), "whole array<string>", "lang string", "confidence double"])
     return spread(segments.select(F.col("id").cast("string"), F.col("document_id").cast("string"), "source_text")).mapInArrow(run, ddl)
 
 
 def document_languages(labelled: DataFrame, langs: list[str]) -> DataFrame:
-    """(document_id, lang, confidence): the language of most of a document's text and its share."""
+    """(document_id, lang, confidence): the language of most of a document's text, and the mean of that language's calibrated probability over its letters."""
     if not langs:
         return labelled.select("document_id", F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("confidence")).where("false")
-    sums = labelled.groupBy("document_id").agg(*(F.sum(f"n_{x}").alias(f"n_{x}") for x in langs))
+    sums = labelled.groupBy("document_id").agg(*(F.sum(f"{k}_{x}").alias(f"{k}_{x}") for k in "nm" for x in langs))
     total = sum((F.col(f"n_{x}") for x in langs), F.lit(0))
     top = F.greatest(*(F.col(f"n_{x}") for x in langs))
-    lang = F.coalesce(*(F.when(F.col(f"n_{x}") == top, F.lit(x)) for x in langs))
-    return sums.where(total > 0).select("document_id", lang.alias("lang"), (top / total).alias("confidence"))
+    of_top = lambda value: F.coalesce(*(F.when(F.col(f"n_{x}") == top, value(x)) for x in langs))
+    mass = sum((F.col(f"m_{x}") for x in langs), F.lit(0.0))
+    return sums.where(total > 0).select("document_id", of_top(F.lit).alias("lang"), (of_top(lambda x: F.col(f"m_{x}")) / mass).alias("confidence"))
 
 
 # Spellings of the codes and names of the languages.
