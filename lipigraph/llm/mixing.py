@@ -14,8 +14,10 @@ from __future__ import annotations
 
 import base64
 import functools
+import os
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +27,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Fixed value: the public pattern that byte-level vocabularies are cut by.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BUCKETS = 4096
+#: Sources times buckets that are sent to every task, some 60 MB; more are joined by a shuffle.
+MAX_LEVELS = 1_000_000
 
 
 @functools.cache
@@ -37,11 +41,13 @@ def encoding(path: str):
 
 
 def count_tokens(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
-    """(doc_id, source, n_tokens)."""
+    """(doc_id, source, n_tokens). The vocabulary is a file of the driver that goes to the executors with the job; none of them needs the path."""
+    documents.sparkSession.sparkContext.addFile(path)
+    name = os.path.basename(path)
     schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("n_tokens", pa.int64())])
 
     def run(batches):
-        encode = encoding(path).encode_ordinary
+        encode = encoding(SparkFiles.get(name)).encode_ordinary
         for b in batches:
             n = [len(encode(t)) if t else 0 for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], schema=schema)
@@ -87,7 +93,7 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, seed
     plan = F.broadcast(spark.createDataFrame(rows or [("", 0, 0.0)], "source string, whole int, rest double"))
     before = F.coalesce(F.sum("tokens").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     levels = buckets.withColumn("before", before).join(plan, "source").select("source", "bucket", "whole", (F.col("rest") - F.col("before")).alias("room"), "tokens")
-    placed = sized.join(levels, ["source", "bucket"])
+    placed = sized.join(F.broadcast(levels) if len(sources) * BUCKETS <= MAX_LEVELS else levels, ["source", "bucket"])
     edge = (F.col("room") > 0) & (F.col("room") < F.col("tokens"))
     inner = placed.where(~edge).withColumn("more", (F.col("room") > 0).cast("int"))
     order = Window.partitionBy("source", "bucket").orderBy("u", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
