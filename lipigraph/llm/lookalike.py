@@ -4,7 +4,10 @@ Look-alike classes are the connected components (union-find) of pairs of strings
 no-break variant and its plain form, a canonical decomposition and its composition, a letter and its twin in another
 script, a vowel sequence and its single letter, a space and its variants, an invisible character and the empty string.
 The representative of a class is its most frequent member over the whole corpus. Texts are rewritten by a multi-pattern
-automaton, leftmost longest match first.
+automaton, leftmost longest match first. Clusters of a base and marks have no bound in number, but their classes are their
+canonical equivalents, whose one composed member stands for them whatever the counts: a worker makes these where they occur.
+Letters of other alphabets drawn as a Latin letter are those listed here and, by the rule of confusables(), those of the
+public table of confusable characters that Spark's ICU library carries.
 
 Defined results: null stays null (and is no case); the empty text stays empty; texts are processed whole, whatever
 their length; repeated rows each get their result; columns beside id and texts aren't touched.
@@ -21,7 +24,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lipigraph.session import spread
@@ -70,7 +73,28 @@ def invisible(c: str) -> bool:
     return (unicodedata.category(c) == "Cf" or ord(c) in INVISIBLE) and c not in JOINERS and not 0x600 <= ord(c) <= 0x605 and ord(c) not in (0x6DD, 0x70F)
 
 
-def pairs_of(unit: str) -> Iterator[tuple[str, str]]:
+#: Alphabets whose letters may stand in for Latin ones.
+ALPHABETS = ("CYRILLIC", "GREEK", "ARMENIAN", "COPTIC", "CHEROKEE", "LISU")
+
+
+def alphabet(c: str) -> str:
+    return unicodedata.name(c, "").split(" ")[0]
+
+
+def confusables(spark: SparkSession, units: Iterable[str]) -> dict[str, str]:
+    """Twins among these code points: letters of the ALPHABETS whose skeleton in the public table is one Latin letter. That table has the small l for every upright stroke; a capital is drawn as I."""
+    checker = None
+    out = dict(TWINS)
+    for c in units:
+        if len(c) == 1 and c not in out and unicodedata.category(c)[0] == "L" and alphabet(c) in ALPHABETS:
+            checker = checker or spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+            drawn = checker.getSkeleton(c)
+            if len(drawn) == 1 and drawn.isascii() and drawn.isalpha():
+                out[c] = "I" if drawn == "l" and not c.islower() else drawn
+    return out
+
+
+def pairs_of(unit: str, twins: dict[str, str] = TWINS) -> Iterator[tuple[str, str]]:
     """The strings that a code point or a cluster looks like."""
     nfd, nfc = unicodedata.normalize("NFD", unit), unicodedata.normalize("NFC", unit)
     for x in (nfd, nfc):
@@ -78,8 +102,8 @@ def pairs_of(unit: str) -> Iterator[tuple[str, str]]:
             yield unit, x
     if len(unit) > 1:
         return
-    if unit in TWINS:
-        yield unit, TWINS[unit]
+    if unit in twins:
+        yield unit, twins[unit]
     if invisible(unit):
         yield unit, ""
     elif unicodedata.category(unit) == "Zs" and unit not in "  ":
@@ -89,18 +113,18 @@ def pairs_of(unit: str) -> Iterator[tuple[str, str]]:
         yield unit, "".join(chr(int(x, 16)) for x in rest.split())
 
 
-def classes_of(counts: dict[str, int]) -> dict[str, str]:
-    """Member to representative, for every look-alike class of a corpus with these counts of code points and clusters."""
+def classes_of(counts: dict[str, int], twins: dict[str, str] = TWINS) -> dict[str, str]:
+    """Member to representative, for every look-alike class of a corpus with these counts of code points."""
     union = Union()
-    for unit in [*counts, *TWINS, *(c for x in VOWELS for c in x)]:
-        for a, b in pairs_of(unit):
+    for unit in [*counts, *twins, *(c for x in VOWELS for c in x)]:
+        for a, b in pairs_of(unit, twins):
             union.join(a, b)
     for a, b in VOWELS.items():
         union.join(a, b)
     to: dict[str, str] = {}
     for members in union.classes():
         usual = [x for x in members if x in ("", " ") or unicodedata.is_normalized("NFC", x) and not any(unicodedata.decomposition(c).split(" ")[0] in SAME_DRAWING for c in x)] or members
-        best = min(usual, key=lambda x: (x not in ("", " "), -counts.get(x, 0), x in VOWELS, x in TWINS, len(x), x))
+        best = min(usual, key=lambda x: (x not in ("", " "), -counts.get(x, 0), x in VOWELS, x in twins, len(x), x))
         to |= {x: best for x in members if x and x != best}
     return to
 
@@ -108,15 +132,16 @@ def classes_of(counts: dict[str, int]) -> dict[str, str]:
 class Lookalikes:
     """The rewriter of these patterns."""
 
-    def __init__(self, patterns: dict[str, str]) -> None:
-        self.patterns = patterns
+    def __init__(self, patterns: dict[str, str], twins: dict[str, str] = TWINS) -> None:
+        self.patterns, self.twins = patterns, twins
+        self.clusters: dict[str, str] = {}
         #: Cheap test; a composed text it passes over is in its consistent form already.
         self.suspect = re.compile("[" + re.escape("".join(sorted({x[0] if len(x) == 1 else x[1] for x in patterns})) + JOINERS) + "\u0300-\u036f]")
         self.automaton = ahocorasick.Automaton()
         for k, v in patterns.items():
             self.automaton.add_word(k, (len(k), v))
         self.automaton.make_automaton()
-        self.foreign = {c for c in patterns if c in TWINS}
+        self.foreign = {c for c in patterns if c in twins}
         self.twin = re.compile("[" + "".join(sorted(self.foreign)) + "]") if self.foreign else None
 
     def genuine(self, text: str) -> bool:
@@ -124,12 +149,12 @@ class Lookalikes:
         if not self.twin or not self.twin.search(text):
             return False
         for w in WORD.findall(text):
-            if any(c in self.foreign for c in w) and any(c not in self.foreign and c.isalpha() and unicodedata.name(c, "").split(" ")[0] in ("CYRILLIC", "GREEK", "ARMENIAN") for c in w):
+            if any(c in self.foreign for c in w) and any(c not in self.foreign and c.isalpha() and alphabet(c) in ALPHABETS for c in w):
                 return True
         return False
 
     def __call__(self, text: str | None) -> str | None:
-        if not text or not self.suspect.search(text):
+        if not text or not self.suspect.search(text) and unicodedata.is_normalized("NFC", text):
             return text
         keep = self.genuine(text)
         # Only a letter in a word of its own script stays; a twin inside a Latin word never does.
@@ -143,17 +168,33 @@ class Lookalikes:
             out += (text[at:start], new)
             at = end + 1
         text = STRAY_JOINER.sub("", "".join(out) + text[at:])
-        return unicodedata.normalize("NFC", text)
+        # What composes beyond a cluster are the letters of Hangul syllables.
+        return text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", CLUSTER.sub(self.cluster, text))
+
+    def cluster(self, m: regex.Match) -> str:
+        """The representative of a cluster's class."""
+        unit = m[0]
+        got = self.clusters.get(unit)
+        if got is None:
+            union = Union()
+            for a, b in pairs_of(unit, {}):
+                union.join(a, b)
+            got = next((x for members in union.classes() for x in members if unicodedata.is_normalized("NFC", x)), unit)
+            if len(self.clusters) < MAX_CLUSTERS and len(unit) <= 8:
+                self.clusters[unit] = got
+        return got
+
+
+#: Clusters that a worker keeps; others are made anew.
+MAX_CLUSTERS = 100_000
 
 
 def count_units(texts: Iterable[str]) -> Counter:
-    """Occurrences of every code point, and of clusters that composition would change."""
+    """Occurrences of every code point, and of vowels typed in parts."""
     joined = "\n".join(texts)
     found: Counter = Counter()
     codes, n = np.unique(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4"), return_counts=True)
     found.update({chr(c): int(k) for c, k in zip(codes.tolist(), n.tolist(), strict=True)})
-    if not unicodedata.is_normalized("NFC", joined):
-        found.update(x for x in CLUSTER.findall(joined) if not unicodedata.is_normalized("NFC", x))
     for x in VOWELS:
         if n := joined.count(x):
             found[x] += n
@@ -175,23 +216,22 @@ def corpus_counts(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def model(*parts: tuple[DataFrame, list[str]]) -> Lookalikes:
-    """The rewriter for the texts of all parts. What reaches the driver is the table of distinct code points and non-composed clusters, whose size Unicode bounds, not the data."""
+    """The rewriter for the texts of all parts. What reaches the driver is the table of distinct code points, whose size Unicode bounds, not the data."""
     counts: Counter = Counter()
     for df, columns in parts:
-        table = corpus_counts(df, columns)
-        # Plain characters can't be members beside a variant: only what pairs_of() relates is needed.
-        for r in table.where(F.length("unit") <= 8).toLocalIterator():
+        for r in corpus_counts(df, columns).collect():
             counts[r.unit] += r.n
-    return Lookalikes(classes_of(counts))
+    twins = confusables(parts[0][0].sparkSession, counts)
+    return Lookalikes(classes_of(counts, twins), twins)
 
 
 def consistent(df: DataFrame, id_column: str, columns: list[str], rewriter: Lookalikes, changed_only: bool = False) -> DataFrame:
     """(row_id, field, text, changed): the consistent form of each text of the columns; with changed_only, only of those that had another form."""
-    shared = df.sparkSession.sparkContext.broadcast((rewriter.patterns, columns))
+    shared = df.sparkSession.sparkContext.broadcast((rewriter.patterns, rewriter.twins, columns))
 
     def run(batches):
-        patterns, names = shared.value
-        rewrite = _cached(patterns)
+        patterns, twins, names = shared.value
+        rewrite = _cached(patterns, twins)
         for b in batches:
             ids = b.column(0).to_pylist()
             for k, name in enumerate(names):
@@ -211,12 +251,12 @@ def consistent(df: DataFrame, id_column: str, columns: list[str], rewriter: Look
 _rewriters: dict[int, Lookalikes] = {}
 
 
-def _cached(patterns: dict[str, str]) -> Lookalikes:
+def _cached(patterns: dict[str, str], twins: dict[str, str]) -> Lookalikes:
     """The rewriter of these patterns, made once in a worker."""
     key = hash(tuple(sorted(patterns.items())))
     if key not in _rewriters:
         _rewriters.clear()
-        _rewriters[key] = Lookalikes(patterns)
+        _rewriters[key] = Lookalikes(patterns, twins)
     return _rewriters[key]
 
 

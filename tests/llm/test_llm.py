@@ -22,6 +22,19 @@ def rewriter(*texts):
     return lookalike.Lookalikes(lookalike.classes_of(lookalike.count_units(texts)))
 
 
+def test_confusables_by_the_public_table(spark):
+    twins = lookalike.confusables(spark, "ᎪꓐⲟΙмωक०ا" + "a")
+    assert {c: twins.get(c) for c in "ᎪꓐⲟΙ"} == {"Ꭺ": "A", "ꓐ": "B", "ⲟ": "o", "Ι": "I"} and not set("мक०اa") & set(twins)
+    rewrite = lookalike.Lookalikes(lookalike.classes_of(lookalike.count_units(["ꓐank Ꭺ Bonds An owl"]), twins), twins)
+    assert rewrite("ꓐⲟnd") == "Bond"
+
+
+def test_clusters_of_any_length():
+    rewrite = rewriter("plain")
+    long = "e" + "\u0323\u0301" * 30
+    assert rewrite(long) == unicodedata.normalize("NFC", long) and rewrite("न\u093c") == "\u0929" and rewrite("क़") == "क़"
+
+
 def test_lookalike_forms():
     odd = ["Ｗard", "wаrd", "wa​rd", "a ward", "a­b", "Dāndā", "résumé", "अाज", "क़", "νisit"]
     r = rewriter(*["ward a visit is usual here"] * 9, "Dāndā", "résumé", "क़", "आज", *odd)
