@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lipigraph.functions import text as T
 from lipigraph.functions.arrow import arrow
-from lipigraph.functions.text import TO_ASCII, TO_NATIVE, display_form, plain_form
+from lipigraph.functions.text import TO_ASCII, TO_NATIVE
 
 ENTITY = "struct<kind:string,text:string,start:int,end:int,target_term:string,segment_source_len:int>"
 HIT = "struct<source_term:string,target_term:string,term_type:string>"
@@ -67,7 +68,7 @@ WARD_FORMS = ["वडा नं. {n}", "वडा नं. {a}", "वडा न
 
 
 def variants(kind: str, text: str, target_term: str | None = None) -> list[str]:
-    """Spellings of an entity that count as kept, the plain ones first."""
+    """forms() for use inside Arrow functions."""
     if kind == "office":
         return [target_term or text]
     if kind in VERBATIM:
@@ -80,20 +81,53 @@ def variants(kind: str, text: str, target_term: str | None = None) -> list[str]:
     return list(dict.fromkeys(forms))
 
 
-def kept(entity: dict, target: str) -> bool:
-    """Whether the target keeps an entity; a number may be part of a longer list of numbers."""
-    if entity["kind"] == "number":
-        mine = {x.translate(TO_ASCII) for x in NUMBER.findall(entity["text"])}
-        return mine <= {x.translate(TO_ASCII) for x in NUMBER.findall(target)}
-    shown, plain = display_form(target), plain_form(target)
-    ascii_target = shown.translate(TO_ASCII)
-    return any(display_form(v) in shown or plain_form(v) in plain for v in variants(entity["kind"], entity["text"], entity.get("target_term"))) or entity["text"].translate(TO_ASCII) in ascii_target
+def full(df: DataFrame, column: str) -> Column:
+    """A column of entities with every field of ENTITY, whichever of them it has; null is none."""
+    return _filled(df, column, ENTITY)
+
+
+def full_hits(df: DataFrame, column: str) -> Column:
+    """The same for glossary hits."""
+    return _filled(df, column, HIT)
+
+
+def _filled(df: DataFrame, column: str, ddl: str) -> Column:
+    has = df.schema[column].dataType.elementType.names
+    parts = [x.split(":") for x in ddl.removeprefix("struct<").removesuffix(">").split(",")]
+    item = lambda e: F.struct(*((e[n] if n in has else F.lit(None)).cast(t).alias(n) for n, t in parts))
+    return F.coalesce(F.transform(column, item), F.array().cast(f"array<{ddl}>"))
+
+
+def number_in(text: Column) -> Column:
+    """The first number of a text, in ASCII digits; empty if there is none."""
+    return F.translate(F.regexp_extract(text, NUMBER.pattern, 0), T.NATIVE_DIGITS, T.ASCII_DIGITS)
+
+
+def forms(e: Column) -> Column:
+    """Spellings of an entity that count as kept, the plain ones first."""
+    text, n = F.coalesce(e["text"], F.lit("")), number_in(e["text"])
+    localised = lambda forms: F.array(text, T.to_native_digits(text), *(F.concat(*(T.to_native_digits(n) if x == "{n}" else n if x == "{a}" else F.lit(x) for x in re.split(r"({\w})", f) if x)) for f in forms))
+    return (
+        F.when(e["kind"] == "office", F.array(F.coalesce(F.nullif(e["target_term"], F.lit("")), text)))
+        .when(e["kind"].isin(*VERBATIM), F.array(text))
+        .when((e["kind"] == "money") & (n != ""), localised(MONEY_FORMS))
+        .when((e["kind"] == "ward") & (n != ""), localised(WARD_FORMS))
+        .otherwise(F.array(text, T.to_native_digits(text)))
+    )
+
+
+def is_kept(e: Column, shown: Column, numbers: Column) -> Column:
+    """Whether a target keeps an entity. shown: its display form in ASCII digits; numbers: its numbers. A number may be part of a longer list of numbers; digits count alike in both scripts."""
+    own = T.numbers(F.coalesce(e["text"], F.lit("")))
+    some = F.exists(forms(e), lambda v: F.contains(shown, T.to_ascii_digits(T.display_normalize(v))))
+    return F.when(e["kind"] == "number", (F.size(own) > 0) & (F.size(F.array_except(own, numbers)) == 0)).otherwise(some)
 
 
-@arrow("int")
-def kept_entities(entities: pd.Series, target: pd.Series) -> pd.Series:
+def count_kept(entities: Column, target: Column) -> Column:
     """How many of the entities the target keeps."""
-    return pd.Series([sum(kept(e, t or "") for e in (es if es is not None else ())) for es, t in zip(entities, target, strict=True)], dtype="int32")
+    text = F.coalesce(target, F.lit(""))
+    body = lambda shown: F.size(F.filter(entities, lambda e: is_kept(e, shown, T.numbers(text))))
+    return F.when(F.size(entities) <= 0, 0).otherwise(T.let(T.to_ascii_digits(T.display_normalize(text)), body))
 
 
 def kinds(entities: Column) -> Column:

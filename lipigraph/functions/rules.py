@@ -1,20 +1,18 @@
-"""Rules that judge a rendering against its source. Each is data: a code, a severity, whether a repair may help, and the
-condition under which it fires. Conditions that Catalyst can express are Column expressions and run as generated code; the
-few that need positions in compatibility form are one Arrow function together, so a row crosses to Python once."""
+"""Rules that judge a rendering against its source. Each is data: a code, a severity, how often it fires as a Column, and
+whether a repair may help. All of them are Catalyst expressions over parts that are computed once a row in projections of
+their own: lower and display forms, numbers, tokens, the state of each entity. No row goes to Python."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lipigraph.functions import entities as E
 from lipigraph.functions import text as T
-from lipigraph.functions.arrow import arrow
 
-REASON = "struct<ord:int,code:string,label:string,severity:string,detail:string,repairable:boolean>"
+REASON = "struct<code:string,label:string,severity:string,detail:string,repairable:boolean>"
 
 # The word lists of the rules.
 ENGLISH_NEGATION = ["not", "no", "never", "none", "neither", "nor", "cannot", "don't", "can't", "won't"]
@@ -32,21 +30,31 @@ LANDMARKS = [(["signature", "signed"], ["हस्ताक्षर", "दस
 ANCHORS = [(["ward"], ["वडा"]), (["house"], ["घर"]), (["no", "number"], ["नं", "नम्बर", "संख्या"])]
 OBSOLETE = [["vdc", "village development committee"], ["zonal", "zone"]]
 LEGALISMS = ["subpoena", "indemnity", "habeas corpus", "tort", "affidavit"]
-FORBIDDEN = [("कागज", "low"), ("citizenship paper", "medium")]
+FORBIDDEN = [("कागज", "low"), ("Citizenship paper", "medium")]
 NEGATIVE_PREFIXES = ["un", "in", "im", "dis", "non", "ir", "mis", "anti", "de"]
 NOT_NEGATIVE = ["instruction", "information", "important", "interest", "industry", "individual", "increase", "include", "indeed", "inside", "insight", "inspect", "install", "instead", "intend", "intensity", "interview", "instrument", "instance", "incident", "input", "income", "invite"]
 NO_NAMES = ["Applicant", "Application", "Certificate", "Citizenship", "Date", "District", "Fee", "Form", "ID", "Municipality", "Name", "Office", "Phone", "Reference", "Request", "Residence", "Service", "Ward", "Call", "Card", "Fees", "NPR", "Total", "Amount", "Price"]
-FILLERS = ["here is", "translation:", "translated text", "sure,", "okay,", "as an ai", "i hope this helps"]
+FILLERS = ["here is the", "sure,", "translation:", "translated text:"]
+NO_TOKENS = ["http", "https", "example", "www"]
 
 
 @dataclass(frozen=True)
 class Rule:
     code: str
     severity: str
-    fires: Column
+    #: How often the rule fires for a row.
+    n: Column
     label: str
     detail: Column | str = ""
-    repairable: bool = False
+    repairable: Column | bool = False
+
+
+def once(*conditions: Column) -> Column:
+    """How many of the conditions hold."""
+    out = F.lit(0)
+    for c in conditions:
+        out = out + F.coalesce(c, F.lit(False)).cast("int")
+    return out
 
 
 def has_any(text: Column, words: list[str]) -> Column:
@@ -64,18 +72,27 @@ def differ(a: Column, b: Column) -> Column:
     return (F.size(F.array_except(a, b)) > 0) | (F.size(F.array_except(b, a)) > 0)
 
 
+def minus(a: Column, b: Column) -> Column:
+    return F.size(F.array_except(a, b))
+
+
 def anchored(text: Column, words: list[str]) -> Column:
-    found = [F.transform(F.regexp_extract_all(text, F.lit(rf"{T.EDGE_BEFORE}{w}\.?\s*([0-9०-९]+)"), F.lit(1)), lambda x: F.translate(x, T.NATIVE_DIGITS, T.ASCII_DIGITS)) for w in words]
+    found = [F.transform(F.regexp_extract_all(text, F.lit(rf"{T.EDGE_BEFORE}{w}\.?{T.SPACE}*([0-9०-९]+)"), F.lit(1)), lambda x: F.translate(x, T.NATIVE_DIGITS, T.ASCII_DIGITS)) for w in words]
     return F.array_distinct(F.concat(*found))
 
 
 def list_markers(text: Column) -> Column:
-    found = F.transform(F.regexp_extract_all(text, F.lit(T.EDGE_BEFORE + r"(\p{Nd}+)\.\s"), F.lit(1)), lambda x: F.try_to_number(F.translate(x, T.NATIVE_DIGITS, T.ASCII_DIGITS), F.lit("999999999")).cast("int"))
-    return F.filter(found, lambda n: n < 100)
+    """Numbers below a hundred before a full stop and a space."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(rf"{T.EDGE_BEFORE}(\p{{Nd}}+)\.{T.SPACE}"), F.lit(1)), lambda x: F.regexp_replace(F.translate(x, T.NATIVE_DIGITS, T.ASCII_DIGITS), "^0+(?=.)", ""))
+    return F.filter(found, lambda n: F.length(n) < 3)
+
+
+def dates(text: Column) -> Column:
+    return F.size(F.regexp_extract_all(text, F.lit(r"\p{Nd}{1,4}[-./]\p{Nd}{1,2}[-./]\p{Nd}{1,4}"), F.lit(0)))
 
 
 def negatives(text: Column, words: list[str], english: bool) -> Column:
-    w = F.filter(F.split(F.lower(text), r"\s+"), lambda x: x != "")
+    w = T.words(F.lower(text))
     plain = F.size(F.filter(w, lambda x: x.isin(words)))
     if not english:
         return plain
@@ -83,216 +100,203 @@ def negatives(text: Column, words: list[str], english: bool) -> Column:
     return plain + F.size(prefixed)
 
 
-def prepared(pairs: DataFrame, source: str, target: str, lang: Column) -> tuple[DataFrame, list[Rule]]:
-    """pairs with what many rules ask of a pair in columns of their own, so that it is computed once a row, and the rules over them."""
-    s, t = F.coalesce(F.col(source), F.lit("")), F.coalesce(F.col(target), F.lit(""))
-    first = pairs.withColumns({"_s": s, "_t": t, "_sl": F.lower(s), "_tl": F.lower(t), "_en": F.lower(F.coalesce(lang, F.lit("en"))) == "en"})
-    return first, rules(F.col("_s"), F.col("_t"), lang, (F.col("_sl"), F.col("_tl"), F.col("_en")))
-
-
-PREPARED = ("_s", "_t", "_sl", "_tl", "_en")
-
-
-def rules(source: Column, target: Column, lang: Column, ready: tuple[Column, Column, Column] | None = None) -> list[Rule]:
-    """The rules that Catalyst evaluates, in the order in which they report. ready: the lower forms and whether the target is English, where the caller has them."""
-    s, t = (source, target) if ready else (F.coalesce(source, F.lit("")), F.coalesce(target, F.lit("")))
-    sl, tl, english = ready or (F.lower(s), F.lower(t), F.lower(F.coalesce(lang, F.lit("en"))) == "en")
-    ls, lt = F.length(F.trim(s)), F.length(F.trim(t))
-    ratio = lt / F.greatest(ls, F.lit(1))
-    ws, wt = T.word_count(s), T.word_count(t)
-    words_s, words_t = F.split(s, r"\s+"), F.split(t, r"\s+")
-    missing_numbers = F.array_except(T.numbers(s), T.numbers(t))
+def name_like(text: Column) -> Column:
+    """Two or three capitalised Latin words, none of them a common label."""
+    w = T.words(F.coalesce(text, F.lit("")))
+    return F.size(w).between(2, 3) & F.forall(w, lambda x: x.rlike("^[A-Z][a-z]+$") & ~x.isin(NO_NAMES))
+
+
+#: A number between the fifteen characters before and behind it.
+NEAR = r"(?s)(?=[+0-9०-९])(?<=(^.{0,14}|.{15}))[+0-9०-९]+(?:[,.\-:/][+0-9०-९]+)*(?=(.{0,15}))"
+NEAR_WORD = r"[^\p{Nd}" + T.SPACE[1:-1] + "]{2,}"
+
+
+def near_numbers(shown: Column) -> Column:
+    """(n, words): each number of a display form with the words around it."""
+    part = lambda k: F.regexp_extract_all(shown, F.lit(NEAR), F.lit(k))
+    around = F.zip_with(part(1), part(2), lambda a, b: F.regexp_extract_all(F.concat(a, F.lit(" "), b), F.lit(NEAR_WORD), F.lit(0)))
+    return F.zip_with(part(0), around, lambda n, w: F.struct(F.translate(n, T.NATIVE_DIGITS, T.ASCII_DIGITS).alias("n"), w.alias("words")))
+
+
+def swapped(mine: Column, theirs: Column) -> Column:
+    """Numbers of the source whose label stands beside another number in the target."""
+
+    def moved(n: Column) -> Column:
+        out = F.lit(False)
+        for a, b in LANDMARKS:
+            labelled = F.exists(mine, lambda c: (c["n"] == n) & F.exists(c["words"], lambda w: F.lower(w).isin(a)))
+            out = out | (labelled & F.exists(theirs, lambda c: (c["n"] != n) & F.exists(c["words"], lambda w: w.isin(b))))
+        return out
+
+    own = F.array_distinct(F.transform(mine, lambda c: c["n"]))
+    both = F.filter(own, lambda n: F.exists(theirs, lambda c: c["n"] == n) & moved(n))
+    return F.when(F.size(own) < 2, F.array().cast("array<string>")).otherwise(both)
+
+
+def state_of(e: Column, target: Column, shown: Column, shown_ascii: Column, numbers: Column) -> Column:
+    """(kept, shifted, foreign): whether the target keeps an entity, far from its place, and in a script it should have left."""
+    text = F.coalesce(e["text"], F.lit(""))
+    found = F.get(F.filter(F.transform(E.forms(e), lambda v: T.display_normalize(v)), lambda v: (v != "") & F.contains(shown, v)), F.lit(0))
+    at = F.when(found.isNotNull(), F.instr(shown, found)).otherwise(F.instr(shown_ascii, T.to_ascii_digits(text))) - 1
+    foreign = F.when(found.isNotNull(), ~T.contains_devanagari(found) & (T.to_native_digits(found) != found) & ~e["kind"].isin(*E.VERBATIM)).otherwise((at >= 0) & (T.to_native_digits(text) != text))
+    whole = F.coalesce(F.nullif(e["segment_source_len"], F.lit(0)), F.nullif(F.length(target), F.lit(0)), F.lit(100))
+    far = F.abs(F.coalesce(e["start"], F.lit(0)) / whole - at / F.greatest(F.length(shown), F.lit(1))) > F.when(F.length(shown) < 60, 0.75).otherwise(0.6)
+    told = (text != "") & (target != "")
+    return F.struct(E.is_kept(e, shown_ascii, numbers).alias("kept"), (told & (at >= 0) & far).alias("shifted"), (told & foreign).alias("foreign"))
+
+
+def left_over(source: Column, target_plain: Column, entities: Column, hits: Column) -> Column:
+    """Latin words of the source that the target still holds, but for those in entities and glossary terms and for parts of links."""
+    hidden = lambda s, e: F.concat(s.substr(F.lit(1), e["start"]), F.repeat(F.lit("_"), e["end"] - e["start"]), s.substr(e["end"] + 1, F.length(s)))
+    spans = F.filter(entities, lambda e: e["start"].isNotNull() & e["end"].isNotNull() & (e["end"] > e["start"]))
+    open_ = F.aggregate(spans, source, hidden)
+    known = F.concat(
+        F.array(*map(F.lit, NO_TOKENS)),
+        F.flatten(F.transform(hits, lambda h: T.latin_tokens(F.lower(F.coalesce(h["source_term"], F.lit("")))))),
+        F.flatten(F.transform(entities, lambda e: T.latin_tokens(F.lower(F.coalesce(e["text"], F.lit("")))))),
+    )
+    tokens = F.filter(F.array_distinct(T.latin_tokens(open_)), lambda w: F.contains(target_plain, F.lower(w)) & ~F.array_contains(known, F.lower(w)))
+    return F.array_sort(tokens)
+
+
+def reordered(names: Column, shown: Column) -> Column:
+    """Whether names, repeats included, come in another order in the target."""
+    present = F.filter(names, lambda n: F.contains(shown, n) | F.contains(shown, F.lower(n)))
+
+    def changed(p: Column) -> Column:
+        placed = F.array_sort(F.transform(F.filter(p, lambda n: F.contains(shown, n)), lambda n: F.struct(F.instr(shown, n).alias("at"), n.alias("n"))))
+        return (F.size(p) >= 2) & (F.size(placed) == F.size(p)) & (F.transform(placed, lambda x: x["n"]) != p)
+
+    return (F.size(F.array_distinct(names)) >= 2) & T.let(present, changed)
+
+
+def prepared(pairs: DataFrame, source: str, target: str, lang: Column, entities: str | None = None, hits: str | None = None) -> DataFrame:
+    """pairs with the parts that the rules share in columns of their own, each computed once a row; those that no rule asks for are pruned."""
+    c = F.col
+    out = pairs.withColumns(
+        {
+            "_s": F.coalesce(source, F.lit("")), "_t": F.coalesce(target, F.lit("")), "_lang": F.lower(F.coalesce(lang, F.lit("en"))),
+            "_e": E.full(pairs, entities) if entities else F.array().cast(f"array<{E.ENTITY}>"), "_h": E.full_hits(pairs, hits) if hits else F.array().cast(f"array<{E.HIT}>"),
+        }
+    )
+    out = out.withColumns({"_sl": F.lower("_s"), "_tl": F.lower("_t"), "_ss": T.strip(c("_s")), "_ts": T.strip(c("_t")), "_sd": T.display_normalize("_s"), "_td": T.display_normalize("_t")})
+    return out.withColumns(
+        {
+            "_tp": T.casefold(c("_td")), "_ta": T.to_ascii_digits(c("_td")), "_sn": T.numbers(c("_s")), "_tn": T.numbers(c("_t")), "_sw": T.word_count(c("_s")), "_tw": T.word_count(c("_t")),
+            "_slatin": T.latin_tokens(c("_sl")), "_tlatin": T.latin_tokens(c("_tl")), "_names": F.filter(T.latin_tokens(c("_s")), lambda w: ~w.isin(NO_NAMES)),
+            "_near_s": near_numbers(c("_sd")), "_near_t": near_numbers(c("_td")),
+        }
+    ).withColumns({"_state": F.transform("_e", lambda e: state_of(e, c("_t"), c("_td"), c("_ta"), c("_tn"))), "_left": left_over(c("_s"), c("_tp"), c("_e"), c("_h")), "_swapped": swapped(c("_near_s"), c("_near_t"))})
+
+
+def rules() -> list[Rule]:
+    """The rules over the columns of prepared(), in the order in which they report; the empty rendering is score()'s."""
+    s, t, sl, tl, ss, ts, td, lang = (F.col(f"_{x}") for x in ("s", "t", "sl", "tl", "ss", "ts", "td", "lang"))
+    e, h, state, sn, tn, ws, wt = (F.col(f"_{x}") for x in ("e", "h", "state", "sn", "tn", "sw", "tw"))
+    ratio = F.length(ts) / F.greatest(F.length(ss), F.lit(1))
     symbols = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(r"[@#$%^&*_=+|\\<>]"), F.lit(0)))
-    pairs_differ = F.lit(False)
-    for a, b in ("()", "[]", "{}"):
-        pairs_differ = pairs_differ | (T.count_of(s, a) != T.count_of(t, a)) | (T.count_of(s, b) != T.count_of(t, b))
-    pairs_differ = pairs_differ | (T.count_of(s, '"') % 2 != T.count_of(t, '"') % 2)
-    markup = F.lit(False)
-    for c in "•-*|:":
-        markup = markup | (T.count_of(s, c) != T.count_of(t, c))
-    latin_letters = F.length(F.regexp_replace(t, r"[^A-Za-z]", ""))
-    dates = lambda c: F.size(F.regexp_extract_all(c, F.lit(r"\d{1,4}[-./]\d{1,2}[-./]\d{1,4}"), F.lit(0)))
-    without_no = F.regexp_replace(s, r"(?i)\bno\.?\s*\d+", " ")
+    leaked = F.array_except(symbols(t), symbols(s))
+    brackets = [(T.count_of(s, a) != T.count_of(t, a)) | (T.count_of(s, b) != T.count_of(t, b)) for a, b in ("()", "[]", "{}")]
+    marks = lambda c: F.length(F.regexp_replace(c, r"[^•\-*|:]", ""))
+    latin = lambda c: F.length(F.regexp_replace(c, r"[^A-Za-z]", ""))
+    total = lambda parts: F.aggregate(parts, F.lit(0), lambda a, x: a + x)
+    exempt = total(F.transform(h, lambda x: F.when(x["target_term"].rlike("[A-Za-z]"), F.length(x["target_term"])).otherwise(0))) + total(F.transform(e, lambda x: F.when(x["kind"].isin("url", "email"), F.coalesce(F.length(x["text"]), F.lit(0))).otherwise(0)))
+    imbalance = T.contains_devanagari(t) & (F.length(t) > 20) & (F.greatest(F.lit(0), latin(t) - exempt) / F.length(t) > 0.35)
+    first = F.get(e, F.lit(0))
+    technical = (F.size(e) == 1) & (F.length(ts) < F.length(first["text"]) + 5) & first["kind"].isin(*E.VERBATIM)
+    without_no = F.regexp_replace(s, rf"(?i){T.EDGE_BEFORE}no\.?{T.SPACE}*\p{{Nd}}+", " ")
     s_words = F.regexp_extract_all(F.lower(without_no), F.lit(T.WORD), F.lit(0))
     placeholders = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(r"\{\{[^}]+\}\}|\{[^}]+\}|\[[A-Z_]+\]"), F.lit(0)))
     first_words = F.slice(F.regexp_extract_all(tl, F.lit(r"[a-z]{4,}"), F.lit(0)), 1, 5)
-    tokens = F.array_except(F.array_distinct(T.latin_tokens(tl)), F.array_distinct(T.latin_tokens(sl)))
-    ghosts = F.filter(F.array_except(tokens, F.array(*map(F.lit, INSTRUCTION_KEYWORDS))), lambda g: ~(english & T.contains_devanagari(s)) | ((F.length(g) >= 4) & ~F.initcap(g).isin(NO_NAMES)))
-    names = F.filter(T.latin_tokens(s), lambda w: ~w.isin(NO_NAMES))
-    twice = F.exists(names, lambda w: F.length(s) - F.length(F.replace(s, w, F.lit(""))) >= 2 * F.length(w))
+    new = F.array_except(F.array_except(F.col("_tlatin"), F.col("_slatin")), F.array(*map(F.lit, INSTRUCTION_KEYWORDS)))
+    ghosts = F.filter(new, lambda g: ~((lang == "en") & T.contains_devanagari(s)) | ((F.length(g) >= 4) & ~F.concat(F.upper(F.substring(g, 1, 1)), g.substr(F.lit(2), F.length(g))).isin(NO_NAMES)))
+    twice = F.exists("_names", lambda w: F.length(s) - F.length(F.replace(s, w, F.lit(""))) >= 2 * F.length(w))
     runs = F.array_distinct(F.regexp_extract_all(t, F.lit(r"[ऀ-ॿ]{3,}"), F.lit(0)))
-    neg_s, neg_t = negatives(s, ENGLISH_NEGATION, True), negatives(t, NEPALI_NEGATION, False)
-
-    found = [
-        Rule("changed_number", "high", F.size(missing_numbers) > 0, "Number changed or missing", F.array_join(F.array_sort(missing_numbers), ", "), True),
-        Rule("hallucination_repetition", "high", T.neighbours_equal(words_t) & ~T.neighbours_equal(words_s), "A word repeated", "", True),
-        Rule("length_deviation", "low", (ratio < 0.35) | (ratio > 3.0), "Unusual length", F.format_number(ratio, 2)),
-        Rule("untranslated_segment", "medium", (s == t) & (F.length(s) > 3) & F.trim(s).rlike(r"\b[A-Za-z][A-Za-z-]{1,}\b") & ~F.trim(s).rlike(r"^(?:\S+@\S+|https?://\S+)$") & ~name_like(s), "Source left as it was"),
-        Rule("punctuation_mismatch", "medium", pairs_differ, "Brackets or quotes differ"),
-        Rule("symbol_leak", "medium", F.size(F.array_except(symbols(t), symbols(s))) > 0, "Symbol that the source lacks", F.array_join(F.array_sort(F.array_except(symbols(t), symbols(s))), " ")),
-        Rule("script_imbalance", "medium", T.contains_devanagari(t) & (F.length(t) > 20) & (F.try_divide(latin_letters - F.length(F.array_join(F.regexp_extract_all(t, F.lit(r"(?i)https?://\S+|\S+@\S+"), F.lit(0)), "")), F.length(t)) > 0.35), "Much Latin script"),
-        Rule("word_repetition", "medium", t.rlike(r"(?iu)" + T.EDGE_BEFORE + r"([\p{L}\p{M}\p{N}_]+)(?:\s+\1){3,}"), "A word in a loop"),
-        Rule("markup_mismatch", "low", markup, "List or label marks differ"),
-        Rule("date_mismatch", "high", dates(s) != dates(T.to_ascii_digits(t)), "Number of dates differs", "", True),
-        Rule("major_omission", "high", (ws > 10) & (F.try_divide(wt, ws) < 0.4), "Much left out"),
-        Rule("major_addition", "medium", (ws > 10) & (F.try_divide(wt, ws) > 2.5), "Much added"),
-        Rule("negation_flip", "high", F.exists(s_words, lambda w: w.isin(ENGLISH_NEGATION)) & ~has_any(t, NEPALI_NEGATION), "Negation missing"),
-        Rule("honorific_inconsistency", "medium", has_any(t, HONORIFIC_HIGH) & has_any(t, HONORIFIC_LOW), "Mixed forms of respect"),
-        Rule("instruction_leak", "medium", F.exists(first_words, lambda w: w.isin(INSTRUCTION_KEYWORDS)), "Instructions in the text"),
-        Rule("placeholder_broken", "high", F.size(F.array_except(placeholders(s), placeholders(t))) > 0, "Placeholder lost"),
-        *(Rule("directional_flip", "high", has_any(sl, a) & has_any(t, b), "Direction turned round") for a, b in DIRECTIONS),
-    ]
-    for a, b in CURRENCIES:
-        marked, local, latin = has_any(sl, a), has_any(tl, b), has_any(tl, a)
-        lost, kept_latin = marked & ~local & ~latin, marked & latin & ~local & ~english
-        found += [
-            Rule("currency_missing", "high", lost, "Currency lost"),
-            Rule("currency_unlocalized", "medium", kept_latin, "Currency in Latin script"),
-            Rule("currency_suboptimal", "low", marked & ~lost & ~kept_latin & ~english & has_any(tl, PHONETIC_CURRENCY), "Currency spelled by its sound", "", True),
-        ]
     ms, mt = list_markers(s), list_markers(t)
-    found += [
-        Rule("list_sequence_broken", "high", (F.size(ms) > 0) & (F.size(mt) > 0) & (ms != mt), "Numbering differs"),
-        *(Rule("forbidden_term", severity, t.rlike(f"(?iu){T.EDGE_BEFORE}{term}{T.EDGE_AFTER}"), "Term not in use") for term, severity in FORBIDDEN),
-        *(Rule("logical_flow_broken", "medium", has_word(sl, a) & ~has_any(t, b), "Connective lost") for a, b in CONNECTIVES),
-        *(Rule("anchor_mismatch", "high", (F.size(anchored(sl, a)) > 0) & (F.size(anchored(t, b)) > 0) & differ(anchored(sl, a), anchored(t, b)), "Value beside a label differs") for a, b in ANCHORS),
-        *(Rule("missing_landmark", "high", has_any(sl, [f"[{w}]" for w in a] + [f"({w})" for w in a]) & ~has_any(t, b), "Official mark lost") for a, b in LANDMARKS),
-        Rule("certification_missing", "high", has_any(sl, ["verified", "certified"]) & ~F.contains(t, F.lit("प्रमाणित")), "Certification lost"),
-        Rule("date_conversion_risk", "high", s.rlike(r"\b20[0-2][0-9]\b") & T.to_ascii_digits(t).rlike(T.EDGE_BEFORE + "20[7-9][0-9]" + T.EDGE_AFTER), "Year of another calendar"),
-        *(Rule("anachronism_risk", "medium", has_any(sl, words), "Obsolete term") for words in OBSOLETE),
-        Rule("transliteration_drift", "low", twice & (F.size(runs) >= 2), "A name in several spellings"),
-        *(Rule("legal_modal_flip", "high", has_word(sl, MODALS[i][0]) & has_any(t, MODALS[1 - i][1]) & ~has_any(t, MODALS[i][1]), "Duty and permission exchanged") for i in (0, 1)),
-        *(Rule("untranslated_legalism", "medium", has_word(tl, [w]), "Legal term left", w) for w in LEGALISMS),
-        *(Rule("legal_anchor_missing", "medium", has_any(sl, a) & ~has_any(t, b), "Legal condition lost") for a, b in CONDITIONS),
-        Rule("ghost_entity", "high", F.size(ghosts) > 0, "Word that the source lacks", F.array_join(F.slice(F.array_sort(ghosts), 1, 2), ", ")),
-        Rule("polarity_flip", "high", (neg_s % 2 != neg_t % 2), "Sense turned round"),
-        Rule("spacing_standard", "low", t.rlike(r"[रु$][०-९0-9]"), "No space after the currency"),
-        Rule("abbreviation_standard", "low", t.rlike(T.EDGE_BEFORE + r"न\s*[०-९0-9]"), "Abbreviation without its dot"),
-        Rule("ai_filler", "low", has_any(F.substring(tl, 1, 50), FILLERS), "An assistant's filler"),
+    latin_year, native_year = s.rlike(rf"{T.EDGE_BEFORE}20[0-2][0-9]{T.EDGE_AFTER}"), T.to_ascii_digits(t).rlike(rf"{T.EDGE_BEFORE}20[7-9][0-9]{T.EDGE_AFTER}")
+    joined = lambda a, n: F.array_join(F.slice(a, 1, n), ", ")
+    each = lambda test: F.size(F.filter(state, test))
+    money = []
+    for a, b in CURRENCIES:
+        marked, local, foreign = has_any(sl, a), has_any(tl, b), has_any(tl, a)
+        money.append((marked & ~local & ~foreign, marked & foreign & ~local & (lang != "en"), marked & ~(~local & ~foreign) & ~(foreign & ~local & (lang != "en")) & (lang != "en") & has_any(tl, PHONETIC_CURRENCY)))
+    return [
+        Rule("changed_number", "high", once(minus(sn, tn) > 0), "Number changed or missing", joined(F.array_sort(F.array_except(sn, tn)), 20), True),
+        Rule("number_swap", "high", F.size("_swapped"), "Numbers exchanged", joined(F.col("_swapped"), 5)),
+        Rule("changed_protected_entity", "high", each(lambda x: ~x["kept"]), "Protected value lost", "", True),
+        Rule("position_shift", "medium", each(lambda x: x["shifted"]), "Protected value far from its place"),
+        Rule("script_mismatch", "medium", each(lambda x: x["foreign"]), "Protected value in the source's digits"),
+        Rule("glossary_miss", "medium", F.size(F.filter(h, lambda x: ~F.contains(t, x["target_term"]))), "Glossary term not used"),
+        Rule("hallucination_repetition", "high", once(T.neighbours_equal(T.words(t)) & ~T.neighbours_equal(T.words(s))), "A word repeated", "", True),
+        Rule("untranslated_token", "medium", once((F.size("_left") > 0) & ~((ss == ts) & name_like(s))), "Source words left", joined(F.col("_left"), 5), True),
+        Rule("length_deviation", "low", once((ratio < 0.35) | (ratio > 3.0)), "Unusual length", F.format_number(ratio, 2), ratio < 0.5),
+        Rule("untranslated_segment", "medium", once((ss == ts) & (F.length(ss) > 3) & ~F.coalesce(technical, F.lit(False)) & ~name_like(s) & t.rlike(T.LATIN_TOKEN)), "Source left as it was"),
+        Rule("punctuation_mismatch", "medium", once(*brackets, T.count_of(s, '"') % 2 != T.count_of(t, '"') % 2), "Brackets or quotes differ"),
+        Rule("symbol_leak", "medium", once(F.size(leaked) > 0), "Symbol that the source lacks", F.array_join(F.array_sort(leaked), " ")),
+        Rule("script_imbalance", "medium", once(imbalance), "Much Latin script"),
+        Rule("word_repetition", "medium", once(t.rlike(rf"(?iu){T.EDGE_BEFORE}([\p{{L}}\p{{N}}_]+){T.EDGE_AFTER}(?:{T.SPACE}+\1){{3,}}")), "A word in a loop"),
+        Rule("markup_mismatch", "low", once(marks(s) != marks(t)), "List or label marks differ"),
+        Rule("date_mismatch", "high", once(dates(s) != dates(t)), "Number of dates differs", "", True),
+        Rule("major_omission", "high", once((ws > 10) & (F.try_divide(wt, ws) < 0.4)), "Much left out"),
+        Rule("major_addition", "medium", once((ws > 10) & (F.try_divide(wt, ws) > 2.5)), "Much added"),
+        Rule("negation_flip", "high", once(F.exists(s_words, lambda w: w.isin(ENGLISH_NEGATION)) & ~has_any(t, NEPALI_NEGATION)), "Negation missing"),
+        Rule("honorific_inconsistency", "medium", once(has_any(t, HONORIFIC_HIGH) & has_any(t, HONORIFIC_LOW)), "Mixed forms of respect"),
+        Rule("instruction_leak", "medium", once(F.exists(first_words, lambda w: w.isin(INSTRUCTION_KEYWORDS))), "Instructions in the text"),
+        Rule("placeholder_broken", "high", once(minus(placeholders(s), placeholders(t)) > 0), "Placeholder lost"),
+        Rule("directional_flip", "high", once(*(has_any(sl, a) & has_any(t, b) for a, b in DIRECTIONS)), "Direction turned round"),
+        Rule("currency_missing", "high", once(*(m[0] for m in money)), "Currency lost"),
+        Rule("currency_unlocalized", "medium", once(*(m[1] for m in money)), "Currency in Latin script"),
+        Rule("currency_suboptimal", "low", once(*(m[2] for m in money)), "Currency spelled by its sound", "", True),
+        Rule("list_sequence_broken", "high", once((F.size(ms) > 0) & (F.size(mt) > 0) & (ms != mt)), "Numbering differs"),
+        *(Rule("forbidden_term", severity, once(t.rlike(f"(?iu){T.EDGE_BEFORE}{term}{T.EDGE_AFTER}")), "Term not in use") for term, severity in FORBIDDEN),
+        Rule("logical_flow_broken", "medium", once(*(has_word(sl, a) & ~has_any(td, b) for a, b in CONNECTIVES)), "Connective lost"),
+        Rule("identity_swap", "high", once(reordered(F.col("_names"), td)), "Names in another order"),
+        Rule("anchor_mismatch", "high", once(*((F.size(anchored(sl, a)) > 0) & (F.size(anchored(td, b)) > 0) & differ(anchored(sl, a), anchored(td, b)) for a, b in ANCHORS)), "Value beside a label differs"),
+        Rule("missing_landmark", "high", once(*(has_any(sl, [f"[{w}]" for w in a] + [f"({w})" for w in a]) & ~has_any(td, b) for a, b in LANDMARKS)), "Official mark lost"),
+        Rule("certification_missing", "high", once(has_any(sl, ["verified", "certified"]) & ~F.contains(t, F.lit("प्रमाणित"))), "Certification lost"),
+        Rule("date_conversion_risk", "high", once(latin_year & native_year), "Year of another calendar"),
+        Rule("anachronism_risk", "medium", once(*(has_any(sl, words) for words in OBSOLETE)), "Obsolete term"),
+        Rule("transliteration_drift", "low", once(twice & (F.size(runs) >= 2)), "A name in several spellings"),
+        Rule("legal_modal_flip", "high", once(*(has_word(sl, MODALS[i][0]) & has_any(td, MODALS[1 - i][1]) & ~has_any(td, MODALS[i][1]) for i in (0, 1))), "Duty and permission exchanged"),
+        Rule("untranslated_legalism", "medium", once(*(has_word(tl, [w]) for w in LEGALISMS)), "Legal term left"),
+        Rule("legal_anchor_missing", "medium", once(*(has_any(sl, a) & ~has_any(td, b) for a, b in CONDITIONS)), "Legal condition lost"),
+        Rule("ghost_entity", "high", once(F.size(ghosts) > 0), "Word that the source lacks", joined(F.array_sort(ghosts), 2)),
+        Rule("polarity_flip", "high", once(negatives(s, ENGLISH_NEGATION, True) % 2 != negatives(t, NEPALI_NEGATION, False) % 2), "Sense turned round"),
+        Rule("spacing_standard", "low", once(t.rlike(r"[रु$][०-९0-9]")), "No space after the currency"),
+        Rule("abbreviation_standard", "low", once(t.rlike(rf"{T.EDGE_BEFORE}न{T.SPACE}*[०-९0-9]")), "Abbreviation without its dot"),
+        Rule("unicode_sanitized", "low", once(T.sanitize_unicode(t) != t), "Characters outside the usual form"),
+        Rule("ai_filler", "low", once(has_any(F.substring(tl, 1, 50), FILLERS)), "An assistant's filler"),
     ]
-    return found
-
-
-def name_like(text: Column) -> Column:
-    """Two or three capitalised Latin words, none of them a common label."""
-    w = F.split(F.trim(text), r"\s+")
-    return ~text.rlike(r"[\p{Nd}:/.@_]") & F.size(w).between(2, 3) & F.forall(w, lambda x: x.rlike("^[A-Z][a-z]+$") & ~x.isin(NO_NAMES))
 
 
-#: Place of each code in a report; the rules that one Arrow function evaluates stand among the others.
-ORDER = ["total_omission", "changed_number", "number_swap", "changed_protected_entity", "position_shift", "script_mismatch", "glossary_miss", "hallucination_repetition", "untranslated_token", "length_deviation", "untranslated_segment", "punctuation_mismatch", "symbol_leak", "script_imbalance", "word_repetition", "markup_mismatch", "date_mismatch", "major_omission", "major_addition", "negation_flip", "honorific_inconsistency", "instruction_leak", "placeholder_broken", "directional_flip", "currency_missing", "currency_unlocalized", "currency_suboptimal", "list_sequence_broken", "forbidden_term", "logical_flow_broken", "identity_swap", "anchor_mismatch", "missing_landmark", "certification_missing", "date_conversion_risk", "anachronism_risk", "transliteration_drift", "legal_modal_flip", "untranslated_legalism", "legal_anchor_missing", "ghost_entity", "polarity_flip", "spacing_standard", "abbreviation_standard", "unicode_sanitized", "ai_filler", "api_fallback", "self_repaired"]
+#: Codes that processing adds to those of the rules.
+OMITTED, FALLBACK, REPAIRED = "total_omission", "api_fallback", "self_repaired"
 
 
-def reason(rule: Rule) -> Column:
-    detail = rule.detail if isinstance(rule.detail, Column) else F.lit(rule.detail)
-    return F.when(
-        rule.fires,
-        F.struct(F.lit(ORDER.index(rule.code)).alias("ord"), F.lit(rule.code).alias("code"), F.lit(rule.label).alias("label"), F.lit(rule.severity).alias("severity"), detail.alias("detail"), F.lit(rule.repairable).alias("repairable")),
-    )
-
-
-def fired(pairs: DataFrame, source: str, target: str, lang: Column, only: set[str] | None = None) -> DataFrame:
-    """pairs with codes: the distinct codes of the Column rules that fire. Conditions stay outside of lambdas, so they are generated code."""
-    df, found = prepared(pairs, source, target, lang)
-    text = F.concat_ws(",", *(F.when(r.fires, F.lit(r.code)) for r in found if only is None or r.code in only))
-    return df.withColumn("codes", F.when(text == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.split(text, ",")))).drop(*PREPARED)
-
-
-def near_numbers(text: str, window: int = 15) -> dict[str, set[str]]:
-    """Each number with the words around it."""
-    shown = T.display_form(text)
-    out: dict[str, set[str]] = {}
-    for m in E.NUMBER.finditer(shown):
-        around = shown[max(0, m.start() - window) : m.end() + window]
-        words = {w for w in "".join(" " if c.isspace() or c.isdigit() else c for c in around).split() if len(w) >= 2}
-        out.setdefault(m[0].translate(T.TO_ASCII), set()).update(words)
-    return out
-
-
-def placed(entity: dict, target: str) -> tuple[float | None, bool]:
-    """Relative place of a kept entity in the target, and whether it stayed in a script it should have left."""
-    shown = T.display_form(target)
-    for v in map(T.display_form, E.variants(entity["kind"], entity["text"], entity.get("target_term"))):
-        if v and (i := shown.find(v)) >= 0:
-            foreign = not any("ऀ" <= c <= "ॿ" for c in v) and v.translate(T.TO_NATIVE) != v and entity["kind"] not in E.VERBATIM
-            return i / max(1, len(shown)), foreign
-    i = shown.translate(T.TO_ASCII).find(entity["text"].translate(T.TO_ASCII))
-    return (i / max(1, len(shown)), entity["text"].translate(T.TO_NATIVE) != entity["text"]) if i >= 0 else (None, False)
-
-
-def leftover_tokens(source: str, target: str, entities: list[dict], terms: list[str]) -> list[str]:
-    """Latin words of the source that the target still holds, but for entities, glossary terms and parts of links."""
-    import re
-
-    plain = T.plain_form(target)
-    skip = {"http", "https", "example", "www"} | {w.lower() for x in terms for w in re.findall(r"\b[A-Za-z][A-Za-z-]{1,}\b", x or "")}
-    inside = " ".join(e["text"].lower() for e in entities)
-    out = set()
-    for m in re.finditer(r"\b[A-Za-z][A-Za-z-]{1,}\b", source):
-        w = m[0].lower()
-        touched = any(m.start() < e["end"] and e["start"] < m.end() for e in entities)
-        if w not in skip and not touched and w not in inside and w in plain:
-            out.add(w)
-    return sorted(out)
-
-
-def order_of_names(source: str, target: str) -> bool:
-    """Whether names come in another order in the target."""
-    import re
-
-    names = list(dict.fromkeys(w for w in re.findall(r"\b[A-Za-z][A-Za-z-]{1,}\b", source) if w not in NO_NAMES))
-    shown = T.display_form(target)
-    at = [shown.find(n) for n in names if n in shown]
-    return len(at) >= 2 and at != sorted(at)
-
-
-def python_reasons(source: str, target: str, entities: list[dict], hits: list[dict]) -> list[tuple]:
-    def say(code: str, severity: str, label: str, detail: str = "", repairable: bool = False) -> tuple:
-        return ORDER.index(code), code, label, severity, detail, repairable
-
-    out = []
-    mine, theirs = near_numbers(source), near_numbers(target)
-    if len(mine) >= 2:
-        for n, words in mine.items():
-            expected = [set(t) for s, t in LANDMARKS if words and {w.lower() for w in words} & set(s)]
-            if n in theirs and any(t & w for other, w in theirs.items() if other != n for t in expected):
-                out.append(say("number_swap", "high", "Numbers exchanged", n))
-    for e in entities:
-        if not E.kept(e, target):
-            out.append(say("changed_protected_entity", "high", "Protected value lost", e["text"], True))
-        place, foreign = placed(e, target)
-        shown = len(T.display_form(target))
-        if place is not None and abs(e["start"] / (e.get("segment_source_len") or len(target) or 100) - place) > (0.75 if shown < 60 else 0.6):
-            out.append(say("position_shift", "medium", "Protected value far from its place", e["text"]))
-        if foreign:
-            out.append(say("script_mismatch", "medium", "Protected value in the source's digits", e["text"]))
-    out += [say("glossary_miss", "medium", "Glossary term not used", h["source_term"]) for h in hits if h["target_term"] and h["target_term"] not in target]
-    if left := leftover_tokens(source, target, entities, [h["source_term"] for h in hits] + [h["target_term"] for h in hits]):
-        out.append(say("untranslated_token", "medium", "Source words left", ", ".join(left[:5]), True))
-    if order_of_names(source, target):
-        out.append(say("identity_swap", "high", "Names in another order"))
-    import unicodedata
-
-    if "".join(c for c in unicodedata.normalize("NFKC", target) if c in "\n\r\t" or unicodedata.category(c)[0] != "C") != target:
-        out.append(say("unicode_sanitized", "low", "Characters outside the usual form"))
-    return out
+def reason(code: str, label: str, severity: str | None, detail: Column | str = "", repairable: Column | bool = False) -> Column:
+    lit = lambda x: x if isinstance(x, Column) else F.lit(x)
+    return F.struct(F.lit(code).alias("code"), F.lit(label).alias("label"), F.lit(severity).cast("string").alias("severity"), lit(detail).alias("detail"), lit(repairable).alias("repairable"))
 
 
-@arrow(f"array<{REASON}>")
-def _python_rules(source: pd.Series, target: pd.Series, entities: pd.Series, hits: pd.Series) -> pd.Series:
-    listed = lambda x: [] if x is None else list(x)
-    names = ("ord", "code", "label", "severity", "detail", "repairable")
-    return pd.Series([[dict(zip(names, r, strict=True)) for r in python_reasons(s or "", t or "", listed(e), listed(h))] for s, t, e, h in zip(source, target, entities, hits, strict=True)])
+def counted(pairs: DataFrame, source: str, target: str, lang: Column, entities: str | None = None, hits: str | None = None, only: set[str] | None = None) -> DataFrame:
+    """pairs with codes, an array of (code, n): how often each rule fires that does, in the order of the rules."""
+    found: dict[str, Column] = {}
+    for r in rules():
+        if only is None or r.code in only:
+            found[r.code] = found[r.code] + r.n if r.code in found else r.n
+    df = prepared(pairs, source, target, lang, entities, hits)
+    df = df.withColumn("_n", F.array(*found.values())).withColumn("codes", F.filter(F.zip_with(F.array(*map(F.lit, found)), "_n", lambda c, n: F.struct(c.alias("code"), n.alias("n"))), lambda x: x["n"] > 0))
+    return df.select(*pairs.columns, "codes")
 
 
 def score(pairs: DataFrame, source: str, target: str, entities: str, hits: str, lang: Column | None = None) -> DataFrame:
     """pairs with risk_reasons, in the order of the rules, and risk_score: their number, or ten for an empty rendering."""
-    df, found = prepared(pairs, source, target, F.lit("en") if lang is None else lang)
-    s, t = F.col("_s"), F.col("_t")
-    none = F.array().cast(f"array<{REASON}>")
-    plain = F.concat(*(F.when(r.fires, F.array(reason(r)).cast(f"array<{REASON}>")).otherwise(none) for r in found))
-    # Catalyst merges its reasons with those of the function, which sees the pair, its entities and hits.
-    merged = F.sort_array(F.concat(plain, F.coalesce(_python_rules(s, t, F.col(entities), F.col(hits)), none)))
-    omitted = (F.trim(t) == "") & (F.trim(F.coalesce(s, F.lit(""))) != "")
-    only = F.array(F.struct(F.lit(0).alias("ord"), F.lit("total_omission").alias("code"), F.lit("Empty rendering").alias("label"), F.lit("high").alias("severity"), F.lit("").alias("detail"), F.lit(False).alias("repairable"))).cast(f"array<{REASON}>")
-    return df.withColumn("risk_reasons", F.when(omitted, only).otherwise(merged)).withColumn("risk_score", F.when(omitted, F.lit(10.0)).otherwise(F.size("risk_reasons").cast("double"))).drop(*PREPARED)
+    df = prepared(pairs, source, target, F.lit("en") if lang is None else lang, entities, hits)
+    found = rules()
+    omitted = (F.col("_ts") == "") & (F.col("_ss") != "")
+    only = F.array(reason(OMITTED, "Empty rendering", "high")).cast(f"array<{REASON}>")
+    df = df.withColumn("_n", F.when(omitted, F.lit(None)).otherwise(F.array(*(r.n for r in found))))
+    reasons = F.array(*(reason(r.code, r.label, r.severity, r.detail, r.repairable) for r in found))
+    told = F.flatten(F.transform(F.filter(F.arrays_zip(reasons.alias("r"), F.col("_n").alias("n")), lambda x: x["n"] > 0), lambda x: F.array_repeat(x["r"], x["n"])))
+    df = df.withColumns({"risk_reasons": F.when(omitted, only).otherwise(told.cast(f"array<{REASON}>")), "risk_score": F.when(omitted, F.lit(10.0)).otherwise(F.aggregate("_n", F.lit(0), lambda a, x: a + x).cast("double"))})
+    return df.select(*pairs.columns, "risk_reasons", "risk_score")

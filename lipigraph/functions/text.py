@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lipigraph.functions.arrow import arrow
-
 ASCII_DIGITS, NATIVE_DIGITS = "0123456789", "०१२३४५६७८९"
 SCOPE_NONE = "__none__"
 #: A word as Python's \w+ sees it; Java's \w knows ASCII alone.
 WORD = r"[\p{L}\p{N}_]+"
+#: Word borders as Python sees them: marks and joiners are no part of a word.
 EDGE_BEFORE, EDGE_AFTER = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 
+#: Two or more Latin letters or hyphens that begin with a letter, between such borders.
+LATIN_TOKEN = EDGE_BEFORE + r"[A-Za-z][A-Za-z-]+(?:(?<=[A-Za-z])(?![\p{L}\p{N}_])|(?<=-)(?=[\p{L}\p{N}_]))"
+
 
 # Python counterparts, for use inside Arrow functions.
 def display_form(text: str | None) -> str:
@@ -30,23 +30,43 @@ def plain_form(text: str | None) -> str:
 TO_ASCII, TO_NATIVE = str.maketrans(NATIVE_DIGITS, ASCII_DIGITS), str.maketrans(ASCII_DIGITS, NATIVE_DIGITS)
 
 
-@arrow("string")
-def display_normalize(text: pd.Series) -> pd.Series:
+#: White space as Python's str.split() sees it.
+SPACE = r"[\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
+def _icu(cls: str, method: str, text: Column) -> Column:
+    """A string function of the ICU library that Spark ships; null is the empty text, and text in ASCII alone doesn't leave generated code for it."""
+    return F.java_method(F.lit(f"com.ibm.icu.{cls}"), F.lit(method), F.coalesce(text, F.lit("")), F.lit(True))
+
+
+def compatible(text: Column | str) -> Column:
+    """Compatibility form (NFKC). Null is the empty text."""
+    c = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    return F.when(F.octet_length(c) == F.length(c), c).otherwise(_icu("text.Normalizer", "compose", c))
+
+
+def casefold(text: Column) -> Column:
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(_icu("lang.UCharacter", "foldCase", text))
+
+
+def strip(text: Column) -> Column:
+    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+
+
+def display_normalize(text: Column | str) -> Column:
     """Compatibility form with single spaces. Null is the empty text."""
-    return text.map(display_form)
+    return F.trim(F.regexp_replace(compatible(text), f"{SPACE}+", " "))
 
 
-@arrow("string")
-def normalize_text(text: pd.Series) -> pd.Series:
+def normalize_text(text: Column | str) -> Column:
     """Compatibility form with single spaces, without case. Null is the empty text."""
-    return text.map(plain_form)
+    return casefold(display_normalize(text))
 
 
-@arrow("string")
-def sanitize_unicode(text: pd.Series) -> pd.Series:
-    """Compatibility form without control, format and unassigned characters, but for line breaks and tabs."""
-    keep = lambda c: c in "\n\r\t" or unicodedata.category(c)[0] != "C"
-    return text.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKC", t) if keep(c)))
+def sanitize_unicode(text: Column | str) -> Column:
+    """Compatibility form without control, format and unassigned characters, but for line breaks and tabs. Null stays null."""
+    c = F.col(text) if isinstance(text, str) else text
+    return F.when(c.isNotNull(), F.regexp_replace(compatible(c), r"[\p{C}&&[^\n\r\t]]", ""))
 
 
 def collapse(text: Column) -> Column:
@@ -96,7 +116,12 @@ def numbers(text: Column) -> Column:
 
 
 def latin_tokens(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"\b[A-Za-z][A-Za-z-]{1,}\b"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(LATIN_TOKEN), F.lit(0))
+
+
+def words(text: Column) -> Column:
+    """What white space parts."""
+    return F.filter(F.split(text, f"{SPACE}+"), lambda w: w != "")
 
 
 def word_count(text: Column) -> Column:
@@ -110,12 +135,12 @@ def count_of(text: Column, what: str) -> Column:
 
 def structural_label(text: Column) -> Column:
     """What stays of a segment that is a number, a section label, a roman numeral, a bullet or a leader; null for others and for dates."""
-    t = F.trim(text)
+    t = strip(text)
     date = text.rlike(r"(?<![\p{L}\p{N}_])(?:\p{Nd}{4}[-/]\p{Nd}{1,2}[-/]\p{Nd}{1,2}|\p{Nd}{1,2}[-/]\p{Nd}{1,2}[-/]\p{Nd}{2,4})(?![\p{L}\p{N}_])")
     return (
         F.when(text.isNull() | date, F.lit(None).cast("string"))
         .when(t.rlike(r"^(?:#\p{Nd}+|\p{Nd}+(?:[.,:/-]\p{Nd}+)*)$"), to_native_digits(t))
-        .when(t.rlike(r"^[ivxlcdmIVXLCDM]{1,8}$") | t.rlike(r"^[•\-–—]$") | t.rlike(r"^[.·•\-–—\s]{3,}$"), t)
+        .when(t.rlike(r"^[ivxlcdmIVXLCDM]{1,8}$") | t.rlike(r"^[•\-–—]$") | (t.rlike(r"^[.·•\-–—\s]{3,}$") & t.rlike(r"[.·•]")), t)
     )
 
 

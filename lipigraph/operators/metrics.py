@@ -34,7 +34,7 @@ def trust_summary(segments: DataFrame, translations: DataFrame, kept: bool = Tru
         F.count_if((F.col("status") != "approved") & (F.col("n_reasons") > 0)).alias("unresolved"),
     ]
     if kept:
-        j = j.withColumn("kept", F.when(has, E.kept_entities("protected_entities", "effective")).otherwise(0))
+        j = j.withColumn("kept", F.when(has, E.count_kept(E.full(segments, "protected_entities"), F.col("effective"))).otherwise(0))
         aggregates.insert(4, F.sum("kept").alias("protected_preserved"))
     return j.groupBy("document_id").agg(*aggregates)
 

@@ -12,6 +12,7 @@ from lipigraph.functions import rules as R
 from lipigraph.functions import text as T
 from lipigraph.operators import feedback, joins, language, metrics, regions, review
 from lipigraph.operators.joins import SCOPE
+from lipigraph.plans import oracle
 from lipigraph.sources import segmenters, sinks
 from lipigraph.streaming import progress
 from lipigraph.session import spread, table
@@ -41,7 +42,7 @@ ACTIVE = """active AS (SELECT * FROM memory_entries WHERE is_active
   QUALIFY row_number() OVER (PARTITION BY source_lang, target_lang, domain, subdomain, normalized_source ORDER BY coalesce(approved_at, TIMESTAMP '1970-01-01') DESC, id DESC) = 1)"""
 STRUCTURAL = r"""CASE WHEN source_text IS NULL OR regexp_matches(source_text, '(^|[^\p{L}\p{N}_])(\p{Nd}{4}[-/]\p{Nd}{1,2}[-/]\p{Nd}{1,2}|\p{Nd}{1,2}[-/]\p{Nd}{1,2}[-/]\p{Nd}{2,4})($|[^\p{L}\p{N}_])') THEN NULL
   WHEN regexp_matches(trim(source_text), '^(#\p{Nd}+|\p{Nd}+([.,:/-]\p{Nd}+)*)$') THEN translate(trim(source_text), '0123456789', '०१२३४५६७८९')
-  WHEN regexp_matches(trim(source_text), '^[ivxlcdmIVXLCDM]{1,8}$') OR regexp_matches(trim(source_text), '^[•\-–—]$') OR regexp_matches(trim(source_text), '^[.·•\-–—\s]{3,}$') THEN trim(source_text) END"""
+  WHEN regexp_matches(trim(source_text), '^[ivxlcdmIVXLCDM]{1,8}$') OR regexp_matches(trim(source_text), '^[•\-–—]$') OR (regexp_matches(trim(source_text), '^[.·•\-–—\s]{3,}$') AND regexp_matches(source_text, '[.·•]')) THEN trim(source_text) END"""
 
 
 def _scoped(spark: SparkSession, d: str) -> DataFrame:
@@ -57,7 +58,7 @@ def trust_summary(spark: SparkSession, d: str) -> DataFrame:
     return metrics.trust_summary(table(spark, d, "segments"), table(spark, d, "translations"), kept=False)
 
 
-@query()
+@query(oracle.PRESERVED)
 def trust_summary_preserved(spark: SparkSession, d: str) -> DataFrame:
     return metrics.trust_summary(spread(table(spark, d, "segments")), spread(table(spark, d, "translations")))
 
@@ -242,78 +243,52 @@ def entities_detected(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Segments beside their candidates and the target language of their document."""
     t = spread(table(spark, d, "translations").select(F.col("segment_id").alias("id"), "candidate_text"))
-    return spread(table(spark, d, "segments").select("id", "document_id", "source_text", "protected_entities", "glossary_hits")).join(t, "id")
-
-
-def _fired(spark: SparkSession, d: str, only: set[str]) -> DataFrame:
-    return R.fired(_pairs(spark, d).select("id", "source_text", "candidate_text"), "source_text", "candidate_text", F.lit("en"), only).select("id", F.explode_outer("codes").alias("code")).where("code IS NOT NULL")
-
-
-def _rules_sql(rules: dict[str, str]) -> str:
-    cases = ", ".join(f"CASE WHEN {cond} THEN '{code}' END" for code, cond in rules.items())
-    return f"""WITH p AS (SELECT s.id, s.source_text AS s, coalesce(t.candidate_text, '') AS t, lower(s.source_text) AS sl, lower(coalesce(t.candidate_text, '')) AS tl FROM segments s JOIN translations t ON t.segment_id = s.id)
-SELECT id, code FROM (SELECT id, unnest([{cases}]) AS code FROM p) WHERE code IS NOT NULL"""
-
-
-_n = lambda c, x: f"(length({c}) - length(replace({c}, '{x}', '')))"
-_words = lambda c: rf"len(regexp_extract_all({c}, '[\p{{L}}\p{{N}}_]+'))"
-_set = lambda c, p, g=0: f"list_distinct(regexp_extract_all({c}, '{p}', {g}))"
-_minus = lambda a, b: f"len(list_filter({a}, lambda x: NOT list_contains({b}, x)))"
-_any = lambda c, ws: "(" + " OR ".join(f"contains({c}, '{w.replace(chr(39), chr(39) * 2)}')" for w in ws) + ")"
-_word = lambda c, ws: rf"regexp_matches({c}, '(^|[^\p{{L}}\p{{N}}_])({'|'.join(ws)})($|[^\p{{L}}\p{{N}}_])')"
-_ascii = lambda c: f"translate({c}, '०१२३४५६७८९', '0123456789')"
-STRUCTURE_SQL = {
-    "length_deviation": "(length(trim(t)) / greatest(length(trim(s)), 1) < 0.35 OR length(trim(t)) / greatest(length(trim(s)), 1) > 3.0)",
-    "punctuation_mismatch": "(" + " OR ".join(f"{_n('s', c)} <> {_n('t', c)}" for c in "()[]{}") + f" OR {_n('s', chr(34))} % 2 <> {_n('t', chr(34))} % 2)",
-    "symbol_leak": _minus(_set("t", r"[@#$%^&*_=+|\\<>]"), _set("s", r"[@#$%^&*_=+|\\<>]")) + " > 0",
-    "markup_mismatch": "(" + " OR ".join(f"{_n('s', c)} <> {_n('t', c)}" for c in "•-*|:") + ")",
-    "major_omission": f"({_words('s')} > 10 AND {_words('t')} / {_words('s')} < 0.4)",
-    "major_addition": f"({_words('s')} > 10 AND {_words('t')} / {_words('s')} > 2.5)",
-    "placeholder_broken": _minus(_set("s", r"\{\{[^}]+\}\}|\{[^}]+\}|\[[A-Z_]+\]"), _set("t", r"\{\{[^}]+\}\}|\{[^}]+\}|\[[A-Z_]+\]")) + " > 0",
-    "ai_filler": _any("substring(tl, 1, 50)", R.FILLERS),
-}
-NUMBER_SQL = {
-    "changed_number": _minus(f"list_transform({_set('s', '[+0-9०-९]+(?:[,.\\-:/][+0-9०-९]+)*')}, lambda x: {_ascii('x')})", f"list_transform({_set('t', '[+0-9०-९]+(?:[,.\\-:/][+0-9०-९]+)*')}, lambda x: {_ascii('x')})") + " > 0",
-    "date_mismatch": rf"len(regexp_extract_all(s, '[0-9]{{1,4}}[-./][0-9]{{1,2}}[-./][0-9]{{1,4}}')) <> len(regexp_extract_all({_ascii('t')}, '[0-9]{{1,4}}[-./][0-9]{{1,2}}[-./][0-9]{{1,4}}'))",
-    "spacing_standard": "regexp_matches(t, '[रु$][०-९0-9]')",
-}
-LEXICON_SQL = {
-    "honorific_inconsistency": f"({_any('t', R.HONORIFIC_HIGH)} AND {_any('t', R.HONORIFIC_LOW)})",
-    "directional_flip": "(" + " OR ".join(f"({_any('sl', a)} AND {_any('t', b)})" for a, b in R.DIRECTIONS) + ")",
-    "currency_missing": "(" + " OR ".join(f"({_any('sl', a)} AND NOT {_any('tl', b)} AND NOT {_any('tl', a)})" for a, b in R.CURRENCIES) + ")",
-    "logical_flow_broken": "(" + " OR ".join(f"({_word('sl', a)} AND NOT {_any('t', b)})" for a, b in R.CONNECTIVES) + ")",
-    "missing_landmark": "(" + " OR ".join(f"({_any('sl', [f'[{w}]' for w in a] + [f'({w})' for w in a])} AND NOT {_any('t', b)})" for a, b in R.LANDMARKS) + ")",
-    "certification_missing": f"({_any('sl', ['verified', 'certified'])} AND NOT contains(t, 'प्रमाणित'))",
-    "anachronism_risk": "(" + " OR ".join(_any("sl", w) for w in R.OBSOLETE) + ")",
-    "legal_modal_flip": "(" + " OR ".join(f"({_word('sl', R.MODALS[i][0])} AND {_any('t', R.MODALS[1 - i][1])} AND NOT {_any('t', R.MODALS[i][1])})" for i in (0, 1)) + ")",
-    "untranslated_legalism": _word("tl", R.LEGALISMS),
-    "legal_anchor_missing": "(" + " OR ".join(f"({_any('sl', a)} AND NOT {_any('t', b)})" for a, b in R.CONDITIONS) + ")",
-}
-
-
-@query(_rules_sql(STRUCTURE_SQL))
+    langs = table(spark, d, "document_summary").select(F.col("id").alias("document_id"), "target_lang")
+    return spread(table(spark, d, "segments").select("id", "document_id", "source_text", "protected_entities", "glossary_hits")).join(t, "id").join(langs, "document_id", "left")
+
+
+def _counted(spark: SparkSession, d: str, only: dict[str, str]) -> DataFrame:
+    """(id, code, n): how often each of these rules fires for each pair."""
+    rows = R.counted(_pairs(spark, d), "source_text", "candidate_text", F.coalesce("target_lang", F.lit("en")), "protected_entities", "glossary_hits", set(only))
+    return rows.select("id", F.explode("codes").alias("c")).select("id", "c.code", "c.n")
+
+
+@query(oracle.counts(oracle.STRUCTURE))
 def rules_structure(spark: SparkSession, d: str) -> DataFrame:
-    return _fired(spark, d, set(STRUCTURE_SQL))
+    return _counted(spark, d, oracle.STRUCTURE)
 
 
-@query(_rules_sql(NUMBER_SQL))
+@query(oracle.counts(oracle.NUMBERS))
 def rules_numbers(spark: SparkSession, d: str) -> DataFrame:
-    return _fired(spark, d, set(NUMBER_SQL))
+    return _counted(spark, d, oracle.NUMBERS)
 
 
-@query(_rules_sql(LEXICON_SQL))
+@query(oracle.counts(oracle.LEXICON))
 def rules_lexicon(spark: SparkSession, d: str) -> DataFrame:
-    return _fired(spark, d, set(LEXICON_SQL))
+    return _counted(spark, d, oracle.LEXICON)
 
 
-@query()
+@query(oracle.counts(oracle.ENTITIES))
+def rules_entities(spark: SparkSession, d: str) -> DataFrame:
+    return _counted(spark, d, oracle.ENTITIES)
+
+
+@query(oracle.SCORED)
 def risk_scored(spark: SparkSession, d: str) -> DataFrame:
-    """Every pair with all its reasons, by the rules of its document's target language."""
-    langs = table(spark, d, "document_summary").select(F.col("id").alias("document_id"), "target_lang")
-    pairs = _pairs(spark, d).join(langs, "document_id", "left")
-    scored = R.score(pairs, "source_text", "candidate_text", "protected_entities", "glossary_hits", F.coalesce("target_lang", F.lit("en")))
-    return scored.select("id", "risk_score", F.array_join("risk_reasons.code", ",").alias("codes"))
+    """The score of every pair, by the rules of its document's target language."""
+    return _scored(spark, d).select("id", "risk_score")
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    return R.score(_pairs(spark, d), "source_text", "candidate_text", "protected_entities", "glossary_hits", F.coalesce("target_lang", F.lit("en")))
+
+
+@query()
+def risk_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """Every reason of every pair, in order."""
+    return _scored(spark, d).select("id", F.posexplode("risk_reasons").alias("place", "r")).select("id", "place", "r.*")
 
 
 @query()

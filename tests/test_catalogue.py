@@ -43,6 +43,9 @@ def test_risk_follows_the_target_language(spark, tmp_path):
     segments = [(x, x, "The fee is NPR 500", [], []) for x in "abcd"]
     spark.createDataFrame(segments, f"id string, document_id string, source_text string, protected_entities {entity}, glossary_hits {hit}").write.parquet(f"{tmp_path}/segments.parquet")
     spark.createDataFrame([(x, "शुल्क NPR 500 हो") for x in "abcd"], "segment_id string, candidate_text string").write.parquet(f"{tmp_path}/translations.parquet")
-    got = {r.id: (r.risk_score, r.codes.split(",")) for r in catalogue.risk_scored(spark, str(tmp_path)).collect()}
-    assert {x for x, (_, codes) in got.items() if "currency_unlocalized" in codes} == {"a"}
-    assert set(got) == set("abcd") and all(score == len(codes) for score, codes in got.values())
+    scores = {r.id: r.risk_score for r in catalogue.risk_scored(spark, str(tmp_path)).collect()}
+    got = {}
+    for r in catalogue.risk_reasons(spark, str(tmp_path)).orderBy("place").collect():
+        got.setdefault(r.id, []).append(r.code)
+    assert {x for x, codes in got.items() if "currency_unlocalized" in codes} == {"a"}
+    assert set(got) == set(scores) == set("abcd") and all(scores[x] == len(codes) for x, codes in got.items())
