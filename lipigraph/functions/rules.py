@@ -4,8 +4,10 @@ their own: lower and display forms, numbers, tokens, the state of each entity. N
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -172,25 +174,41 @@ def reordered(names: Column, shown: Column) -> Column:
 
 def prepared(pairs: DataFrame, source: str, target: str, lang: Column, entities: str | None = None, hits: str | None = None) -> DataFrame:
     """pairs with the parts that the rules share in columns of their own, each computed once a row; those that no rule asks for are pruned."""
-    c = F.col
     out = pairs.withColumns(
         {
             "_s": F.coalesce(source, F.lit("")), "_t": F.coalesce(target, F.lit("")), "_lang": F.lower(F.coalesce(lang, F.lit("en"))),
             "_e": E.full(pairs, entities) if entities else F.array().cast(f"array<{E.ENTITY}>"), "_h": E.full_hits(pairs, hits) if hits else F.array().cast(f"array<{E.HIT}>"),
         }
     )
-    out = out.withColumns({"_sl": F.lower("_s"), "_tl": F.lower("_t"), "_ss": T.strip(c("_s")), "_ts": T.strip(c("_t")), "_sd": T.display_normalize("_s"), "_td": T.display_normalize("_t")})
-    return out.withColumns(
-        {
+    for more in _parts(id(SparkContext._active_spark_context)):
+        out = out.withColumns(more)
+    return out
+
+
+@functools.cache
+def _parts(context: int) -> list[dict[str, Column]]:
+    """What prepared() adds in turn."""
+    c = F.col
+    first = {"_sl": F.lower("_s"), "_tl": F.lower("_t"), "_ss": T.strip(c("_s")), "_ts": T.strip(c("_t")), "_sd": T.display_normalize("_s"), "_td": T.display_normalize("_t")}
+    # Numbers can be exchanged where both sides have two and the source names what one of them is.
+    swappable = (F.size(T.numbers(c("_sd"))) >= 2) & (F.size(T.numbers(c("_td"))) >= 2) & has_any(c("_sl"), [w for a, _ in LANDMARKS for w in a])
+    second = {
+            "_swappable": swappable,
             "_tp": T.casefold(c("_td")), "_ta": T.to_ascii_digits(c("_td")), "_sn": T.numbers(c("_s")), "_tn": T.numbers(c("_t")), "_sw": T.word_count(c("_s")), "_tw": T.word_count(c("_t")),
             "_slatin": T.latin_tokens(c("_sl")), "_tlatin": T.latin_tokens(c("_tl")), "_names": F.filter(T.latin_tokens(c("_s")), lambda w: ~w.isin(NO_NAMES)),
-            "_near_s": near_numbers(c("_sd")), "_near_t": near_numbers(c("_td")),
-        }
-    ).withColumns({"_state": F.transform("_e", lambda e: state_of(e, c("_t"), c("_td"), c("_ta"), c("_tn"))), "_left": left_over(c("_s"), c("_tp"), c("_e"), c("_h")), "_swapped": swapped(c("_near_s"), c("_near_t"))})
+            "_near_s": F.when(swappable, near_numbers(c("_sd"))), "_near_t": F.when(swappable, near_numbers(c("_td"))),
+    }
+    third = {"_state": F.transform("_e", lambda e: state_of(e, c("_t"), c("_td"), c("_ta"), c("_tn"))), "_left": left_over(c("_s"), c("_tp"), c("_e"), c("_h")), "_swapped": F.when(c("_swappable"), swapped(c("_near_s"), c("_near_t"))).otherwise(F.array().cast("array<string>"))}
+    return [first, second, third]
 
 
 def rules() -> list[Rule]:
-    """The rules over the columns of prepared(), in the order in which they report; the empty rendering is score()'s."""
+    """The rules over the columns of prepared(), in the order in which they report; the empty rendering is score()'s. They are the same expressions for every table, made once a context."""
+    return _rules(id(SparkContext._active_spark_context))
+
+
+@functools.cache
+def _rules(context: int) -> list[Rule]:
     s, t, sl, tl, ss, ts, td, lang = (F.col(f"_{x}") for x in ("s", "t", "sl", "tl", "ss", "ts", "td", "lang"))
     e, h, state, sn, tn, ws, wt = (F.col(f"_{x}") for x in ("e", "h", "state", "sn", "tn", "sw", "tw"))
     ratio = F.length(ts) / F.greatest(F.length(ss), F.lit(1))
@@ -292,11 +310,17 @@ def counted(pairs: DataFrame, source: str, target: str, lang: Column, entities:
 def score(pairs: DataFrame, source: str, target: str, entities: str, hits: str, lang: Column | None = None) -> DataFrame:
     """pairs with risk_reasons, in the order of the rules, and risk_score: their number, or ten for an empty rendering."""
     df = prepared(pairs, source, target, F.lit("en") if lang is None else lang, entities, hits)
-    found = rules()
+    counts, reasons, total = _scoring(id(SparkContext._active_spark_context))
+    return df.withColumn("_n", counts).select(*pairs.columns, reasons, total)
+
+
+@functools.cache
+def _scoring(context: int) -> tuple[Column, Column, Column]:
+    """How often each rule fires, null for an empty rendering; and from that the reasons and their number."""
+    found = _rules(context)
     omitted = (F.col("_ts") == "") & (F.col("_ss") != "")
     only = F.array(reason(OMITTED, "Empty rendering", "high")).cast(f"array<{REASON}>")
-    df = df.withColumn("_n", F.when(omitted, F.lit(None)).otherwise(F.array(*(r.n for r in found))))
     reasons = F.array(*(reason(r.code, r.label, r.severity, r.detail, r.repairable) for r in found))
     told = F.flatten(F.transform(F.filter(F.arrays_zip(reasons.alias("r"), F.col("_n").alias("n")), lambda x: x["n"] > 0), lambda x: F.array_repeat(x["r"], x["n"])))
-    df = df.withColumns({"risk_reasons": F.when(omitted, only).otherwise(told.cast(f"array<{REASON}>")), "risk_score": F.when(omitted, F.lit(10.0)).otherwise(F.aggregate("_n", F.lit(0), lambda a, x: a + x).cast("double"))})
-    return df.select(*pairs.columns, "risk_reasons", "risk_score")
+    counts = F.when(omitted, F.lit(None)).otherwise(F.array(*(r.n for r in found)))
+    return counts, F.when(omitted, only).otherwise(told.cast(f"array<{REASON}>")).alias("risk_reasons"), F.when(omitted, F.lit(10.0)).otherwise(F.aggregate("_n", F.lit(0), lambda a, x: a + x).cast("double")).alias("risk_score")

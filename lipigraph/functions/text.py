@@ -103,7 +103,7 @@ def title_label(*parts: Column) -> Column:
 
 def effective_text(approved: Column, candidate: Column) -> Column:
     """The approved text, else the candidate; an empty approval counts as none."""
-    return F.trim(F.coalesce(F.nullif(approved, F.lit("")), candidate, F.lit("")))
+    return strip(F.coalesce(F.nullif(approved, F.lit("")), candidate, F.lit("")))
 
 
 def without_urls(text: Column) -> Column:

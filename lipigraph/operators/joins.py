@@ -5,10 +5,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lipigraph.functions import text as T
+from lipigraph.functions import values
 
 SCOPE = ["source_lang", "target_lang", "domain", "subdomain"]
 #: Rows of a dictionary that may be sent to every task, checked by count.
@@ -35,12 +36,12 @@ def scoped(segments: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def glossary_hits(segments: DataFrame, terms: DataFrame, key: Column | None = None) -> DataFrame:
-    """(id, source_term, target_term, term_type): terms that a segment (id, source_text, normalized_source and scope) contains, of its scope or of no subdomain.
+    """(id, source_term, target_term, term_type): terms that a segment (id, source_text and scope) contains, of its scope or of no subdomain. The normal form is made from the text, since a stored one may be stale.
 
     The dictionary joins by its scope, an equality; the text is compared within. A dictionary above the bound is broadcast in blocks below it, each with its own pass over the segments."""
     t = terms.select("source_lang", "target_lang", "domain", F.col("subdomain").alias("term_subdomain"), "source_term", "target_term", "term_type", "case_sensitive", "normalized_source_term")
     raw = T.without_urls(F.col("source_text"))
-    plain = T.without_urls(F.col("normalized_source"))
+    plain = T.normalize_text(raw)
     s = segments.select("id", *SCOPE, raw.alias("raw"), plain.alias("plain"))
     found = F.when(F.col("case_sensitive"), F.contains("raw", "source_term")).otherwise(F.contains("plain", "normalized_source_term"))
     within = (F.col("term_subdomain") == F.col("subdomain")) | (F.col("term_subdomain") == T.SCOPE_NONE)
@@ -104,7 +105,52 @@ def write_back(cells: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return cells.join(new.withColumnRenamed("text", "new_text"), keys, "left").withColumn("text", F.coalesce("new_text", "text")).drop("new_text")
 
 
+def bank(spark: SparkSession) -> DataFrame:
+    """(key, lang, phrase): the fixed phrases."""
+    return spark.createDataFrame([(k, lang, x) for k, by in values.PHRASES.items() for lang, x in by.items()], "key string, lang string, phrase string")
+
+
 def phrase_bank(texts: DataFrame, bank: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame:
-    """Texts with the key of the phrase they are, by language and normalised text. The bank is a parameter table."""
-    b = bank.select(F.col("lang").alias(lang), F.lower(T.collapse(F.col("phrase"))).alias("_plain"), "key")
-    return texts.withColumn("_plain", F.lower(T.collapse(F.col(text)))).join(F.broadcast(b), [lang, "_plain"], "left").drop("_plain")
+    """Texts with the key of the phrase they are, by language and normalised text. The bank is a parameter table; of equal phrases the first key counts."""
+    b = bank.select(F.col("lang").alias(lang), T.normalize_text("phrase").alias("_plain"), "key").groupBy(lang, "_plain").agg(F.min("key").alias("key"))
+    return texts.withColumn("_plain", T.normalize_text(text)).join(F.broadcast(b), [lang, "_plain"], "left").drop("_plain")
+
+
+def default_terms(spark: SparkSession) -> DataFrame:
+    """The terms of a new glossary."""
+    rows = [(a, b, c, d, x, y, t) for a, b, c, d, x, y, t in values.DEFAULT_TERMS]
+    df = spark.createDataFrame(rows, "source_lang string, target_lang string, domain string, subdomain string, source_term string, target_term string, term_type string")
+    return df.withColumns({"subdomain": T.scope(F.col("subdomain")), "normalized_source_term": T.normalize_text("source_term"), "case_sensitive": F.lit(False)})
+
+
+def seeded(terms: DataFrame) -> DataFrame:
+    """The glossary, or the terms of a new one where it is empty."""
+    return default_terms(terms.sparkSession) if terms.isEmpty() else terms
+
+
+def memory_list(memory: DataFrame, documents: DataFrame) -> DataFrame:
+    """Active entries with the file they were approved in and a label of their provenance, the latest approval first."""
+    d = documents.select(F.col("id").alias("created_from_document_id"), F.col("original_filename").alias("source_filename"))
+    m = memory.where("is_active").join(d, "created_from_document_id", "left")
+    return m.select("id", *SCOPE, "target_text", "approved_by", "approved_at", "times_used", "source_filename", provenance_label(F.col("source_filename"), F.col("domain"), F.col("subdomain"), F.col("approved_at"), F.col("times_used")).alias("provenance")).orderBy(F.desc_nulls_last("approved_at"), "id")
+
+
+def provenance_label(filename: Column, domain: Column, subdomain: Column, approved_at: Column, times_used: Column) -> Column:
+    """Where a reused text comes from: file, scope, day of approval, uses."""
+    used = F.concat(times_used.cast("string"), F.when(times_used == 1, " use").otherwise(" uses"))
+    origin = F.when(F.coalesce(filename, F.lit("")) != "", F.concat(F.lit("Reused from "), filename)).otherwise("Reused from approved memory")
+    return F.concat_ws(" · ", origin, T.title_label(domain, T.shown_scope(subdomain)), F.concat(F.lit("approved "), F.date_format(approved_at, "MMM d")), used)
+
+
+def unprepared(parsed: DataFrame, prepared: DataFrame) -> DataFrame:
+    """Parsed segments that aren't prepared yet, by document and place."""
+    return parsed.join(prepared.select("document_id", "sequence"), ["document_id", "sequence"], "left_anti")
+
+
+def insert_documents(existing: DataFrame, new: DataFrame) -> DataFrame:
+    """New documents whose checksum and scope no existing one has that didn't fail; of equal new ones the first."""
+    key = ["checksum", *SCOPE]
+    known = existing.where("status <> 'failed'").select(*key)
+    first = new.groupBy(*key).agg(F.min("id").alias("id"))
+    on = [F.col(f"n.{c}").eqNullSafe(F.col(f"k.{c}")) for c in key]
+    return first.alias("n").join(known.alias("k"), on, "left_anti")

@@ -1,15 +1,28 @@
-"""Suggestion of a document's source language from weighted words. Weights are a parameter table (lang, token, weight), so
-any vocabulary serves; the default is learned from labelled samples by how much a word prefers one language."""
+"""Suggestion of a document's source language from weighted words and phrases. Both are parameter tables of a checked size
+that go to every task; the default ones are the fixed values, others can be learned from labelled samples."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lipigraph.functions import text as T
+from lipigraph.functions import values
+from lipigraph.operators.metrics import numbered
+
 LANGS = ("en", "ne", "tmg")
+NAMES = {"en": "English", "ne": "Nepali", "tmg": "Tamang"}
 TOKEN = r"[A-Za-z]+|[ऀ-ॿ]+"
 #: Segments that a suggestion looks at, by their place in the document.
 SAMPLE = 12
+#: Words with a weight that may be sent to every task.
+MAX_WEIGHTS = 100_000
+
+
+def weights(spark: SparkSession) -> DataFrame:
+    """(lang, token, weight): the fixed words, but for those at home in several languages."""
+    rows = [(lang, token, w) for lang, words in values.TOKEN_WEIGHTS.items() for token, w in words.items() if token not in values.SHARED_TOKENS]
+    return spark.createDataFrame(rows, "lang string, token string, weight double")
 
 
 def weights_from(samples: DataFrame, least: int = 5, top: float = 3.5) -> DataFrame:
@@ -21,39 +34,74 @@ def weights_from(samples: DataFrame, least: int = 5, top: float = 3.5) -> DataFr
 
 
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+    return F.regexp_extract_all(T.normalize_text(text), F.lit(TOKEN), F.lit(0))
 
 
 def letters(text: Column, range_: str) -> Column:
     return F.length(F.regexp_replace(text, f"[^{range_}]", ""))
 
 
+def phrase_scores(text: Column) -> dict[str, Column]:
+    """What the telling phrases of each language in a text add."""
+    plain = T.normalize_text(text)
+    out = {}
+    for x in LANGS:
+        known = [values.PHRASES[k][x].lower() for k in values.TELLING_PHRASES]
+        out[x] = sum((F.contains(plain, F.lit(p)).cast("double") * values.PHRASE_WEIGHT for p in known), F.lit(0.0))
+    return out
+
+
 def scores(texts: DataFrame, weights: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, s_en, s_ne, s_tmg, latin, native): weighted words of each text, and the bonus of Latin script for English."""
-    base = texts.select(key, letters(F.col(text), "A-Za-z").alias("latin"), letters(F.col(text), "ऀ-ॿ").alias("native"), tokens(F.col(text)).alias("tokens"))
-    counted = base.select(key, F.explode("tokens").alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("n")).join(weights, "token")
-    sums = counted.groupBy(key).agg(*(F.sum(F.when(F.col("lang") == x, F.col("n") * F.col("weight")).otherwise(0.0)).alias(f"s_{x}") for x in LANGS))
-    out = base.drop("tokens").join(sums, key, "left").fillna(0.0, [f"s_{x}" for x in LANGS])
+    """(key, s_en, s_ne, s_tmg, latin, native) for one text of each key: weighted words and phrases, and the bonus of Latin script for English."""
+    if weights.limit(MAX_WEIGHTS + 1).count() > MAX_WEIGHTS:
+        raise ValueError(f"more than {MAX_WEIGHTS} weighted words")
+    phrases = phrase_scores(F.col(text))
+    base = texts.select(key, letters(F.col(text), "A-Za-z").alias("latin"), letters(F.col(text), "ऀ-ॿ").alias("native"), *(phrases[x].alias(f"p_{x}") for x in LANGS), tokens(F.col(text)).alias("tokens"))
+    known = base.select(key, "latin", "native", *(f"p_{x}" for x in LANGS), F.explode_outer("tokens").alias("token")).join(F.broadcast(weights), "token", "left")
+    # Integer hundredths, so that sums don't depend on their order.
+    sums = [F.coalesce(F.sum(F.when(F.col("lang") == x, F.round(F.col("weight") * 100).cast("long"))), F.lit(0)).alias(f"w_{x}") for x in LANGS]
+    out = known.groupBy(key).agg(*(F.first(c).alias(c) for c in ("latin", "native", *(f"p_{x}" for x in LANGS))), *sums)
     bonus = F.when((F.col("latin") >= 18) & (F.col("latin") > 1.5 * F.col("native")), 4.0).when((F.col("latin") > 0) & (F.col("native") == 0), 2.5).otherwise(0.0)
-    return out.withColumn("s_en", F.col("s_en") + bonus)
+    return out.select(key, *((F.col(f"w_{x}") / 100 + F.col(f"p_{x}") + (bonus if x == "en" else 0.0)).alias(f"s_{x}") for x in LANGS), "latin", "native")
+
+
+def ranked() -> Column:
+    """Languages by score; of equals the earlier of en, ne, tmg."""
+    return F.array_sort(F.array(*(F.struct((-F.col(f"s_{x}")).alias("minus"), F.lit(i).alias("place"), F.lit(x).alias("lang")) for i, x in enumerate(LANGS))))
 
 
 def decide(scored: DataFrame) -> DataFrame:
-    """scored with lang and confidence: Latin script alone is English; else the best language by score and by its lead; ties go to the earlier of en, ne, tmg."""
-    ranked = F.array_sort(F.array(*(F.struct((-F.col(f"s_{x}")).alias("minus"), F.lit(i).alias("place"), F.lit(x).alias("lang")) for i, x in enumerate(LANGS))))
-    best, lead = -ranked[0]["minus"], ranked[1]["minus"] - ranked[0]["minus"]
+    """scored with detected and confidence: Latin script alone is English; else the best language by score and by its lead."""
+    best, lead = -ranked()[0]["minus"], ranked()[1]["minus"] - ranked()[0]["minus"]
     native, latin = F.col("native") > 0, (F.col("latin") > 0) & (F.col("native") == 0)
     high, medium = native & (best >= 8) & (lead >= 4), native & (best >= 4) & (lead >= 1.5)
-    return scored.withColumn("detected", F.when(latin, "en").when(high | medium, ranked[0]["lang"])).withColumn("confidence", F.when(latin & (F.col("latin") >= 18), "high").when(latin, "medium").when(high, "high").when(medium, "medium").otherwise("low"))
+    return scored.withColumn("detected", F.when(latin, "en").when(high | medium, ranked()[0]["lang"])).withColumn("confidence", F.when(latin & (F.col("latin") >= 18), "high").when(latin, "medium").when(high, "high").when(medium, "medium").otherwise("low"))
+
+
+def explained(decided: DataFrame) -> DataFrame:
+    """decided (with votes) with an explanation of its outcome."""
+    latin = (F.col("latin") > 0) & (F.col("native") == 0)
+    name = F.coalesce(*(F.when(F.col("detected") == x, F.lit(n)) for x, n in NAMES.items()))
+    across = F.when(F.col("votes") > 0, F.concat(F.lit(" across "), F.col("votes"), F.when(F.col("votes") == 1, " segment").otherwise(" segments"))).otherwise(" in the document preview")
+    return decided.withColumn(
+        "explanation",
+        F.when(latin, "Mostly Latin script, so English.")
+        .when(F.col("detected").isNotNull() & (F.col("confidence") == "high"), F.concat(F.lit("Strong "), name, F.lit(" phrase patterns"), across, F.lit(".")))
+        .when(F.col("detected").isNotNull(), F.concat(F.lit("Likely "), name, F.lit(" wording; the choice stays manual.")))
+        .when(F.col("native") > 0, "Devanagari whose wording several languages share; please confirm.")
+        .otherwise("The sample does not tell its language."),
+    )
 
 
 def suggest(segments: DataFrame, weights: DataFrame) -> DataFrame:
-    """(document_id, detected, confidence, votes): from the first segments of each document, joined in order, and how many of them vote for it alone."""
-    n = F.row_number().over(Window.partitionBy("document_id").orderBy("sequence", "id"))
-    first = segments.select("document_id", "sequence", "id", F.col("source_text").alias("text"), n.alias("n")).where(F.col("n") <= SAMPLE)
-    joined = first.groupBy("document_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    """(document_id, detected, confidence, votes, segment_count, explanation): from the first segments of each document, joined in order, and how many of them vote for the language alone."""
+    all_ = numbered(segments.select("document_id", "sequence", "id", F.col("source_text").alias("text")))
+    size = all_.groupBy("document_id").agg(F.count(F.lit(1)).alias("segment_count"))
+    first = all_.where(F.col("n") <= SAMPLE)
+    joined = first.groupBy("document_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]), " ").alias("text"))
     whole = decide(scores(joined, weights, "document_id"))
-    ranked = F.array_sort(F.array(*(F.struct((-F.col(f"s_{x}")).alias("minus"), F.lit(i).alias("place"), F.lit(x).alias("lang")) for i, x in enumerate(LANGS))))
-    single = scores(first, weights, "id").join(first.select("id", "document_id"), "id")
-    votes = single.where((-ranked[0]["minus"] >= 3) & (ranked[1]["minus"] - ranked[0]["minus"] >= 1.5)).groupBy("document_id", ranked[0]["lang"].alias("detected")).agg(F.count(F.lit(1)).alias("votes"))
-    return whole.select("document_id", "detected", "confidence").join(votes, ["document_id", "detected"], "left").fillna(0, ["votes"])
+    single = scores(first.select(F.struct("document_id", "n").alias("key"), "text"), weights, "key")
+    lead = ranked()[1]["minus"] - ranked()[0]["minus"]
+    votes = single.where((-ranked()[0]["minus"] >= 3) & (lead >= 1.5)).groupBy(F.col("key.document_id").alias("document_id"), ranked()[0]["lang"].alias("detected")).agg(F.count(F.lit(1)).alias("votes"))
+    out = whole.join(votes, ["document_id", "detected"], "left").fillna(0, ["votes"]).join(size, "document_id")
+    return explained(out).select("document_id", "detected", "confidence", "votes", "segment_count", "explanation")

@@ -14,13 +14,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lipigraph.functions import text as T
+from lipigraph.functions import values
+from lipigraph.operators import joins
 from lipigraph.session import stable
 
 #: (texts, source language, target language) to renderings; None is a row that failed.
 Provider = Callable[[list[str], str, str], list[str | None]]
 RESULT = "segment_id string, translated_text string, provider_tier string, error string"
 # Codes and names of the languages, and the providers' names for them.
-LANGUAGE_NAMES = {"en": "English", "eng": "English", "english": "English", "ne": "Nepali", "nep": "Nepali", "nepali": "Nepali", "tmg": "Tamang", "tam": "Tamang", "tamang": "Tamang"}
+LANGUAGE_NAMES = {"en": "English", "eng": "English", "english": "English", "ne": "Nepali", "nep": "Nepali", "nepali": "Nepali", "tmg": "Tamang", "tam": "Tamang", "tm": "Tamang", "tamang": "Tamang"}
 
 REGISTRY: dict[str, Provider] = {}
 
@@ -50,6 +53,18 @@ def language_name(code: str) -> str:
         raise ValueError(f"unknown language {code!r}") from None
 
 
+class Refused(Exception):
+    """An answer of a provider that is none: its status, and the seconds it asks to wait."""
+
+    def __init__(self, status: int, retry_after: float | None = None) -> None:
+        super().__init__(f"status {status}")
+        self.status, self.retry_after = status, retry_after
+
+    @property
+    def passing(self) -> bool:
+        return self.status == 429 or self.status >= 500
+
+
 @dataclass
 class Calls:
     """How requests are made: texts in a batch, batches at once, least seconds between requests, attempts and the growing wait before them."""
@@ -78,8 +93,14 @@ class Calls:
             try:
                 got = provider(texts, source, target)
                 return [*got, *[None] * (len(texts) - len(got))][: len(texts)]
+            except Refused as e:
+                if not e.passing:
+                    break
+                pause = self.wait * (k + 1) if e.retry_after is None else max(0.0, e.retry_after)
             except OSError:
-                self.sleep(self.wait * (k + 1))
+                pause = self.wait * (k + 1)
+            if k + 1 < self.attempts:
+                self.sleep(pause)
         return [None] * len(texts)
 
 
@@ -110,6 +131,27 @@ def tiered(work: DataFrame, tiers: list[tuple[str, Provider]], calls: Calls | No
     return done
 
 
+def deterministic(work: DataFrame, bank: DataFrame | None = None) -> DataFrame:
+    """work (source_text, source_lang, target_lang and more) with translated_text and how it came about: a phrase of the bank, a date, phone, sum or reference in the target's digits, or the source as it is."""
+    b = (joins.bank(work.sparkSession) if bank is None else bank).select("key", "lang", "phrase")
+    found = joins.phrase_bank(work, b, "source_lang", "source_text")
+    into = b.groupBy("key", F.col("lang").alias("target_lang")).agg(F.min("phrase").alias("_phrase"))
+    text = T.strip(F.col("source_text"))
+    ascii_ = T.to_ascii_digits(text)
+    local = F.when(F.col("target_lang") == "en", ascii_).otherwise(T.to_native_digits(ascii_))
+    kinds = (
+        F.when(F.col("_phrase").isNotNull(), "phrase").when(text.rlike(values.DATE_VALUE), "date").when(text.rlike(values.MONEY_VALUE), "money").when(text.rlike(values.PHONE_VALUE), "phone").when(ascii_.rlike(values.REFERENCE_VALUE), "reference").otherwise("echo")
+    )
+    out = found.join(F.broadcast(into), ["key", "target_lang"], "left").withColumn("_kind", kinds)
+    said = F.when(F.col("_kind") == "phrase", F.col("_phrase")).when(F.col("_kind").isin("date", "money", "phone"), local).when(F.col("_kind") == "reference", ascii_).otherwise(F.col("source_text"))
+    return out.select(*work.columns, said.alias("translated_text"), F.col("_kind").alias("how"))
+
+
+def in_order(results: DataFrame, requested: DataFrame) -> DataFrame:
+    """results in the order of the requests (segment_id, document_id, sequence)."""
+    return results.join(requested.select("segment_id", "document_id", "sequence"), "segment_id").orderBy("document_id", "sequence", "segment_id")
+
+
 def filled(requested: DataFrame, results: DataFrame) -> DataFrame:
     """Every requested row with its first good result; a row without any gets an error."""
     best = results.groupBy("segment_id").agg(F.min_by(F.struct("translated_text", "provider_tier", "error"), F.struct(F.col("error").isNotNull(), "translated_text")).alias("r"))

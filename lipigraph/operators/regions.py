@@ -1,4 +1,5 @@
-"""Lines of pages to regions of text: a fold in order, since its limits depend on what the region holds so far."""
+"""Lines of pages to segments: single lines in a short document, regions of text in a long one. Regions are a fold in order,
+since their limits depend on what the region holds so far."""
 
 from __future__ import annotations
 
@@ -6,10 +7,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Limits of a region, and the lines up to which a document keeps them apart.
 MAX_LINES, MAX_CHARS = 24, 2800
-GAP, SHIFT = 50.0, 90.0
-STRUCTURAL = r"^\s*(?:#?\p{Nd}+(?:[.,:/-]\p{Nd}+)*|[ivxlcdmIVXLCDM]{1,8}|[•\-–—]|[.·•\-–—\s]{3,})\s*$"
-REGION = "doc_id string, region_id int, page_index int, text string, line_count int, x0 double, y0 double, x1 double, y1 double, font_size double"
+GAP, SHIFT, LEADING = 50.0, 90.0, 0.7
+FEW_LINES = 180
+REGION = "doc_id string, region_id int, segment_type string, page_index int, block_index int, line_index int, text string, line_count int, x0 double, y0 double, x1 double, y1 double, font_size double"
 
 
 def not_footer(text: Column, x0: Column, y0: Column, x1: Column, y1: Column, width: Column, height: Column) -> Column:
@@ -21,7 +23,7 @@ def not_footer(text: Column, x0: Column, y0: Column, x1: Column, y1: Column, wid
 def join_lines(lines: list[str]) -> str:
     """Lines with single spaces; a word broken by a hyphen before a small letter is whole again."""
     out = ""
-    for line in lines:
+    for line in filter(None, map(str.strip, lines)):
         if out.endswith("-") and line[:1].islower():
             out = out[:-1] + line
         else:
@@ -29,30 +31,45 @@ def join_lines(lines: list[str]) -> str:
     return out
 
 
-def fold(lines: pd.DataFrame) -> list[pd.DataFrame]:
-    import re
+def stands_alone(text: str) -> bool:
+    """A number, with or without #, or a leader of dots: no part of a region."""
+    t = text.strip()
+    return not t or t.removeprefix("#").isdigit() or not t.strip(". ·•-–—") and any(c in ".·•" for c in t)
 
-    alone = re.compile(STRUCTURAL.replace(r"\p{Nd}", r"\d"))
+
+def apart(region: list, line) -> bool:
+    """Whether a line begins a region of its own behind these lines."""
+    last = region[-1]
+    gap = line.y0 - last.y1
+    full = len(region) >= MAX_LINES or sum(len(x.text) for x in region) + len(line.text) > MAX_CHARS
+    return last.page_index != line.page_index or full or gap > GAP or abs(line.x0 - last.x0) > SHIFT and gap > LEADING * (last.font_size or 0)
+
+
+def fold(lines: pd.DataFrame) -> list[list]:
     regions: list[list] = []
+    open_ = False
     for r in lines.sort_values(["page_index", "block_index", "line_index"]).itertuples():
-        here, single = regions[-1] if regions else [], bool(alone.match(r.text))
-        last = here[-1] if here else None
-        apart = (
-            last is None or single or alone.match(last.text) or r.page_index != last.page_index or len(here) >= MAX_LINES or sum(len(x.text) for x in here) + len(r.text) > MAX_CHARS
-            or r.y0 - last.y1 > GAP or (abs(r.x0 - here[0].x0) > SHIFT and r.y0 - last.y1 > 0.7 * (r.font_size or 0))
-        )
-        regions.append([r]) if apart else here.append(r)
+        alone = stands_alone(r.text)
+        if open_ and not alone and not apart(regions[-1], r):
+            regions[-1].append(r)
+        else:
+            regions.append([r])
+        open_ = not alone
     return regions
 
 
-def regions(lines: DataFrame) -> DataFrame:
-    """Regions of each document (doc_id) from its lines; a document is folded in one task, its pages being bounded."""
+def regions(lines: DataFrame, few: int = FEW_LINES) -> DataFrame:
+    """Segments of each document (doc_id) from its lines (page, block and line index, text, box, font size): its lines, or where they are more than few, its regions. A document is folded in one task, its pages being bounded."""
 
     def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        groups = [[r] for r in pdf.sort_values(["page_index", "block_index", "line_index"]).itertuples()] if len(pdf) <= few else fold(pdf)
         rows = [
-            (key[0], i, g[0].page_index, join_lines([x.text for x in g]), len(g), min(x.x0 for x in g), min(x.y0 for x in g), max(x.x1 for x in g), max(x.y1 for x in g), sum(x.font_size for x in g) / len(g))
-            for i, g in enumerate(fold(pdf))
-        ]
+            (
+                key[0], i + 1, "pdf_line" if len(g) == 1 else "pdf_text_region", g[0].page_index, g[0].block_index, g[0].line_index, g[0].text if len(g) == 1 else join_lines([x.text for x in g]), len(g),
+                min(x.x0 for x in g), min(x.y0 for x in g), max(x.x1 for x in g), max(x.y1 for x in g), round(sum(x.font_size for x in g) / len(g), 2),
+            )
+            for i, g in enumerate(groups)
+        ]
         return pd.DataFrame(rows, columns=[c.split()[0] for c in REGION.split(", ")])
 
     return lines.where(F.trim("text") != "").groupBy("doc_id").applyInPandas(one, REGION)

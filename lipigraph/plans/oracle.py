@@ -252,9 +252,67 @@ def counts(rules: dict[str, str]) -> str:
 
 ALL = {**STRUCTURE, **NUMBERS, **LEXICON, **ENTITIES}
 SCORED = f"WITH {pairs()} SELECT id, CASE WHEN ts = '' AND ss <> '' THEN 10.0 ELSE ({' + '.join(f'({n})' for n in ALL.values())})::DOUBLE END AS risk_score FROM p"
-EFFECTIVE = "trim(coalesce(nullif(t.approved_text, ''), t.candidate_text, ''), ' ')"
+EFFECTIVE = strip("coalesce(nullif(t.approved_text, ''), t.candidate_text, '')")
 PRESERVED = f"""WITH x AS (SELECT s.id, s.document_id, s.status, t.status AS t_status, len(t.risk_reasons) AS n_reasons, coalesce(s.protected_entities, []) AS e, {EFFECTIVE} AS t FROM segments s LEFT JOIN translations t ON t.segment_id = s.id),
 y AS MATERIALIZED (SELECT *, {ascii_(shown('t'))} AS ta FROM x)
 SELECT document_id, count(*) AS total, count(*) FILTER (status = 'approved') AS approved, count(*) FILTER (t_status = 'memory_applied') AS memory_reused,
   sum(CASE WHEN coalesce(t, '') <> '' THEN len(e) ELSE 0 END)::BIGINT AS protected_total, sum(CASE WHEN coalesce(t, '') <> '' THEN len(list_filter(e, lambda x: {kept('x', 't', 'ta')})) ELSE 0 END)::BIGINT AS protected_preserved,
   count(*) FILTER (status <> 'approved' AND n_reasons > 0) AS unresolved FROM y GROUP BY document_id"""
+
+
+def reviewed(text: str, columns: str, where: str, join: str = "") -> str:
+    """Outcomes of review requests with a text of each pair, scored as for an English target."""
+    source = {"candidate_text": "t.candidate_text", "after_text": "ev.after_text"}[text]
+    base = f"""p0 AS (SELECT s.id, s.document_id, s.status, coalesce(s.source_text, '') AS s, {source} AS raw, {strip(f"coalesce({source}, '')")} AS t, 'en' AS lang, coalesce(s.protected_entities, []) AS e, coalesce(s.glossary_hits, []) AS h
+  FROM segments s JOIN translations t ON t.segment_id = s.id {join} WHERE {where})"""
+    rest = pairs().split("p1 AS", 1)[1]
+    score = f"CASE WHEN ts = '' THEN NULL ELSE ({' + '.join(f'({n})' for n in ALL.values())})::DOUBLE END"
+    return f"WITH {base}, p1 AS{rest}, z AS (SELECT *, {score} AS score FROM p) SELECT id AS segment_id, score AS risk_score, {columns} FROM z"
+
+
+def settled_here(structural: str, scoped: str) -> str:
+    """Labels scored for their document's target language, and what the memory has."""
+    base = f"""{scoped}, l AS (SELECT *, {structural} AS label, lower({shown('source_text')}) AS key FROM scoped),
+a AS (SELECT * FROM memory_entries WHERE is_active QUALIFY row_number() OVER (PARTITION BY source_lang, target_lang, domain, subdomain, normalized_source ORDER BY coalesce(approved_at, TIMESTAMP '1970-01-01') DESC, id DESC) = 1),
+p0 AS (SELECT id, document_id, source_text AS s, label AS t, lower(target_lang) AS lang, list_transform(coalesce(protected_entities, []), lambda x: {{'kind': x.kind, 'text': x.text, 'start': x.start, 'end': x."end", 'target_term': x.target_term, 'segment_source_len': length(source_text)}}) AS e, coalesce(glossary_hits, []) AS h FROM l WHERE label IS NOT NULL)"""
+    rest = pairs().split("p1 AS", 1)[1]
+    return f"""WITH {base}, p1 AS{rest}, z AS (SELECT *, CASE WHEN ts = '' AND ss <> '' THEN 10.0 ELSE ({' + '.join(f'({n})' for n in ALL.values())})::DOUBLE END AS score FROM p)
+SELECT id, t AS text, 'preserved' AS source_type, score AS risk_score, CASE WHEN score > 0 THEN 'needs_review' ELSE 'pending' END AS status, CASE WHEN score > 0 THEN 'needs_review' ELSE 'candidate' END AS translation_status, t <> s AS is_repaired FROM z
+UNION ALL SELECT l.id, a.target_text, 'memory', 0.0, 'approved', 'memory_applied', false FROM l JOIN a ON a.source_lang = l.source_lang AND a.target_lang = l.target_lang AND a.domain = l.domain AND a.subdomain = l.subdomain AND a.normalized_source = l.key WHERE label IS NULL"""
+
+
+_BANK = [
+    ("title", "Certificate of Residence Request", "बसोबास प्रमाणपत्र अनुरोध", "चिबा ह्रिबाला प्रमाणस्यो"), ("submit_form", "Please submit this form to the Ward Office.", "कृपया यो फारम वडा कार्यालयमा बुझाउनुहोस्।", "चु फाराम वडा गेदिमरि पेस लास्ह्युगो।"),
+    ("review_within_days", "The Municipality will review the application within 7 days.", "नगरपालिकाले आवेदन ७ दिनभित्र समीक्षा गर्नेछ।", "नगरपालिकासे ७ रे न्हाङरि स्ह्युसेनला समीक्षा लासेला मुला।"), ("ward_verify", "Ward No. 4 will verify the address.", "वडा नं. ४ ले ठेगाना प्रमाणित गर्नेछ।", "वडा नं. ४ से ठेगाना प्रमाणित लासेला मुला।"),
+    ("visit_updates", "Visit https://municipality.example.gov for updates.", "अपडेटका लागि https://municipality.example.gov हेर्नुहोस्।", "अद्यावधिकला लागिरि https://municipality.example.gov निगो।"), ("applicant_name", "Applicant Name", "निवेदकको नाम", "स्ह्युसेन पिन्बा मिन"),
+    ("phone", "Phone", "फोन", "फोन लाबा"), ("date", "Date", "मिति", "कुनु"), ("reference_id", "Reference ID", "सन्दर्भ आईडी", "सन्दर्भ ङोसेबास्यो"), ("fee_500", "Fee: NPR 500", "शुल्क: NPR ५००", "शुल्क: NPR ५००"),
+]
+_BANK_ROWS = ", ".join(f"({q(k)}, {q(lang)}, {q(x)})" for k, *by in _BANK for lang, x in zip(("en", "ne", "tmg"), by, strict=True))
+DETERMINISTIC = rf"""WITH bank(key, lang, phrase) AS (VALUES {_BANK_ROWS}),
+w AS (SELECT s.id, s.source_text, {strip('s.source_text')} AS x, lower({shown('s.source_text')}) AS plain, d.source_lang, d.target_lang FROM segments s JOIN document_summary d ON d.id = s.document_id),
+k AS (SELECT w.*, (SELECT min(key) FROM bank WHERE lang = w.source_lang AND lower(phrase) = w.plain) AS key FROM w),
+f AS (SELECT k.*, (SELECT min(phrase) FROM bank b WHERE b.key = k.key AND b.lang = k.target_lang) AS phrase, {ascii_('x')} AS a FROM k),
+h AS (SELECT *, CASE WHEN phrase IS NOT NULL THEN 'phrase' WHEN regexp_matches(x, '^[0-9०-९]{{4}}[-/][0-9०-९]{{2}}[-/][0-9०-९]{{2}}$') THEN 'date' WHEN regexp_matches(x, '(?i)^(NPR|Rs\.?|रु\.?|\$)\s?[0-9०-९][0-9०-९,]*(\.[0-9]+)?$') THEN 'money'
+  WHEN regexp_matches(x, '^\+?[0-9०-९][0-9०-९\-\s]{{7,}}$') THEN 'phone' WHEN regexp_matches(a, '^[A-Z]{{2,}}(-[A-Z0-9]{{2,}})+$') THEN 'reference' ELSE 'echo' END AS how FROM f)
+SELECT id, how, CASE how WHEN 'phrase' THEN phrase WHEN 'reference' THEN a WHEN 'echo' THEN source_text ELSE CASE WHEN target_lang = 'en' THEN a ELSE {native('a')} END END AS translated_text FROM h"""
+
+
+def language(weights: dict[str, dict[str, float]], shared: list[str]) -> str:
+    """The suggestion of each document's language; the weights are the table of values that both sides are given."""
+    rows = ", ".join(f"({q(lang)}, {q(token)}, {round(w * 100)})" for lang, by in weights.items() for token, w in by.items() if token not in shared)
+    phrases = lambda lang: [x[{"en": 1, "ne": 2, "tmg": 3}[lang]].lower() for x in _BANK[:5]]
+    said = lambda lang, c: " + ".join(f"CASE WHEN contains({c}, {q(x)}) THEN 600 ELSE 0 END" for x in phrases(lang))
+    bonus = "CASE WHEN latin >= 18 AND latin > 1.5 * native THEN 400 WHEN latin > 0 AND native = 0 THEN 250 ELSE 0 END"
+    total = lambda lang: f"coalesce(list_sum(list_transform(tokens, lambda t: coalesce(m_{lang}[t], 0))), 0) + {said(lang, 'plain')}" + (f" + {bonus}" if lang == "en" else "")
+    scored = lambda source: f"SELECT *, ({total('en')})::BIGINT AS en, ({total('ne')})::BIGINT AS ne, ({total('tmg')})::BIGINT AS tmg FROM (SELECT *, lower({shown('text')}) AS plain, regexp_extract_all(lower({shown('text')}), '[A-Za-z]+|[ऀ-ॿ]+') AS tokens, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS latin, length(regexp_replace(text, '[^ऀ-ॿ]', '', 'g')) AS native FROM {source}), maps"
+    best = "greatest(en, ne, tmg)"
+    top = f"CASE {best} WHEN en THEN 'en' WHEN ne THEN 'ne' ELSE 'tmg' END"
+    lead = f"({best} - list_sort([en, ne, tmg])[2])"
+    maps = ", ".join(f"map_from_entries(list({{'k': token, 'v': w}}) FILTER (lang = {q(x)})) AS m_{x}" for x in ("en", "ne", "tmg"))
+    return f"""WITH weights(lang, token, w) AS (VALUES {rows}), maps AS (SELECT {maps} FROM weights),
+n AS (SELECT document_id, source_text AS text, row_number() OVER (PARTITION BY document_id ORDER BY sequence, id) AS n, count(*) OVER (PARTITION BY document_id) AS segment_count FROM segments),
+f AS (SELECT * FROM n WHERE n <= 12), j AS (SELECT document_id, string_agg(text, ' ' ORDER BY n) AS text, any_value(segment_count) AS segment_count FROM f GROUP BY 1),
+w AS (SELECT *, latin > 0 AND native = 0 AS only_latin, native > 0 AND ({best} >= 800 AND {lead} >= 400) AS strong, native > 0 AND ({best} >= 400 AND {lead} >= 150) AS likely, {top} AS best FROM ({scored('j')})),
+v AS (SELECT document_id, {top} AS lang, count(*) AS votes FROM ({scored('f')}) WHERE {best} >= 300 AND {lead} >= 150 GROUP BY 1, 2)
+SELECT o.document_id, detected, confidence, coalesce(votes, 0) AS votes, segment_count FROM (SELECT document_id, segment_count, CASE WHEN only_latin THEN 'en' WHEN strong OR likely THEN best END AS detected,
+  CASE WHEN only_latin AND latin >= 18 THEN 'high' WHEN only_latin THEN 'medium' WHEN strong THEN 'high' WHEN likely THEN 'medium' ELSE 'low' END AS confidence FROM w) o LEFT JOIN v ON v.document_id = o.document_id AND v.lang = o.detected"""

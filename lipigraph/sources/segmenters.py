@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from lipigraph.functions.text import display_form
 
-LOCATION = "struct<kind:string,block_index:int,row_index:int,cell_index:int,paragraph_index:int>"
+LOCATION = "struct<kind:string,block_index:int,table_index:int,row_index:int,cell_index:int,paragraph_index:int>"
 SEGMENT = f"doc_id string, sequence int, segment_type string, source_text string, location {LOCATION}"
 Piece = tuple[str, str, dict]
 SUFFIXES = {"txt": "txt", "md": "txt", "csv": "csv", "tsv": "tsv", "docx": "docx", "html": "html", "htm": "html"}
@@ -79,22 +79,34 @@ def html_blocks(text: str) -> Iterator[Piece]:
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
-def docx_pieces(content: bytes) -> Iterator[Piece]:
-    """Paragraphs and table cells in the order of the document."""
-    body = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(content)).read("word/document.xml")).find(f"{W}body")
-    text = lambda p: display_form("".join(t.text or "" for t in p.iter(f"{W}t")))
-    n = 0
+#: A place in a document: paragraph, table, row and cell; None for what doesn't apply.
+Place = tuple[int | None, int | None, int | None, int | None]
+
+
+def docx_places(root: ElementTree.Element) -> Iterator[tuple[Place, ElementTree.Element]]:
+    """Paragraphs in the order of the document, those of tables cell by cell, with their places."""
+    body, n, tables = root.find(f"{W}body"), 0, 0
     for element in [] if body is None else body:
         if element.tag == f"{W}p":
-            if t := text(element):
-                yield "paragraph", t, {"kind": "paragraph", "paragraph_index": n}
+            yield (n, None, None, None), element
             n += 1
         elif element.tag == f"{W}tbl":
             for r, row in enumerate(element.findall(f"{W}tr")):
                 for c, cell in enumerate(row.findall(f"{W}tc")):
-                    for p in cell.findall(f"{W}p"):
-                        if t := text(p):
-                            yield "table_cell", t, {"kind": "cell", "row_index": r, "cell_index": c}
+                    for k, p in enumerate(cell.findall(f"{W}p")):
+                        yield (k, tables, r, c), p
+            tables += 1
+
+
+def docx_pieces(content: bytes) -> Iterator[Piece]:
+    """Paragraphs and table cells in the order of the document."""
+    root = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(content)).read("word/document.xml"))
+    for (k, table, r, c), p in docx_places(root):
+        if t := display_form("".join(x.text or "" for x in p.iter(f"{W}t"))):
+            if table is None:
+                yield "paragraph", t, {"kind": "paragraph", "paragraph_index": k}
+            else:
+                yield "table_cell", t, {"kind": "table_cell_paragraph", "table_index": table, "row_index": r, "cell_index": c, "paragraph_index": k}
 
 
 def pieces(content: bytes, kind: str) -> Iterable[Piece]:
@@ -112,11 +124,16 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", known[suffix].alias("file_type"), F.sha2("content", 256).alias("checksum"), "content")
 
 
+def unsupported(files: DataFrame) -> DataFrame:
+    """(path, error): files of types that no segmenter reads; these fail, and only these."""
+    return files.where("file_type IS NULL").select("path", F.lit("unsupported file type").alias("error"))
+
+
 def segment_files(files: DataFrame) -> DataFrame:
     """Segments of files of known types; doc_id is the checksum of the file."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        empty = dict.fromkeys(("kind", "block_index", "row_index", "cell_index", "paragraph_index"))
+        empty = dict.fromkeys(("kind", "block_index", "table_index", "row_index", "cell_index", "paragraph_index"))
         for pdf in parts:
             rows = [(r.checksum, i + 1, k, t, {**empty, **loc}) for r in pdf.itertuples() for i, (k, t, loc) in enumerate(pieces(bytes(r.content), r.file_type))]
             yield pd.DataFrame(rows, columns=["doc_id", "sequence", "segment_type", "source_text", "location"])

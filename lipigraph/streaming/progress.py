@@ -17,9 +17,27 @@ def event_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> Da
     return read.parquet(path)
 
 
-def stage(progress):
-    """The stage a document shows, from its counts: nothing parsed, being translated, scored, done."""
-    return F.when(F.col("total") == 0, "parsing").when(progress < F.col("total"), "translating").when(F.col("scored") < F.col("total"), "scoring").otherwise("processed")
+def states(segments: DataFrame, translations: DataFrame) -> DataFrame:
+    """(document_id, total, done): segments of each document, and those that are approved, in review or from memory, each counted as often as it is one. segments may be a stream; translations is a table."""
+    t = translations.select(F.col("segment_id").alias("id"), (F.col("status") == "memory_applied").alias("memory"))
+    done = F.col("status").isin("approved", "needs_review").cast("int") + F.coalesce("memory", F.lit(False)).cast("int")
+    return segments.select("id", "document_id", "status").join(t, "id", "left").groupBy("document_id").agg(F.count(F.lit(1)).alias("total"), F.sum(done).alias("done"))
+
+
+def staged(documents: DataFrame, states: DataFrame) -> DataFrame:
+    """(id, status, step, progress, total): what a client is told of each document; progress and total while it is being translated."""
+    d = documents.select("id", F.col("status").alias("_status"), F.col("metadata").alias("_metadata")).join(states.withColumnRenamed("document_id", "id"), "id", "left").fillna(0, ["total", "done"])
+    told = F.struct(F.col("_status").alias("status"), F.lit(None).cast("string").alias("step"))
+    say = lambda status, step: F.struct(F.lit(status).alias("status"), F.lit(step).cast("string").alias("step"))
+    own = F.col("_metadata")["total_segments"].isNotNull()
+    total, done = F.when(own, F.col("_metadata")["total_segments"].cast("long")).otherwise(F.col("total")), F.when(own, F.coalesce(F.col("_metadata")["local_segments"].cast("long"), F.lit(0))).otherwise(F.col("done"))
+    now = (
+        F.when(F.col("_status") == "failed", say("failed", None)).when(F.col("_status") == "processed", say("processed", "ready")).when((F.col("_status") == "uploaded") | ~own & (total == 0), say("processing", "parsing"))
+        .when(own | (done < total), say("processing", "translating")).when(F.col("_status") == "processing", say("processing", "scoring")).otherwise(told)
+    )
+    out = d.select("id", now.alias("s"), done.alias("_done"), total.alias("_total"))
+    moving = F.col("s.step") == "translating"
+    return out.select("id", "s.status", "s.step", F.when(moving, F.col("_done")).alias("progress"), F.when(moving, F.col("_total")).alias("total"))
 
 
 def windowed(events: DataFrame, late: str = "2 days", width: str = "1 day") -> DataFrame:
@@ -52,14 +70,23 @@ def counts(events: DataFrame) -> DataFrame:
 
 
 def remember(memory_path: str):
-    """A batch function that folds approvals (key, target_text, approved_at) into a table of the latest text of each key."""
+    """A batch function that keeps the latest text of each key of approvals (key, target_text, approved_at). A batch writes what it brings and nothing else; one that is repeated after a failure writes the same again."""
 
     def fold(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        latest = batch.groupBy("key").agg(F.max_by("target_text", F.struct("approved_at", "target_text")).alias("target_text"), F.max("approved_at").alias("approved_at"))
-        old = spark.read.parquet(f"{memory_path}/v{number - 1}") if number else None
-        both = latest if old is None else old.unionByName(latest).groupBy("key").agg(F.max_by("target_text", F.struct("approved_at", "target_text")).alias("target_text"), F.max("approved_at").alias("approved_at"))
-        # A batch that is repeated after a failure writes the same version again.
-        both.write.mode("overwrite").parquet(f"{memory_path}/v{number}")
+        _latest(batch).write.mode("overwrite").parquet(f"{memory_path}/batch={number}")
 
     return fold
+
+
+def _latest(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("key").agg(F.max_by("target_text", F.struct("approved_at", "target_text")).alias("target_text"), F.max("approved_at").alias("approved_at"))
+
+
+def recall(spark: SparkSession, memory_path: str) -> DataFrame:
+    """The memory as its batches left it."""
+    return _latest(spark.read.parquet(memory_path).drop("batch"))
+
+
+def compact(spark: SparkSession, memory_path: str, new_path: str) -> None:
+    """The memory as one batch at a new path, for a stream that begins there after many."""
+    recall(spark, memory_path).write.mode("overwrite").parquet(f"{new_path}/batch=-1")
