@@ -307,11 +307,11 @@ def counted(pairs: DataFrame, source: str, target: str, lang: Column, entities:
     return df.select(*pairs.columns, "codes")
 
 
-def score(pairs: DataFrame, source: str, target: str, entities: str, hits: str, lang: Column | None = None) -> DataFrame:
-    """pairs with risk_reasons, in the order of the rules, and risk_score: their number, or ten for an empty rendering."""
+def score(pairs: DataFrame, source: str, target: str, entities: str, hits: str, lang: Column | None = None, reasons_as: str = "risk_reasons", score_as: str = "risk_score") -> DataFrame:
+    """pairs with risk_reasons, in the order of the rules, and risk_score: their number, or ten for an empty rendering. Columns of these names are replaced."""
     df = prepared(pairs, source, target, F.lit("en") if lang is None else lang, entities, hits)
     counts, reasons, total = _scoring(id(SparkContext._active_spark_context))
-    return df.withColumn("_n", counts).select(*pairs.columns, reasons, total)
+    return df.withColumn("_n", counts).select(*(c for c in pairs.columns if c not in (reasons_as, score_as)), reasons.alias(reasons_as), total.alias(score_as))
 
 
 @functools.cache
@@ -323,4 +323,4 @@ def _scoring(context: int) -> tuple[Column, Column, Column]:
     reasons = F.array(*(reason(r.code, r.label, r.severity, r.detail, r.repairable) for r in found))
     told = F.flatten(F.transform(F.filter(F.arrays_zip(reasons.alias("r"), F.col("_n").alias("n")), lambda x: x["n"] > 0), lambda x: F.array_repeat(x["r"], x["n"])))
     counts = F.when(omitted, F.lit(None)).otherwise(F.array(*(r.n for r in found)))
-    return counts, F.when(omitted, only).otherwise(told.cast(f"array<{REASON}>")).alias("risk_reasons"), F.when(omitted, F.lit(10.0)).otherwise(F.aggregate("_n", F.lit(0), lambda a, x: a + x).cast("double")).alias("risk_score")
+    return counts, F.when(omitted, only).otherwise(told.cast(f"array<{REASON}>")), F.when(omitted, F.lit(10.0)).otherwise(F.aggregate("_n", F.lit(0), lambda a, x: a + x).cast("double"))

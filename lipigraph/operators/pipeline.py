@@ -39,9 +39,8 @@ def _kept(df: DataFrame, name: str) -> DataFrame:
 
 def scored(df: DataFrame, text: str, lang: Column, score: str, reasons: str | None = None) -> DataFrame:
     """df with the score of a text column, and its reasons where asked for."""
-    out = R.score(df, "source_text", text, "entities", "hits", lang)
-    keep = [F.col("risk_score").alias(score), *([F.col("risk_reasons").alias(reasons)] if reasons else [])]
-    return out.select(*df.columns, *keep)
+    out = R.score(df, "source_text", text, "entities", "hits", lang, reasons_as=reasons or "_unused", score_as=score)
+    return out if reasons else out.drop("_unused")
 
 
 def _digits_only(text: Column) -> Column:
