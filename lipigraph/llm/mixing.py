@@ -75,6 +75,34 @@ def water_fill(total: float, sources: dict[str, tuple[float, float, float]]) ->
     return due
 
 
+def _plan(sized: DataFrame, targets: DataFrame, total: int | None) -> tuple[list[tuple], dict[str, tuple[float, float, float]]]:
+    """(source, tokens, due, whole repetitions, tokens beyond these) of each listed source, of sizes (source, tokens) in any number of rows."""
+    listed = targets.where(F.col("source").isNotNull())
+    sums = sized.join(F.broadcast(listed.select("source").distinct()), "source", "left_semi").groupBy("source").agg(F.sum("tokens").alias("tokens"))
+    sizes = {r.source: r.tokens or 0 for r in sums.collect()}
+    sources = {r.source: (max(0.0, r.target_share or 0.0), float(sizes.get(r.source, 0)), float(max(0, r.max_repeats or 0))) for r in listed.collect()}
+    due = water_fill(float(total if total is not None else sum(sizes.values())), sources)
+    rows = []
+    for s, x in due.items():
+        size, cap = sources[s][1], int(sources[s][2])
+        whole = min(int(x / size + 1e-9), cap) if size else 0
+        rows.append((s, int(size), x, whole, max(0.0, x - whole * size) if whole < cap else 0.0))
+    return rows, sources
+
+
+def plan(sized: DataFrame, targets: DataFrame, total: int | None = None) -> DataFrame:
+    """The plan of a mixture as a table (source, tokens, due, whole, rest)."""
+    return sized.sparkSession.createDataFrame(_plan(sized, targets, total)[0], "source string, tokens long, due double, whole int, rest double")
+
+
+#: The plan with characters as size. The level up to which sources are filled follows from their caps in the order of cap over share.
+PLAN_SQL = """WITH z AS (SELECT source, greatest(target_share, 0) AS share, (coalesce((SELECT sum(n_chars) FROM documents d WHERE d.source = t.source), 0))::DOUBLE AS tokens, greatest(max_repeats, 0) AS repeats FROM mix_targets t),
+o AS (SELECT *, tokens * repeats AS cap, sum(tokens) OVER () AS total FROM z), r AS (SELECT *, cap / share AS ratio FROM o WHERE share > 0 AND cap > 0),
+k AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY ratio, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below, sum(share) OVER (ORDER BY ratio, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS above FROM r),
+l AS (SELECT arg_min((total - below) / above, ratio) AS level FROM k WHERE (total - below) / above <= ratio)
+SELECT source, tokens::BIGINT AS tokens, round(CASE WHEN share > 0 AND cap > 0 THEN least(cap, coalesce(share * (SELECT level FROM l), cap)) ELSE 0 END, 3) AS due FROM o"""
+
+
 def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 1, path: str = TOKENIZER) -> DataFrame:
     """(doc_id, source, n_tokens, copies) for documents taken at least once. total: tokens of the mixture, by default those of the listed sources. targets (source, target_share, max_repeats) is a parameter of as many rows as there are sources."""
     spark = documents.sparkSession
@@ -82,15 +110,8 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, seed
     u = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40))
     sized = sized.withColumn("bucket", (u / F.lit((1 << 40) / BUCKETS)).cast("int")).withColumn("u", u)
     buckets = stable(sized.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("tokens")))
-    sizes = {r.source: r.tokens or 0 for r in buckets.groupBy("source").agg(F.sum("tokens").alias("tokens")).collect()}
-    sources = {r.source: (max(0.0, r.target_share or 0.0), float(sizes.get(r.source, 0)), float(max(0, r.max_repeats or 0))) for r in targets.where(F.col("source").isNotNull()).collect()}
-    due = water_fill(float(total if total is not None else sum(sizes.values())), sources)
-    rows = []
-    for s, x in due.items():
-        r = x / sources[s][1] if sources[s][1] else 0.0
-        whole = min(int(r + 1e-9), int(sources[s][2]))
-        rows.append((s, whole, max(0.0, x - whole * sources[s][1]) if whole < sources[s][2] else 0.0))
-    plan = F.broadcast(spark.createDataFrame(rows or [("", 0, 0.0)], "source string, whole int, rest double"))
+    rows, sources = _plan(buckets, targets, total)
+    plan = F.broadcast(spark.createDataFrame([(s, whole, rest) for s, _, _, whole, rest in rows] or [("", 0, 0.0)], "source string, whole int, rest double"))
     before = F.coalesce(F.sum("tokens").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     levels = buckets.withColumn("before", before).join(plan, "source").select("source", "bucket", "whole", (F.col("rest") - F.col("before")).alias("room"), "tokens")
     placed = sized.join(F.broadcast(levels) if len(sources) * BUCKETS <= MAX_LEVELS else levels, ["source", "bucket"])

@@ -121,6 +121,12 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(mixing.mix(table(spark, d, "documents"), targets), targets)
 
 
+def p7_plan(spark: SparkSession, d: str) -> DataFrame:
+    """What is due from each source where characters are the size."""
+    sized = table(spark, d, "documents").select("source", F.col("n_chars").alias("tokens"))
+    return mixing.plan(sized, table(spark, d, "mix_targets")).select("source", "tokens", F.round("due", 3).alias("due"))
+
+
 def _scored(spark: SparkSession, d: str) -> DataFrame:
     documents = table(spark, d, "documents")
     return safety.score_documents(documents, safety.fit(documents, table(spark, d, "safety_labels")))
@@ -143,6 +149,6 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_redacted, p2_found, p2_defects, p3_found, p3_representatives, p4_found, p4_confidence, p5_found, p5_consistent, p6_found, p7_mix, p7_shares, p8_found, p8_scores, p8_rates)
+    for f in (p1_found, p1_redacted, p2_found, p2_defects, p3_found, p3_representatives, p4_found, p4_confidence, p5_found, p5_consistent, p6_found, p7_mix, p7_shares, p7_plan, p8_found, p8_scores, p8_rates)
 }
-ORACLE: dict[str, str] = {"p3_found": dedup.COPIES_SQL, "p3_representatives": dedup.REPRESENTATIVES_SQL}
+ORACLE: dict[str, str] = {"p3_found": dedup.COPIES_SQL, "p3_representatives": dedup.REPRESENTATIVES_SQL, "p7_plan": mixing.PLAN_SQL}
