@@ -157,10 +157,10 @@ def strip_chatter(text: Column) -> Column:
     """Without such openings, tested in turn; quotation marks around the rest go with an opening."""
 
     def step(now: Column, opening: Column) -> Column:
-        rest = F.trim(now.substr(F.length(opening) + 1, F.length(now)))
-        return F.when(F.startswith(F.lower(now), F.lower(opening)), F.trim(F.regexp_replace(rest, '(?s)^"(.*)"$', "$1"))).otherwise(now)
+        rest = strip(now.substr(F.length(opening) + 1, F.length(now)))
+        return F.when(F.startswith(F.lower(now), F.lower(opening)), strip(F.regexp_replace(rest, '(?s)^"(?:(.*)")?$', "$1"))).otherwise(now)
 
-    return F.aggregate(F.array(*map(F.lit, CHATTER)), F.trim(text), step)
+    return F.aggregate(F.array(*map(F.lit, CHATTER)), strip(text), step)
 
 
 def neighbours_equal(words: Column) -> Column:

@@ -297,7 +297,7 @@ def risk_reasons(spark: SparkSession, d: str) -> DataFrame:
     return _scored(spark, d).select("id", F.posexplode_outer("risk_reasons").alias("place", "r")).where("place IS NOT NULL").select("id", "place", "r.*")
 
 
-@query()
+@query(oracle.HOUSE_STYLE)
 def house_style(spark: SparkSession, d: str) -> DataFrame:
     """Candidates that the house style changes."""
     lang = _scoped(spark, d).select("id", "source_text", "target_lang")
@@ -585,3 +585,105 @@ def stream_document_progress(spark: SparkSession, d: str) -> DataFrame:
     """The same from a stream of segments."""
     states = progress.run_once(progress.states(progress.event_stream(spark, f"{d}/segments.parquet"), table(spark, d, "translations")))
     return progress.staged(table(spark, d, "document_summary"), states)
+
+
+@query(oracle.TEXT_FUNCTIONS)
+def text_functions(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col("source_text")
+    return table(spark, d, "segments").select(
+        "id", T.display_normalize(c).alias("display"), T.normalize_text(c).alias("plain"), T.sanitize_unicode(c).alias("sanitised"), T.contains_devanagari(c).alias("native"), F.array_join(T.latin_tokens(c), " ").alias("latin"),
+        F.array_join(F.array_sort(T.numbers(c)), " ").alias("numbers"), R.name_like(c).alias("name_like"), T.neighbours_equal(T.words(c)).alias("repeats"),
+    )
+
+
+@query(oracle.ENTITY_FORMS)
+def entity_forms(spark: SparkSession, d: str) -> DataFrame:
+    """The spellings in which each entity counts as kept."""
+    s = table(spark, d, "segments")
+    return s.select("id", F.posexplode(E.full(s, "protected_entities")).alias("place", "e")).select("id", "place", "e.kind", F.array_join(E.forms(F.col("e")), "|").alias("forms"))
+
+
+@query(oracle.ENTITY_STATES)
+def entity_states(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each candidate keeps each entity, in its place and script."""
+    p = R.prepared(_pairs(spark, d), "source_text", "candidate_text", F.coalesce("target_lang", F.lit("en")), "protected_entities", "glossary_hits")
+    return p.select("id", F.posexplode_outer("_state").alias("place", "x")).where("place IS NOT NULL").select("id", "place", "x.kept", "x.shifted", F.col("x.foreign").alias("foreign_script"))
+
+
+def _page_lines(spark: SparkSession, d: str) -> DataFrame:
+    at = ["page_index", "block_index", "line_index", "x0", "y0", "x1", "y1", "font_size"]
+    return table(spark, d, "segments").where("location.kind = 'pdf_line'").select(F.col("document_id").alias("doc_id"), F.col("source_text").alias("text"), *(f"location.{c}" for c in at))
+
+
+@query(oracle.PAGE_LINES)
+def page_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Segments of page documents, which are short enough to keep their lines."""
+    return regions.regions(_page_lines(spark, d)).select("doc_id", "region_id", "segment_type", "text", "line_count")
+
+
+@query(oracle.PAGE_REGIONS)
+def page_regions(spark: SparkSession, d: str) -> DataFrame:
+    """Their regions, as those of a long document."""
+    return regions.regions(_page_lines(spark, d), few=0).select("doc_id", "region_id", "segment_type", "text", "line_count")
+
+
+@query(oracle.TEXT_FILES)
+def text_files(spark: SparkSession, d: str) -> DataFrame:
+    """Segments of the documents as text files, by checksum."""
+    files = spread(table(spark, d, "documents").where("text IS NOT NULL").select(F.lit("txt").alias("file_type"), F.encode("text", "UTF-8").alias("content"))).withColumn("checksum", F.sha2("content", 256))
+    return segmenters.segment_files(files).select("doc_id", "sequence", "source_text")
+
+
+def _effective(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "translations").select(F.col("segment_id").alias("id"), T.effective_text(F.col("approved_text"), F.col("candidate_text")).alias("text"))
+
+
+@query(oracle.TABLE_FILES)
+def table_files(spark: SparkSession, d: str) -> DataFrame:
+    """Tables written with their translations and read again."""
+    cells = table(spark, d, "segments").where("location.kind = 'cell'").select("id", "document_id", "location.row_index", "location.cell_index").join(_effective(spark, d), "id", "left")
+    files = sinks.as_grid(cells).select(F.col("document_id").alias("checksum"), F.lit("csv").alias("file_type"), F.encode("value", "UTF-8").alias("content"))
+    return segmenters.segment_files(files).select("doc_id", "sequence", "source_text", "location.row_index", "location.cell_index")
+
+
+@query(oracle.DOCX_FILES)
+def docx_files(spark: SparkSession, d: str) -> DataFrame:
+    """Word documents made from segments, written back with the translations there are, and read again."""
+    own = table(spark, d, "segments").where("location.kind = 'paragraph'").select("id", "document_id", "sequence", "source_text")
+    n = metrics.numbered(own)
+    files = sinks.as_docx(n.select("document_id", F.col("n").alias("sequence"), F.col("source_text").alias("text")))
+    none = F.lit(None).cast("int")
+    place = F.struct((F.col("n") - 1).cast("int").alias("paragraph_index"), none.alias("table_index"), none.alias("row_index"), none.alias("cell_index"))
+    texts = n.join(_effective(spark, d), "id").where("text <> ''").select("document_id", place.alias("location"), "text")
+    back = sinks.write_back_docx(files, texts).select(F.col("document_id").alias("checksum"), F.lit("docx").alias("file_type"), "content")
+    return segmenters.segment_files(back).select("doc_id", "sequence", "source_text")
+
+
+def _latin_only(texts, source, target):
+    return [t.upper() if t and t.isascii() else None for t in texts]
+
+
+def _short_only(texts, source, target):
+    return [f"{target}: {t}" if t and len(t) < 60 else None for t in texts]
+
+
+@query("""SELECT id AS segment_id, CASE WHEN regexp_matches(source_text, '^[\x00-\x7F]+$') AND trim(source_text) <> '' THEN upper(source_text) WHEN length(source_text) < 60 AND trim(source_text) <> '' THEN target_lang || ': ' || source_text ELSE source_text END AS translated_text,
+  CASE WHEN regexp_matches(source_text, '^[\x00-\x7F]+$') THEN 'first' WHEN length(source_text) < 60 THEN 'second' ELSE 'echo' END AS provider_tier, NULL::VARCHAR AS error
+FROM (SELECT s.id, s.source_text, d.target_lang FROM segments s JOIN document_summary d ON d.id = s.document_id)""")
+def tiered_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Answers of the first of three providers that has one."""
+    work = spread(_scoped(spark, d).select(F.col("id").alias("segment_id"), "source_text", "source_lang", "target_lang"))
+    return providers.tiered(work, [("first", _latin_only), ("second", _short_only), ("echo", providers.echo)], providers.Calls(pause=0.0, wait=0.0))
+
+
+@query(oracle.settled_here(STRUCTURAL, SCOPED))
+def stream_process_local(spark: SparkSession, d: str) -> DataFrame:
+    """Segments that need no provider, as they arrive."""
+    docs, memory = table(spark, d, "document_summary"), table(spark, d, "memory_entries")
+    work = lambda batch: pipeline.settled_here(pipeline.matched(batch, docs, None, memory)).select("id", "text", "source_type", "risk_score", "status", "translation_status", "is_repaired")
+    return progress.each_batch(progress.event_stream(spark, f"{d}/segments.parquet"), work, "id string, text string, source_type string, risk_score double, status string, translation_status string, is_repaired boolean")
+
+
+@query(f"""SELECT id, 'data: {{"status":"' || status || '"' || coalesce(',"step":"' || step || '"', '') || coalesce(',"progress":' || progress, '') || coalesce(',"total":' || total, '') || '}}' || chr(10) || chr(10) AS message FROM ({_STAGED})""")
+def progress_messages(spark: SparkSession, d: str) -> DataFrame:
+    return progress.messages(document_progress(spark, d))

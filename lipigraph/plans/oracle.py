@@ -316,3 +316,58 @@ w AS (SELECT *, latin > 0 AND native = 0 AS only_latin, native > 0 AND ({best} >
 v AS (SELECT document_id, {top} AS lang, count(*) AS votes FROM ({scored('f')}) WHERE {best} >= 300 AND {lead} >= 150 GROUP BY 1, 2)
 SELECT o.document_id, detected, confidence, coalesce(votes, 0) AS votes, segment_count FROM (SELECT document_id, segment_count, CASE WHEN only_latin THEN 'en' WHEN strong OR likely THEN best END AS detected,
   CASE WHEN only_latin AND latin >= 18 THEN 'high' WHEN only_latin THEN 'medium' WHEN strong THEN 'high' WHEN likely THEN 'medium' ELSE 'low' END AS confidence FROM w) o LEFT JOIN v ON v.document_id = o.document_id AND v.lang = o.detected"""
+
+
+CHATTER = ["Sure, here is the translation:", "Sure, here's the translation:", "Translation:", "Translated text:", "Here is the translation in Nepali:", "Sure!", "Okay,"]
+
+
+def without_chatter(c: str, source: str) -> str:
+    """Common table expressions c0 to c7 over a table (id, c and more): each takes one opening away."""
+    out = [f"c0 AS (SELECT * REPLACE ({strip(c)} AS {c}) FROM {source})"]
+    for k, x in enumerate(CHATTER, 1):
+        rest = strip(f"substr({c}, {len(x) + 1})")
+        bare = f"CASE WHEN {rest} = chr(34) THEN '' WHEN starts_with({rest}, chr(34)) AND ends_with({rest}, chr(34)) THEN {strip(f'substr({rest}, 2, length({rest}) - 2)')} ELSE {rest} END"
+        out.append(f"c{k} AS (SELECT * REPLACE (CASE WHEN starts_with(lower({c}), {q(x.lower())}) THEN {bare} ELSE {c} END AS {c}) FROM c{k - 1})")
+    return ", ".join(out)
+
+
+def _once(c: str, pattern: str) -> str:
+    """Without the second of the first two equal neighbours of a kind."""
+    w = words(c)
+    at = f"list_filter(range(1, len({w})), lambda i: ({w})[i] = ({w})[i + 1] AND regexp_full_match(({w})[i], '{pattern}'))"
+    return f"CASE WHEN len({at}) > 0 THEN array_to_string(list_transform(list_filter(range(1, len({w}) + 1), lambda i: i <> ({at})[1] + 1), lambda i: ({w})[i]), ' ') ELSE {c} END"
+
+
+_NE = "replace(replace(replace(text, 'एनपीआर', 'रु'), 'एन.पी.आर.', 'रु'), 'रुपैया', 'रु')"
+_NE = f"regexp_replace({_NE}, '(^|[ऀ-ॿ]|{SPACE})NPR{SPACE}*([०-९0-9])', '\\1रु \\2', 'g')"
+_NE = f"regexp_replace({_NE}, '([रु$])([०-९0-9])', '\\1 \\2', 'g')"
+_NE = f"regexp_replace({_NE}, '(^|[^\\p{{L}}\\p{{N}}_])न{SPACE}+([०-९0-9])', '\\1नं. \\2', 'g')"
+_EN = f"regexp_replace({ascii_("replace(replace(text, 'रु', 'NPR'), 'एनपीआर', 'NPR')")}, '(NPR|Rs\\.?)([0-9])', '\\1 \\2', 'g')"
+HOUSE_STYLE = f"""WITH x AS (SELECT s.id, s.source_text, d.target_lang, t.candidate_text AS text FROM segments s JOIN document_summary d ON d.id = s.document_id JOIN translations t ON t.segment_id = s.id WHERE t.candidate_text IS NOT NULL), {without_chatter('text', 'x')},
+l AS MATERIALIZED (SELECT id, source_text, text, CASE lower(target_lang) WHEN 'ne' THEN {_NE} WHEN 'en' THEN {_EN} ELSE text END AS styled FROM c7),
+o AS MATERIALIZED (SELECT *, {_once('styled', '[ऀ-ॿ]+')} AS once FROM l),
+z AS (SELECT id, text, CASE WHEN len({words('styled')}) <= 4 AND NOT {neighbours('lower(source_text)')} THEN trim(regexp_replace({_once('once', '[a-zA-Z]+')}, '{SPACE}+', ' ', 'g'), ' ') ELSE styled END AS styled FROM o)
+SELECT id, text, styled FROM z WHERE text <> styled"""
+TEXT_FUNCTIONS = rf"""SELECT id, {shown('source_text')} AS display, lower({shown('source_text')}) AS plain, regexp_replace({compatible('source_text')}, '[^\PC\n\r\t]', '', 'g') AS sanitised, regexp_matches(source_text, '[ऀ-ॿ]') AS native,
+  array_to_string({latin('source_text')}, ' ') AS latin, array_to_string(list_sort({numbers('source_text')}), ' ') AS numbers, {name('source_text')} AS name_like, {neighbours('source_text')} AS repeats FROM segments"""
+ENTITY_FORMS = f"""SELECT id, place::INTEGER AS place, kind, forms FROM (SELECT id, x.kind AS kind, array_to_string({forms('x')}, '|') AS forms, place - 1 AS place FROM (SELECT id, unnest(protected_entities) AS x, generate_subscripts(protected_entities, 1) AS place FROM segments))"""
+ENTITY_STATES = f"""WITH {pairs()}, u AS (SELECT id, t, td, ta, unnest(e) AS x, generate_subscripts(e, 1) AS place FROM p)
+SELECT id, (place - 1)::INTEGER AS place, {kept('x', 't', 'ta')} AS kept, {_far} AS shifted, {_foreign} AS foreign_script FROM u"""
+_LINES = """SELECT document_id, loc.page_index AS page, loc.block_index AS block, loc.line_index AS line, source_text AS t, loc.x0 AS x0, loc.y0 AS y0, loc.x1 AS x1, loc.y1 AS y1, loc.font_size AS font
+  FROM (SELECT document_id, source_text, location AS loc, location.kind AS kind FROM segments) WHERE kind = 'pdf_line' AND trim(source_text) <> ''"""
+_ALONE = lambda c: f"(trim({c}) = '' OR regexp_matches(trim({c}), '^#?\\p{{Nd}}+$') OR (regexp_matches(trim({c}), '^[. ·•\\-–—]+$') AND regexp_matches({c}, '[.·•]')))"
+_NEW = f"(NOT r.open OR {_ALONE('l.t')} OR l.page <> r.page OR r.n_lines >= 24 OR r.chars + length(l.t) > 2800 OR l.y0 - r.y1 > 50 OR (abs(l.x0 - r.x0) > 90 AND l.y0 - r.y1 > 0.7 * coalesce(r.font, 0)))"
+PAGE_LINES = f"""WITH l AS MATERIALIZED ({_LINES}) SELECT document_id AS doc_id, (row_number() OVER (PARTITION BY document_id ORDER BY page, block, line))::INTEGER AS region_id, 'pdf_line' AS segment_type, t AS text, 1 AS line_count FROM l QUALIFY count(*) OVER (PARTITION BY document_id) <= 180"""
+PAGE_REGIONS = f"""WITH RECURSIVE l AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY page, block, line) AS n FROM ({_LINES})),
+r AS (SELECT document_id, n, 1 AS region, 1 AS n_lines, length(t) AS chars, NOT {_ALONE('t')} AS open, page, x0, y1, font, t FROM l WHERE n = 1
+  UNION ALL SELECT l.document_id, l.n, r.region + {_NEW}::INT, CASE WHEN {_NEW} THEN 1 ELSE r.n_lines + 1 END, CASE WHEN {_NEW} THEN length(l.t) ELSE r.chars + length(l.t) END, NOT {_ALONE('l.t')}, l.page, l.x0, l.y1, l.font, l.t
+  FROM r JOIN l ON l.document_id = r.document_id AND l.n = r.n + 1)
+SELECT document_id AS doc_id, region AS region_id, CASE WHEN count(*) = 1 THEN 'pdf_line' ELSE 'pdf_text_region' END AS segment_type, count(*)::INTEGER AS line_count,
+  CASE WHEN count(*) = 1 THEN any_value(t) ELSE list_reduce(list({strip('t')} ORDER BY n), lambda a, b: CASE WHEN ends_with(a, '-') AND regexp_matches(b, '^\\p{{Ll}}') THEN left(a, length(a) - 1) || b ELSE a || ' ' || b END) END AS text FROM r GROUP BY 1, 2"""
+_BLOCKS = f"list_filter(list_transform(string_split_regex(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\\n{SPACE}*\\n+'), lambda b: array_to_string(list_filter(list_transform(string_split(b, chr(10)), lambda y: {shown('y')}), lambda y: y <> ''), ' ')), lambda b: b <> '')"
+TEXT_FILES = f"SELECT sha256(text) AS doc_id, unnest({_BLOCKS}) AS source_text, generate_subscripts({_BLOCKS}, 1)::INTEGER AS sequence FROM documents WHERE text IS NOT NULL"
+TABLE_FILES = f"""WITH x AS MATERIALIZED (SELECT s.document_id AS doc_id, s.location AS loc, s.location.kind AS kind, {shown(strip("coalesce(nullif(t.approved_text, ''), t.candidate_text, '')"))} AS v FROM segments s LEFT JOIN translations t ON t.segment_id = s.id)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY loc.row_index, loc.cell_index))::INTEGER AS sequence, v AS source_text, loc.row_index AS row_index, loc.cell_index AS cell_index FROM x WHERE kind = 'cell' AND v <> ''"""
+DOCX_FILES = f"""WITH x AS MATERIALIZED (SELECT s.document_id AS doc_id, s.sequence, s.id, s.location.kind AS kind, s.source_text, {strip("coalesce(nullif(t.approved_text, ''), t.candidate_text, '')")} AS v FROM segments s LEFT JOIN translations t ON t.segment_id = s.id),
+y AS (SELECT doc_id, sequence, id, {shown("CASE WHEN v <> '' THEN v ELSE source_text END")} AS t FROM x WHERE kind = 'paragraph')
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY sequence, id))::INTEGER AS sequence, t AS source_text FROM y WHERE t <> ''"""

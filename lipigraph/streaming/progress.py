@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import threading
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +43,43 @@ def staged(documents: DataFrame, states: DataFrame) -> DataFrame:
     return out.select("id", "s.status", "s.step", F.when(moving, F.col("_done")).alias("progress"), F.when(moving, F.col("_total")).alias("total"))
 
 
+def messages(staged: DataFrame) -> DataFrame:
+    """(id, message): the event that a client is sent of each document; fields without a value are left out."""
+    return staged.select("id", F.concat(F.lit("data: "), F.to_json(F.struct("status", "step", "progress", "total")), F.lit("\n\n")).alias("message"))
+
+
+def each_batch(stream: DataFrame, work: Callable[[DataFrame], DataFrame], schema: str) -> DataFrame:
+    """work of every batch of a stream of segments, each batch's result committed once; so much of a document shows as its batches have brought."""
+    spark = stream.sparkSession
+    root = scratch(spark, "batches")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        work(batch).write.mode("overwrite").parquet(f"{root}/out/batch={number}")
+
+    stream.writeStream.option("checkpointLocation", f"{root}/state").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    return spark.read.schema(f"{schema}, batch long").parquet(f"{root}/out").drop("batch")
+
+
+class Background:
+    """A job that runs beside its caller; a failure is its status and not the caller's."""
+
+    def __init__(self, job: Callable[[], object]) -> None:
+        self.status, self.error, self.result = "processing", None, None
+        self._thread = threading.Thread(target=self._run, args=(job,), daemon=True)
+        self._thread.start()
+
+    def _run(self, job: Callable[[], object]) -> None:
+        try:
+            self.result = job()
+            self.status = "processed"
+        except Exception as e:  # whatever it was, the job has failed and says so
+            self.status, self.error = "failed", str(e)
+
+    def wait(self, seconds: float | None = None) -> str:
+        self._thread.join(seconds)
+        return self.status
+
+
 def windowed(events: DataFrame, late: str = "2 days", width: str = "1 day") -> DataFrame:
     """Events by time window and type; rows later than the watermark allows aren't counted, repeated rows are once."""
     timed = events.withColumn("created_at", F.col("created_at").cast("timestamp")).withWatermark("created_at", late)
