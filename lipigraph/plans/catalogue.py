@@ -241,7 +241,7 @@ def entity_kinds(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "segments").where(F.size("protected_entities") > 0).select("id", E.kinds(F.col("protected_entities")).alias("kinds"), F.size("glossary_hits").cast("long").alias("n_hits"))
 
 
-@query()
+@query(oracle.detected())
 def entities_detected(spark: SparkSession, d: str) -> DataFrame:
     found = spread(table(spark, d, "segments").select("id", "source_text")).select("id", F.explode(E.detect_entities("source_text")).alias("e"))
     return found.select("id", "e.kind", "e.text", "e.start", F.col("e.end").alias("stop"))

@@ -9,6 +9,7 @@ WORD = r"[\p{L}\p{N}_]"
 NUMBER = r"[+0-9०-९]+(?:[,.\-:/][+0-9०-९]+)*"
 _WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
 _NARROW = "".join(map(chr, range(0x21, 0x7F)))
+_WIDE_DIGITS = "".join(map(chr, range(0xFF10, 0xFF1A)))
 _SPACES = "     　"
 
 
@@ -371,3 +372,31 @@ SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY loc.row_index, l
 DOCX_FILES = f"""WITH x AS MATERIALIZED (SELECT s.document_id AS doc_id, s.sequence, s.id, s.location.kind AS kind, s.source_text, {strip("coalesce(nullif(t.approved_text, ''), t.candidate_text, '')")} AS v FROM segments s LEFT JOIN translations t ON t.segment_id = s.id),
 y AS (SELECT doc_id, sequence, id, {shown("CASE WHEN v <> '' THEN v ELSE source_text END")} AS t FROM x WHERE kind = 'paragraph')
 SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY sequence, id))::INTEGER AS sequence, t AS source_text FROM y WHERE t <> ''"""
+
+
+_LETTERS = "[ªµºÀ-ÖØ-öø-ˁͰ-ͳΆΈ-ҁҊ-ԯԱ-Ֆա-ֈऄ-हऽॐक़-ॡॲ-ॿḀ-ỿＡ-Ｚａ-ｚ]"
+_AS_WORD = lambda c: f"regexp_replace({c}, '{_LETTERS}', '_', 'g')"
+#: Kinds in order of priority, each with the view of the text in which ASCII word borders are the right ones, and its pattern.
+_KINDS = [
+    ("email", "text", r"[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+"), ("url", "text", rf"(?i:https?://(?:[^\s,;\x{{0B}}\x{{1c}}-\x{{1f}}\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}])+)"),
+    ("money", "wide", rf"(?i:NPR|Rs\.?|रु\.?|\$){SPACE}?[0-9][0-9,]*(?:\.[0-9]+)?"), ("date", "word", r"\b(?:[0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}|[0-9]{1,2}[-/][0-9]{1,2}[-/][0-9]{2,4})\b"),
+    ("ward", "word", rf"(?i:\bWard{SPACE}*(?:No\.?|Number)?{SPACE}*[-:]?{SPACE}*[0-9]+\b)"), ("id", "strict", rf"(?i:\b(?:ID|Ref|Reference|Citizenship){SPACE}*(?:ID|No\.?|Number)?{SPACE}*[-:]?{SPACE}*[A-Z0-9/-]*[0-9][A-Z0-9/-]+\b)"),
+    ("id", "strict", r"\b[A-Z]{2,}(?:-[A-Z0-9]{2,})+\b"), ("phone", "digits", rf"(?:\+97{{2}}(?:-|{SPACE})?)?(?:[0-9](?:-|{SPACE})?){{7,12}}[0-9]"), ("number", "word", r"\b[0-9]+(?:[,.][0-9]+)*\b"),
+]
+
+
+def _spans(c: str, pattern: str) -> str:
+    m, parts = f"regexp_extract_all({c}, '{pattern}')", f"string_split_regex({c}, '{pattern}')"
+    before = f"(coalesce(list_sum(list_transform(range(1, k + 1), lambda j: length(({parts})[j]))), 0) + coalesce(list_sum(list_transform(range(1, k), lambda j: length(({m})[j]))), 0))::BIGINT"
+    return f"list_transform(range(1, len({m}) + 1), lambda k: {{'a': {before}, 'b': {before} + length(({m})[k])}})"
+
+
+def detected() -> str:
+    """Entities of every segment: a match counts where none of an earlier pattern, nor an earlier one of its own, touches it."""
+    views = f"""v0 AS MATERIALIZED (SELECT id, source_text AS text, {ascii_("source_text")} AS digits, translate({ascii_("source_text")}, '{_WIDE_DIGITS}', '0123456789') AS wide, {_AS_WORD(ascii_("source_text"))} AS word,
+  {_AS_WORD("regexp_replace(source_text, '[०-९]', '_', 'g')")} AS strict, []::STRUCT(kind VARCHAR, a BIGINT, b BIGINT)[] AS found FROM segments WHERE source_text IS NOT NULL)"""
+    steps = [
+        f"v{k} AS MATERIALIZED (SELECT * REPLACE (list_concat(found, list_transform(list_filter({_spans(view, pattern)}, lambda s: len(list_filter(found, lambda f: f.a < s.b AND s.a < f.b)) = 0), lambda s: {{'kind': '{kind}', 'a': s.a, 'b': s.b}})) AS found) FROM v{k - 1})"
+        for k, (kind, view, pattern) in enumerate(_KINDS, 1)
+    ]
+    return f"WITH {views}, {', '.join(steps)} SELECT id, f.kind AS kind, substr(text, f.a + 1, f.b - f.a) AS text, f.a::INTEGER AS start, f.b::INTEGER AS stop FROM (SELECT id, text, unnest(found) AS f FROM v{len(_KINDS)})"
