@@ -177,16 +177,16 @@ def house_style(source: Column, target: Column, lang: Column) -> Column:
     native = target
     for word in ("एनपीआर", "एन.पी.आर.", "रुपैया"):
         native = F.replace(native, F.lit(word), F.lit("रु"))
-    native = F.regexp_replace(native, r"(?U)(^|[ऀ-ॿ\s])NPR\s*([०-९0-9])", "$1रु $2")
+    native = F.regexp_replace(native, rf"(^|[ऀ-ॿ]|{SPACE})NPR{SPACE}*([०-९0-9])", "$1रु $2")
     native = F.regexp_replace(native, r"([रु$])([०-९0-9])", "$1 $2")
-    native = F.regexp_replace(native, EDGE_BEFORE + r"न\s+([०-९0-9])", "नं. $1")
+    native = F.regexp_replace(native, rf"{EDGE_BEFORE}न{SPACE}+([०-९0-9])", "नं. $1")
     latin = F.replace(F.replace(target, F.lit("रु"), F.lit("NPR")), F.lit("एनपीआर"), F.lit("NPR"))
     latin = F.regexp_replace(to_ascii_digits(latin), r"(NPR|Rs\.?)([0-9])", "$1 $2")
-    alone = ~neighbours_equal(F.split(F.lower(source), r"\s+"))
+    alone = ~neighbours_equal(words(F.lower(source)))
 
     def once(text: Column) -> Column:
-        short = F.size(F.filter(F.split(text, r"\s+"), lambda x: x != "")) <= 4
-        single = F.regexp_replace(F.regexp_replace(text, r"(^|\s)([ऀ-ॿ]+)\s+\2($|\s)", "$1$2$3"), r"(^|\s)([a-zA-Z]+)\s+\2($|\s)", "$1$2$3")
-        return F.when(short & alone, collapse(single)).otherwise(text)
+        twice = lambda kind: rf"(^|{SPACE})([{kind}]+){SPACE}+\2($|{SPACE})"
+        single = F.regexp_replace(F.regexp_replace(text, twice("ऀ-ॿ"), "$1$2$3"), twice("a-zA-Z"), "$1$2$3")
+        return F.when((F.size(words(text)) <= 4) & alone, F.trim(F.regexp_replace(single, f"{SPACE}+", " "))).otherwise(text)
 
     return let(F.when(F.lower(lang) == "ne", native).when(F.lower(lang) == "en", latin).otherwise(target), once)

@@ -521,8 +521,15 @@ def process_local(spark: SparkSession, d: str) -> DataFrame:
     return pipeline.settled_here(found).select("id", "text", "source_type", "risk_score", "status", "translation_status", "is_repaired")
 
 
-def _processed(spark: SparkSession, d: str, terms: DataFrame | None, translate) -> DataFrame:
-    return pipeline.process(table(spark, d, "segments"), table(spark, d, "document_summary"), terms, table(spark, d, "memory_entries"), translate)
+def _processed(spark: SparkSession, d: str, terms: DataFrame | None, translate, repair: bool = True) -> DataFrame:
+    return pipeline.process(table(spark, d, "segments"), table(spark, d, "document_summary"), terms, table(spark, d, "memory_entries"), translate, repair)
+
+
+@query(oracle.process_plain(STRUCTURAL, SCOPED))
+def process_plain(spark: SparkSession, d: str) -> DataFrame:
+    """Every segment prepared with the provider that needs no connection, with the entities and hits that it brings, without a repair: that provider has no better second answer."""
+    done = _processed(spark, d, None, pipeline.deterministic, repair=False)
+    return done.select("id", "text", "source_type", "risk_score", "status", "translation_status", "is_repaired")
 
 
 @query()

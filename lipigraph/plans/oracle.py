@@ -344,11 +344,15 @@ _NE = f"regexp_replace({_NE}, '(^|[ऀ-ॿ]|{SPACE})NPR{SPACE}*([०-९0-9])',
 _NE = f"regexp_replace({_NE}, '([रु$])([०-९0-9])', '\\1 \\2', 'g')"
 _NE = f"regexp_replace({_NE}, '(^|[^\\p{{L}}\\p{{N}}_])न{SPACE}+([०-९0-9])', '\\1नं. \\2', 'g')"
 _EN = f"regexp_replace({ascii_("replace(replace(text, 'रु', 'NPR'), 'एनपीआर', 'NPR')")}, '(NPR|Rs\\.?)([0-9])', '\\1 \\2', 'g')"
+def styled(source: str) -> str:
+    """Common table expressions that end in z over a table (id, source_text, text, target_lang and more): z adds styled."""
+    return f"""l AS MATERIALIZED (SELECT *, CASE lower(target_lang) WHEN 'ne' THEN {_NE} WHEN 'en' THEN {_EN} ELSE text END AS plain_style FROM {source}),
+o AS MATERIALIZED (SELECT *, {_once('plain_style', '[ऀ-ॿ]+')} AS once FROM l),
+z AS MATERIALIZED (SELECT *, CASE WHEN len({words('plain_style')}) <= 4 AND NOT {neighbours('lower(source_text)')} THEN trim(regexp_replace({_once('once', '[a-zA-Z]+')}, '{SPACE}+', ' ', 'g'), ' ') ELSE plain_style END AS styled FROM o)"""
+
+
 HOUSE_STYLE = f"""WITH x AS (SELECT s.id, s.source_text, d.target_lang, t.candidate_text AS text FROM segments s JOIN document_summary d ON d.id = s.document_id JOIN translations t ON t.segment_id = s.id WHERE t.candidate_text IS NOT NULL), {without_chatter('text', 'x')},
-l AS MATERIALIZED (SELECT id, source_text, text, CASE lower(target_lang) WHEN 'ne' THEN {_NE} WHEN 'en' THEN {_EN} ELSE text END AS styled FROM c7),
-o AS MATERIALIZED (SELECT *, {_once('styled', '[ऀ-ॿ]+')} AS once FROM l),
-z AS (SELECT id, text, CASE WHEN len({words('styled')}) <= 4 AND NOT {neighbours('lower(source_text)')} THEN trim(regexp_replace({_once('once', '[a-zA-Z]+')}, '{SPACE}+', ' ', 'g'), ' ') ELSE styled END AS styled FROM o)
-SELECT id, text, styled FROM z WHERE text <> styled"""
+{styled('c7')} SELECT id, text, styled FROM z WHERE text <> styled"""
 TEXT_FUNCTIONS = rf"""SELECT id, {shown('source_text')} AS display, lower({shown('source_text')}) AS plain, regexp_replace({compatible('source_text')}, '[^\PC\n\r\t]', '', 'g') AS sanitised, regexp_matches(source_text, '[ऀ-ॿ]') AS native,
   array_to_string({latin('source_text')}, ' ') AS latin, array_to_string(list_sort({numbers('source_text')}), ' ') AS numbers, {name('source_text')} AS name_like, {neighbours('source_text')} AS repeats FROM segments"""
 ENTITY_FORMS = f"""SELECT id, place::INTEGER AS place, kind, forms FROM (SELECT id, x.kind AS kind, array_to_string({forms('x')}, '|') AS forms, place - 1 AS place FROM (SELECT id, unnest(protected_entities) AS x, generate_subscripts(protected_entities, 1) AS place FROM segments))"""
@@ -400,3 +404,39 @@ def detected() -> str:
         for k, (kind, view, pattern) in enumerate(_KINDS, 1)
     ]
     return f"WITH {views}, {', '.join(steps)} SELECT id, f.kind AS kind, substr(text, f.a + 1, f.b - f.a) AS text, f.a::INTEGER AS start, f.b::INTEGER AS stop FROM (SELECT id, text, unnest(found) AS f FROM v{len(_KINDS)})"
+
+
+def scoring(name: str, source: str, text: str, lang: str) -> str:
+    """Common table expressions that end in name (id, score) over a table (id, source_text, e, h and more)."""
+    return f"""{name}0 AS (SELECT id, source_text AS s, {text} AS t, lower({lang}) AS lang, e, h FROM {source}),
+{name}1 AS MATERIALIZED (SELECT *, lower(s) AS sl, lower(t) AS tl, {strip('s')} AS ss, {strip('t')} AS ts, {shown('s')} AS sd, {shown('t')} AS td, {words('lower(t)')} AS lw FROM {name}0),
+{name}2 AS MATERIALIZED (SELECT *, lower(td) AS tp, {ascii_('td')} AS ta, {_near('sd')} AS ns, {_near('td')} AS nt FROM {name}1),
+{name} AS MATERIALIZED (SELECT id, CASE WHEN ts = '' AND ss <> '' THEN 10.0 ELSE ({' + '.join(f'({n})' for n in ALL.values())})::DOUBLE END AS score FROM {name}2)"""
+
+
+def _fold(step: str, start: str) -> str:
+    """A text that each entity changes in turn; step names the text acc.t and the entity's x.kind and x.own."""
+    return f"list_reduce(list_transform(e, lambda y: {{'t': '', 'kind': y.kind, 'own': coalesce(y.text, '')}}), lambda acc, x: {{'t': {step}, 'kind': '', 'own': ''}}, {{'t': {start}, 'kind': '', 'own': ''}}).t"
+
+
+def process_plain(structural: str, scoped: str) -> str:
+    """Every segment prepared with the provider that needs no connection and without a repair."""
+    local = settled_here(structural, scoped)
+    digits = lambda c: f"regexp_replace({ascii_(c)}, '[^0-9]', '', 'g')"
+    lost = f"NOT contains({ascii_('acc.t')}, {ascii_('x.own')})"
+    taken = f"(x.kind IN ('phone', 'id') AND length(acc.t) < 2 * length(x.own)) OR ({digits('x.own')} <> '' AND contains({digits('acc.t')}, {digits('x.own')}) AND length(acc.t) < 1.5 * length(x.own))"
+    restore = f"CASE WHEN x.kind NOT IN ('url', 'email', 'phone', 'id') OR x.own = '' THEN acc.t WHEN {lost} THEN CASE WHEN {taken} THEN x.own ELSE acc.t END WHEN x.kind IN ('url', 'email') THEN replace(acc.t, {native('x.own')}, x.own) ELSE acc.t END"
+    latin = f"CASE WHEN x.kind IN ('url', 'email') AND x.own <> '' THEN replace(acc.t, {native('x.own')}, x.own) ELSE acc.t END"
+    return f"""WITH {scoped}, lab AS (SELECT *, {structural} AS label, lower({shown('source_text')}) AS key FROM scoped),
+act AS (SELECT * FROM memory_entries WHERE is_active QUALIFY row_number() OVER (PARTITION BY source_lang, target_lang, domain, subdomain, normalized_source ORDER BY coalesce(approved_at, TIMESTAMP '1970-01-01') DESC, id DESC) = 1),
+wk AS MATERIALIZED (SELECT lab.id, lab.source_text, lab.target_lang, coalesce(det.translated_text, '') AS raw, {native('lab.source_text')} AS own, coalesce(glossary_hits, []) AS h,
+  list_transform(coalesce(protected_entities, []), lambda x: {{'kind': x.kind, 'text': x.text, 'start': x.start, 'end': x."end", 'target_term': x.target_term, 'segment_source_len': length(lab.source_text)}}) AS e
+  FROM lab JOIN ({DETERMINISTIC}) det ON det.id = lab.id LEFT JOIN act ON act.source_lang = lab.source_lang AND act.target_lang = lab.target_lang AND act.domain = lab.domain AND act.subdomain = lab.subdomain AND act.normalized_source = lab.key WHERE label IS NULL AND act.id IS NULL),
+{scoring('sr', 'wk', 'raw', "'en'")}, {scoring('so', 'wk', 'own', "'en'")},
+re AS MATERIALIZED (SELECT wk.*, sr.score AS raw_score, so.score AS own_score, {_fold(restore, 'raw')} AS restored FROM wk JOIN sr ON sr.id = wk.id JOIN so ON so.id = wk.id),
+fi AS MATERIALIZED (SELECT *, CASE WHEN lower(target_lang) = 'en' THEN {ascii_('restored')} ELSE {_fold(latin, native('restored'))} END AS final FROM re),
+st AS MATERIALIZED (SELECT id, source_text, target_lang, e, h, CASE WHEN raw_score = 0 THEN raw WHEN own <> source_text AND own_score < raw_score THEN own ELSE final END AS text, raw_score <> 0 AND (own <> source_text AND own_score < raw_score OR final <> raw) AS changed FROM fi),
+{without_chatter('text', 'st')}, {scoring('sc', 'c7', 'text', 'target_lang')}, {styled('c7')}, {scoring('sy', 'z', 'styled', 'target_lang')},
+done AS (SELECT z.id, styled AS text, CASE WHEN styled <> text THEN sy.score ELSE sc.score END AS score, changed OR styled <> text AS is_repaired FROM z JOIN sc ON sc.id = z.id JOIN sy ON sy.id = z.id)
+SELECT id, text, 'provider' AS source_type, score AS risk_score, CASE WHEN score > 0 THEN 'needs_review' ELSE 'pending' END AS status, CASE WHEN score > 0 THEN 'needs_review' ELSE 'candidate' END AS translation_status, is_repaired FROM done
+UNION ALL SELECT * FROM ({local})"""
