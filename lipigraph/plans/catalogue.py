@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lipigraph.functions import entities as E
+from lipigraph.functions import register
 from lipigraph.functions import rules as R
 from lipigraph.functions import text as T
 from lipigraph.functions import values
@@ -50,6 +52,14 @@ def _scoped(spark: SparkSession, d: str) -> DataFrame:
     return joins.scoped(table(spark, d, "segments"), table(spark, d, "document_summary"))
 
 
+def _current(spark: SparkSession, d: str) -> DataFrame:
+    """The same with the normal form of the text as it is now; a stored one may be stale."""
+    return _scoped(spark, d).withColumn("normalized_source", T.normalize_text("source_text"))
+
+
+CURRENT = f"current AS (SELECT * REPLACE (lower({oracle.shown('source_text')}) AS normalized_source) FROM scoped)"
+
+
 @query(f"""WITH t AS (SELECT segment_id, status AS t_status, {EFFECTIVE} AS effective, len(risk_reasons) AS n_reasons FROM translations)
 SELECT document_id, count(*) AS total, count(*) FILTER (status = 'approved') AS approved, count(*) FILTER (t_status = 'memory_applied') AS memory_reused,
   sum(CASE WHEN coalesce(effective, '') <> '' THEN coalesce(len(protected_entities), 0) ELSE 0 END)::BIGINT AS protected_total,
@@ -157,16 +167,16 @@ def glossary_hits(spark: SparkSession, d: str) -> DataFrame:
     return joins.glossary_hits(_scoped(spark, d), table(spark, d, "glossary_terms"))
 
 
-@query(f"""WITH {SCOPED}, {ACTIVE} SELECT s.id, a.id AS memory_id, a.target_text AS memory_text FROM scoped s JOIN active a
+@query(f"""WITH {SCOPED}, {CURRENT}, {ACTIVE} SELECT s.id, a.id AS memory_id, a.target_text AS memory_text FROM current s JOIN active a
   ON s.source_lang = a.source_lang AND s.target_lang = a.target_lang AND s.domain = a.domain AND s.subdomain = a.subdomain AND s.normalized_source = a.normalized_source""")
 def memory_lookup(spark: SparkSession, d: str) -> DataFrame:
-    return joins.memory_lookup(_scoped(spark, d), table(spark, d, "memory_entries")).select("id", "memory_id", "memory_text")
+    return joins.memory_lookup(_current(spark, d), table(spark, d, "memory_entries")).select("id", "memory_id", "memory_text")
 
 
-@query(f"""WITH {SCOPED}, {ACTIVE}, s AS (SELECT *, {STRUCTURAL} AS label FROM scoped)
+@query(f"""WITH {SCOPED}, {CURRENT}, {ACTIVE}, s AS (SELECT *, {STRUCTURAL} AS label FROM current)
 SELECT id FROM s WHERE label IS NULL AND NOT EXISTS (SELECT 1 FROM active a WHERE s.source_lang = a.source_lang AND s.target_lang = a.target_lang AND s.domain = a.domain AND s.subdomain = a.subdomain AND s.normalized_source = a.normalized_source)""")
 def provider_work_list(spark: SparkSession, d: str) -> DataFrame:
-    return joins.work_list(_scoped(spark, d), table(spark, d, "memory_entries")).select("id")
+    return joins.work_list(_current(spark, d), table(spark, d, "memory_entries")).select("id")
 
 
 @query("""SELECT document_id, source_text, count(*) AS n, count(*) FILTER (status <> 'approved') AS n_open FROM segments GROUP BY 1, 2 HAVING count(*) > 1 AND count(*) FILTER (status <> 'approved') > 0""")
@@ -631,7 +641,7 @@ def page_lines(spark: SparkSession, d: str) -> DataFrame:
 @query(oracle.PAGE_REGIONS)
 def page_regions(spark: SparkSession, d: str) -> DataFrame:
     """Their regions, as those of a long document."""
-    return regions.regions(_page_lines(spark, d), few=0).select("doc_id", "region_id", "segment_type", "text", "line_count")
+    return regions.regions(_page_lines(spark, d), few=0).select("doc_id", "region_id", "segment_type", "text", "line_count", *(F.round(c, 4).alias(c) for c in ("x0", "y0", "x1", "y1")))
 
 
 @query(oracle.TEXT_FILES)
@@ -694,3 +704,53 @@ def stream_process_local(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""SELECT id, 'data: {{"status":"' || status || '"' || coalesce(',"step":"' || step || '"', '') || coalesce(',"progress":' || progress, '') || coalesce(',"total":' || total, '') || '}}' || chr(10) || chr(10) AS message FROM ({_STAGED})""")
 def progress_messages(spark: SparkSession, d: str) -> DataFrame:
     return progress.messages(document_progress(spark, d))
+
+
+@query(f"""SELECT s.id, {oracle.shown('source_text')} AS shown, lower({oracle.shown('source_text')}) AS plain, translate(source_text, '0123456789', '०१२३४५६७८९') AS native, coalesce(n, 0)::INTEGER AS n_entities
+FROM segments s LEFT JOIN (SELECT id, count(*) AS n FROM ({oracle.detected()}) GROUP BY 1) e ON e.id = s.id""")
+def sql_functions(spark: SparkSession, d: str) -> DataFrame:
+    """The registered functions, called from SQL."""
+    register.register(spark)
+    table(spark, d, "segments").createOrReplaceTempView("lipigraph_segments")
+    return spark.sql("SELECT id, display_normalize(source_text) AS shown, normalize_text(source_text) AS plain, to_native_digits(source_text) AS native, size(detect_entities(source_text)) AS n_entities FROM lipigraph_segments")
+
+
+@query(oracle.TEXT_BLOCKS)
+def sql_table_function(spark: SparkSession, d: str) -> DataFrame:
+    """The registered table function, called from SQL."""
+    register.register(spark)
+    table(spark, d, "documents").where("text IS NOT NULL").createOrReplaceTempView("lipigraph_documents")
+    return spark.sql("SELECT doc_id, b.sequence, b.source_text FROM lipigraph_documents, LATERAL segment_text(text) b")
+
+
+@query("""SELECT id, len(list_filter(protected_entities, lambda a: len(list_filter(protected_entities, lambda b: a.start < b."end" AND b.start < a."end" AND (a.start <> b.start OR a."end" <> b."end"))) > 0)) > 0 AS overlaps FROM segments WHERE len(protected_entities) > 0""")
+def overlapping_entities(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "segments").where(F.size("protected_entities") > 0).select("id", E.overlapping(F.col("protected_entities")).alias("overlaps"))
+
+
+@query("SELECT segment_id, translated_text, provider_tier, coalesce(nullif(trim(translated_text), ''), nullif(trim(provider_tier), '')) AS text FROM translation_results")
+def response_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The text of answers as a provider's JSON: a known key, else the first value that isn't blank."""
+    payload = F.to_json(F.struct(F.col("provider_tier").alias("tier"), F.col("translated_text").alias("output")))
+    return table(spark, d, "translation_results").select("segment_id", "translated_text", "provider_tier", providers.response_text(payload).alias("text"))
+
+
+@query("SELECT segment_id, CASE WHEN status = 'needs_review' THEN '*' || candidate_text ELSE candidate_text END AS candidate_text FROM translations")
+def translations_upserted(spark: SparkSession, d: str) -> DataFrame:
+    """Translations after new candidates of those in review are written over them."""
+    old = table(spark, d, "translations").select("segment_id", "candidate_text", "status")
+    new = old.where("status = 'needs_review'").withColumn("candidate_text", F.concat(F.lit("*"), F.col("candidate_text")))
+    return review.upsert(old, new, ["segment_id"]).select("segment_id", "candidate_text")
+
+
+@query("""WITH gone AS (SELECT id FROM document_summary WHERE status = 'exported'), s AS (SELECT id FROM segments WHERE document_id NOT IN (SELECT id FROM gone))
+SELECT 'documents' AS name, count(*) AS n, 0 AS cleared FROM document_summary WHERE status <> 'exported' UNION ALL SELECT 'segments', count(*), 0 FROM s UNION ALL SELECT 'translations', count(*), 0 FROM translations WHERE segment_id IN (SELECT id FROM s)
+UNION ALL SELECT 'review_events', count(*), 0 FROM review_events WHERE document_id NOT IN (SELECT id FROM gone) UNION ALL SELECT 'memory_entries', count(*), count(*) FILTER (created_from_document_id IN (SELECT id FROM gone)) FROM memory_entries""")
+def documents_deleted(spark: SparkSession, d: str) -> DataFrame:
+    """What is left of each table after the exported documents are deleted, and the memory entries that lost their origin."""
+    tables = {"documents": table(spark, d, "document_summary"), **{t: table(spark, d, t) for t in ("segments", "translations", "review_events", "memory_entries")}}
+    gone = tables["documents"].where("status = 'exported'").select(F.col("id").alias("document_id"))
+    left = review.without_documents(tables, gone)
+    rows = [t.agg(F.lit(k).alias("name"), F.count(F.lit(1)).alias("n"), (F.count_if(F.col("created_from_document_id").isNull()) if k == "memory_entries" else F.lit(0).cast("long")).alias("cleared")) for k, t in left.items()]
+    had = tables["memory_entries"].agg(F.count_if(F.col("created_from_document_id").isNull()).alias("had"))
+    return reduce(DataFrame.unionByName, rows).crossJoin(F.broadcast(had)).select("name", "n", F.when(F.col("name") == "memory_entries", F.col("cleared") - F.col("had")).otherwise(F.col("cleared")).alias("cleared"))  # had is one row

@@ -364,13 +364,14 @@ _ALONE = lambda c: f"(trim({c}) = '' OR regexp_matches(trim({c}), '^#?\\p{{Nd}}+
 _NEW = f"(NOT r.open OR {_ALONE('l.t')} OR l.page <> r.page OR r.n_lines >= 24 OR r.chars + length(l.t) > 2800 OR l.y0 - r.y1 > 50 OR (abs(l.x0 - r.x0) > 90 AND l.y0 - r.y1 > 0.7 * coalesce(r.font, 0)))"
 PAGE_LINES = f"""WITH l AS MATERIALIZED ({_LINES}) SELECT document_id AS doc_id, (row_number() OVER (PARTITION BY document_id ORDER BY page, block, line))::INTEGER AS region_id, 'pdf_line' AS segment_type, t AS text, 1 AS line_count FROM l QUALIFY count(*) OVER (PARTITION BY document_id) <= 180"""
 PAGE_REGIONS = f"""WITH RECURSIVE l AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY page, block, line) AS n FROM ({_LINES})),
-r AS (SELECT document_id, n, 1 AS region, 1 AS n_lines, length(t) AS chars, NOT {_ALONE('t')} AS open, page, x0, y1, font, t FROM l WHERE n = 1
-  UNION ALL SELECT l.document_id, l.n, r.region + {_NEW}::INT, CASE WHEN {_NEW} THEN 1 ELSE r.n_lines + 1 END, CASE WHEN {_NEW} THEN length(l.t) ELSE r.chars + length(l.t) END, NOT {_ALONE('l.t')}, l.page, l.x0, l.y1, l.font, l.t
+r AS (SELECT document_id, n, 1 AS region, 1 AS n_lines, length(t) AS chars, NOT {_ALONE('t')} AS open, page, x0, y0, x1, y1, font, t FROM l WHERE n = 1
+  UNION ALL SELECT l.document_id, l.n, r.region + {_NEW}::INT, CASE WHEN {_NEW} THEN 1 ELSE r.n_lines + 1 END, CASE WHEN {_NEW} THEN length(l.t) ELSE r.chars + length(l.t) END, NOT {_ALONE('l.t')}, l.page, l.x0, l.y0, l.x1, l.y1, l.font, l.t
   FROM r JOIN l ON l.document_id = r.document_id AND l.n = r.n + 1)
 SELECT document_id AS doc_id, region AS region_id, CASE WHEN count(*) = 1 THEN 'pdf_line' ELSE 'pdf_text_region' END AS segment_type, count(*)::INTEGER AS line_count,
-  CASE WHEN count(*) = 1 THEN any_value(t) ELSE list_reduce(list({strip('t')} ORDER BY n), lambda a, b: CASE WHEN ends_with(a, '-') AND regexp_matches(b, '^\\p{{Ll}}') THEN left(a, length(a) - 1) || b ELSE a || ' ' || b END) END AS text FROM r GROUP BY 1, 2"""
+  CASE WHEN count(*) = 1 THEN any_value(t) ELSE list_reduce(list({strip('t')} ORDER BY n), lambda a, b: CASE WHEN ends_with(a, '-') AND regexp_matches(b, '^\\p{{Ll}}') THEN left(a, length(a) - 1) || b ELSE a || ' ' || b END) END AS text, round(min(x0), 4) AS x0, round(min(y0), 4) AS y0, round(max(x1), 4) AS x1, round(max(y1), 4) AS y1 FROM r GROUP BY 1, 2"""
 _BLOCKS = f"list_filter(list_transform(string_split_regex(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\\n{SPACE}*\\n+'), lambda b: array_to_string(list_filter(list_transform(string_split(b, chr(10)), lambda y: {shown('y')}), lambda y: y <> ''), ' ')), lambda b: b <> '')"
 TEXT_FILES = f"SELECT sha256(text) AS doc_id, unnest({_BLOCKS}) AS source_text, generate_subscripts({_BLOCKS}, 1)::INTEGER AS sequence FROM documents WHERE text IS NOT NULL"
+TEXT_BLOCKS = f"SELECT doc_id, unnest({_BLOCKS}) AS source_text, generate_subscripts({_BLOCKS}, 1)::INTEGER AS sequence FROM documents WHERE text IS NOT NULL"
 TABLE_FILES = f"""WITH x AS MATERIALIZED (SELECT s.document_id AS doc_id, s.location AS loc, s.location.kind AS kind, {shown(strip("coalesce(nullif(t.approved_text, ''), t.candidate_text, '')"))} AS v FROM segments s LEFT JOIN translations t ON t.segment_id = s.id)
 SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY loc.row_index, loc.cell_index))::INTEGER AS sequence, v AS source_text, loc.row_index AS row_index, loc.cell_index AS cell_index FROM x WHERE kind = 'cell' AND v <> ''"""
 DOCX_FILES = f"""WITH x AS MATERIALIZED (SELECT s.document_id AS doc_id, s.sequence, s.id, s.location.kind AS kind, s.source_text, {strip("coalesce(nullif(t.approved_text, ''), t.candidate_text, '')")} AS v FROM segments s LEFT JOIN translations t ON t.segment_id = s.id),
