@@ -105,22 +105,37 @@ def number_in(text: Column) -> Column:
 
 def forms(e: Column) -> Column:
     """Spellings of an entity that count as kept, the plain ones first."""
-    text, n = F.coalesce(e["text"], F.lit("")), number_in(e["text"])
-    localised = lambda forms: F.array(text, T.to_native_digits(text), *(F.concat(*(T.to_native_digits(n) if x == "{n}" else n if x == "{a}" else F.lit(x) for x in re.split(r"({\w})", f) if x)) for f in forms))
+    return _forms(e, lambda x: x)
+
+
+def shown_forms(e: Column) -> Column:
+    """The same in display form, which the spellings that are made of digits and labels have anyway."""
+    return _forms(e, T.display_normalize)
+
+
+def _forms(e: Column, shown) -> Column:
+    text = F.coalesce(e["text"], F.lit(""))
+    plain = F.array(shown(text), shown(T.to_native_digits(text)))
+
+    def labelled(templates: list[str]) -> Column:
+        part = lambda x, n: T.to_native_digits(n) if x == "{n}" else n if x == "{a}" else F.lit(x)
+        made = lambda n: F.array(*(F.concat(*(part(x, n) for x in re.split(r"({\w})", f) if x)) for f in templates))
+        return F.concat(plain, T.let(number_in(e["text"]), lambda n: F.when(n == "", F.array().cast("array<string>")).otherwise(made(n))))
+
     return (
-        F.when(e["kind"] == "office", F.array(F.coalesce(F.nullif(e["target_term"], F.lit("")), text)))
-        .when(e["kind"].isin(*VERBATIM), F.array(text))
-        .when((e["kind"] == "money") & (n != ""), localised(MONEY_FORMS))
-        .when((e["kind"] == "ward") & (n != ""), localised(WARD_FORMS))
-        .otherwise(F.array(text, T.to_native_digits(text)))
+        F.when(e["kind"] == "office", F.array(shown(F.coalesce(F.nullif(e["target_term"], F.lit("")), text))))
+        .when(e["kind"].isin(*VERBATIM), F.array(shown(text)))
+        .when(e["kind"] == "money", labelled(MONEY_FORMS))
+        .when(e["kind"] == "ward", labelled(WARD_FORMS))
+        .otherwise(plain)
     )
 
 
-def is_kept(e: Column, shown: Column, numbers: Column) -> Column:
-    """Whether a target keeps an entity. shown: its display form in ASCII digits; numbers: its numbers. A number may be part of a longer list of numbers; digits count alike in both scripts."""
+def is_kept(e: Column, shown: Column, numbers: Column, forms_shown: Column | None = None) -> Column:
+    """Whether a target keeps an entity. shown: its display form in ASCII digits; numbers: its numbers; forms_shown: shown_forms(), where the caller has them. A number may be part of a longer list of numbers; digits count alike in both scripts."""
     own = T.numbers(F.coalesce(e["text"], F.lit("")))
-    some = F.exists(forms(e), lambda v: F.contains(shown, T.to_ascii_digits(T.display_normalize(v))))
-    return F.when(e["kind"] == "number", (F.size(own) > 0) & (F.size(F.array_except(own, numbers)) == 0)).otherwise(some)
+    some = F.exists(shown_forms(e) if forms_shown is None else forms_shown, lambda v: F.contains(shown, T.to_ascii_digits(v)))
+    return F.when(e["kind"] == "number", T.let(own, lambda n: (F.size(n) > 0) & (F.size(F.array_except(n, numbers)) == 0))).otherwise(some)
 
 
 def count_kept(entities: Column, target: Column) -> Column:

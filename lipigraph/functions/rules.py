@@ -67,7 +67,8 @@ def has_any(text: Column, words: list[str]) -> Column:
 
 
 def has_word(text: Column, words: list[str]) -> Column:
-    return text.rlike(T.EDGE_BEFORE + "(?:" + "|".join(words) + ")" + T.EDGE_AFTER)
+    # Looking for the letters is much cheaper than for their borders.
+    return has_any(text, words) & text.rlike(T.EDGE_BEFORE + "(?:" + "|".join(words) + ")" + T.EDGE_AFTER)
 
 
 def differ(a: Column, b: Column) -> Column:
@@ -94,12 +95,18 @@ def dates(text: Column) -> Column:
 
 
 def negatives(text: Column, words: list[str], english: bool) -> Column:
-    w = T.words(F.lower(text))
-    plain = F.size(F.filter(w, lambda x: x.isin(words)))
-    if not english:
-        return plain
-    prefixed = F.filter(w, lambda x: (F.length(x) > 4) & x.rlike("^(?:" + "|".join(NEGATIVE_PREFIXES) + ")") & ~x.isin(NOT_NEGATIVE) & ~x.isin(words))
-    return plain + F.size(prefixed)
+    """Words that negate; in English those that begin like a negation too."""
+    by_length: dict[int, list[str]] = {}
+    for x in NEGATIVE_PREFIXES:
+        by_length.setdefault(len(x), []).append(x)
+
+    def counts(x: Column) -> Column:
+        begins = F.lit(False)
+        for n, prefixes in by_length.items():
+            begins = begins | F.substring(x, 1, n).isin(prefixes)
+        return x.isin(words) | ((F.length(x) > 4) & begins & ~x.isin(NOT_NEGATIVE)) if english else x.isin(words)
+
+    return F.size(F.filter(T.words(F.lower(text)), counts))
 
 
 def name_like(text: Column) -> Column:
@@ -138,13 +145,19 @@ def swapped(mine: Column, theirs: Column) -> Column:
 def state_of(e: Column, target: Column, shown: Column, shown_ascii: Column, numbers: Column) -> Column:
     """(kept, shifted, foreign): whether the target keeps an entity, far from its place, and in a script it should have left."""
     text = F.coalesce(e["text"], F.lit(""))
-    found = F.get(F.filter(F.transform(E.forms(e), lambda v: T.display_normalize(v)), lambda v: (v != "") & F.contains(shown, v)), F.lit(0))
-    at = F.when(found.isNotNull(), F.instr(shown, found)).otherwise(F.instr(shown_ascii, T.to_ascii_digits(text))) - 1
-    foreign = F.when(found.isNotNull(), ~T.contains_devanagari(found) & (T.to_native_digits(found) != found) & ~e["kind"].isin(*E.VERBATIM)).otherwise((at >= 0) & (T.to_native_digits(text) != text))
-    whole = F.coalesce(F.nullif(e["segment_source_len"], F.lit(0)), F.nullif(F.length(target), F.lit(0)), F.lit(100))
-    far = F.abs(F.coalesce(e["start"], F.lit(0)) / whole - at / F.greatest(F.length(shown), F.lit(1))) > F.when(F.length(shown) < 60, 0.75).otherwise(0.6)
     told = (text != "") & (target != "")
-    return F.struct(E.is_kept(e, shown_ascii, numbers).alias("kept"), (told & (at >= 0) & far).alias("shifted"), (told & foreign).alias("foreign"))
+
+    def of(forms: Column) -> Column:
+        found = F.get(F.filter(forms, lambda v: (v != "") & F.contains(shown, v)), F.lit(0))
+        return T.let(F.struct(F.coalesce(found, F.lit("")).alias("form"), (F.when(found.isNotNull(), F.instr(shown, found)).otherwise(F.instr(shown_ascii, T.to_ascii_digits(text))) - 1).alias("at")), lambda x: judged(forms, x["form"], x["at"]))
+
+    def judged(forms: Column, form: Column, at: Column) -> Column:
+        foreign = F.when(form != "", ~T.contains_devanagari(form) & (T.to_native_digits(form) != form) & ~e["kind"].isin(*E.VERBATIM)).otherwise((at >= 0) & (T.to_native_digits(text) != text))
+        whole = F.coalesce(F.nullif(e["segment_source_len"], F.lit(0)), F.nullif(F.length(target), F.lit(0)), F.lit(100))
+        far = F.abs(F.coalesce(e["start"], F.lit(0)) / whole - at / F.greatest(F.length(shown), F.lit(1))) > F.when(F.length(shown) < 60, 0.75).otherwise(0.6)
+        return F.struct(E.is_kept(e, shown_ascii, numbers, forms).alias("kept"), (told & (at >= 0) & far).alias("shifted"), (told & foreign).alias("foreign"))
+
+    return T.let(E.shown_forms(e), of)
 
 
 def left_over(source: Column, target_plain: Column, entities: Column, hits: Column) -> Column:
@@ -169,7 +182,7 @@ def reordered(names: Column, shown: Column) -> Column:
         placed = F.array_sort(F.transform(F.filter(p, lambda n: F.contains(shown, n)), lambda n: F.struct(F.instr(shown, n).alias("at"), n.alias("n"))))
         return (F.size(p) >= 2) & (F.size(placed) == F.size(p)) & (F.transform(placed, lambda x: x["n"]) != p)
 
-    return (F.size(F.array_distinct(names)) >= 2) & T.let(present, changed)
+    return (F.size(names) >= 2) & shown.rlike("[A-Za-z]") & (F.size(F.array_distinct(names)) >= 2) & T.let(present, changed)
 
 
 def prepared(pairs: DataFrame, source: str, target: str, lang: Column, entities: str | None = None, hits: str | None = None) -> DataFrame:
@@ -191,15 +204,20 @@ def _parts(context: int) -> list[dict[str, Column]]:
     c = F.col
     first = {"_sl": F.lower("_s"), "_tl": F.lower("_t"), "_ss": T.strip(c("_s")), "_ts": T.strip(c("_t")), "_sd": T.display_normalize("_s"), "_td": T.display_normalize("_t")}
     # Numbers can be exchanged where both sides have two and the source names what one of them is.
-    swappable = (F.size(T.numbers(c("_sd"))) >= 2) & (F.size(T.numbers(c("_td"))) >= 2) & has_any(c("_sl"), [w for a, _ in LANDMARKS for w in a])
+    swappable = (F.regexp_count(c("_sd"), F.lit("[0-9०-९]+")) >= 2) & has_any(c("_sl"), [w for a, _ in LANDMARKS for w in a]) & (F.size(T.numbers(c("_sd"))) >= 2) & (F.size(T.numbers(c("_td"))) >= 2)
     second = {
             "_swappable": swappable,
             "_tp": T.casefold(c("_td")), "_ta": T.to_ascii_digits(c("_td")), "_sn": T.numbers(c("_s")), "_tn": T.numbers(c("_t")), "_sw": T.word_count(c("_s")), "_tw": T.word_count(c("_t")),
             "_slatin": T.latin_tokens(c("_sl")), "_tlatin": T.latin_tokens(c("_tl")), "_names": F.filter(T.latin_tokens(c("_s")), lambda w: ~w.isin(NO_NAMES)),
-            "_near_s": F.when(swappable, near_numbers(c("_sd"))), "_near_t": F.when(swappable, near_numbers(c("_td"))),
     }
-    third = {"_state": F.transform("_e", lambda e: state_of(e, c("_t"), c("_td"), c("_ta"), c("_tn"))), "_left": left_over(c("_s"), c("_tp"), c("_e"), c("_h")), "_swapped": F.when(c("_swappable"), swapped(c("_near_s"), c("_near_t"))).otherwise(F.array().cast("array<string>"))}
-    return [first, second, third]
+    third = {
+        "_near_s": F.when(c("_swappable"), near_numbers(c("_sd"))), "_near_t": F.when(c("_swappable"), near_numbers(c("_td"))),
+        "_state": F.transform("_e", lambda e: state_of(e, c("_t"), c("_td"), c("_ta"), c("_tn"))),
+        # Where the target has no Latin word of the source there is none to look for.
+        "_left": F.when(F.exists("_slatin", lambda w: F.contains(c("_tp"), w)), left_over(c("_s"), c("_tp"), c("_e"), c("_h"))).otherwise(F.array().cast("array<string>")),
+    }
+    fourth = {"_swapped": F.when(c("_swappable"), swapped(c("_near_s"), c("_near_t"))).otherwise(F.array().cast("array<string>"))}
+    return [first, second, third, fourth]
 
 
 def rules() -> list[Rule]:
@@ -269,7 +287,7 @@ def _rules(context: int) -> list[Rule]:
         *(Rule("forbidden_term", severity, once(t.rlike(f"(?iu){T.EDGE_BEFORE}{term}{T.EDGE_AFTER}")), "Term not in use") for term, severity in FORBIDDEN),
         Rule("logical_flow_broken", "medium", once(*(has_word(sl, a) & ~has_any(td, b) for a, b in CONNECTIVES)), "Connective lost"),
         Rule("identity_swap", "high", once(reordered(F.col("_names"), td)), "Names in another order"),
-        Rule("anchor_mismatch", "high", once(*((F.size(anchored(sl, a)) > 0) & (F.size(anchored(td, b)) > 0) & differ(anchored(sl, a), anchored(td, b)) for a, b in ANCHORS)), "Value beside a label differs"),
+        Rule("anchor_mismatch", "high", once(*(has_any(sl, a) & has_any(td, b) & (F.size(anchored(sl, a)) > 0) & (F.size(anchored(td, b)) > 0) & differ(anchored(sl, a), anchored(td, b)) for a, b in ANCHORS)), "Value beside a label differs"),
         Rule("missing_landmark", "high", once(*(has_any(sl, [f"[{w}]" for w in a] + [f"({w})" for w in a]) & ~has_any(td, b) for a, b in LANDMARKS)), "Official mark lost"),
         Rule("certification_missing", "high", once(has_any(sl, ["verified", "certified"]) & ~F.contains(t, F.lit("प्रमाणित"))), "Certification lost"),
         Rule("date_conversion_risk", "high", once(latin_year & native_year), "Year of another calendar"),

@@ -49,8 +49,11 @@ def casefold(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(_icu("lang.UCharacter", "foldCase", text))
 
 
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def display_normalize(text: Column | str) -> Column:
@@ -125,7 +128,7 @@ def words(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.size(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
+    return F.regexp_count(text, F.lit(WORD))
 
 
 def count_of(text: Column, what: str) -> Column:

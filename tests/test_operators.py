@@ -1,6 +1,7 @@
 import datetime as dt
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from lipigraph.functions import entities as E
@@ -339,3 +340,39 @@ def test_stages(spark):
     got = {r.id: tuple(r)[1:] for r in progress.staged(docs, states).collect()}
     assert got["a"] == ("failed", None, None, None) and got["b"] == ("processed", "ready", None, None) and got["c"][1] == got["g"][1] == "parsing"
     assert got["d"] == ("processing", "translating", 3, 5) and got["e"][1] == "scoring" and got["f"] == ("processing", "translating", 4, 9) and got["h"] == ("exported", None, None, None)
+
+
+def test_background_jobs_and_messages(spark):
+    assert progress.Background(lambda: 1).wait(10) == "processed"
+    job = progress.Background(lambda: 1 / 0)
+    assert job.wait(10) == "failed" and "division" in job.error
+    staged = spark.createDataFrame([("a", "processing", "translating", 3, 5), ("b", "failed", None, None, None)], "id string, status string, step string, progress long, total long")
+    got = {r.id: r.message for r in progress.messages(staged).collect()}
+    assert got == {"a": 'data: {"status":"processing","step":"translating","progress":3,"total":5}\n\n', "b": 'data: {"status":"failed"}\n\n'}
+
+
+def test_packs_are_written(spark, tmp_path):
+    sinks.write_pack(*feedback.pack(*_reviewed(spark)), str(tmp_path / "pack"))
+    rows = spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "pack/approved_segments"))
+    assert rows.count() == 3 and "source_text_redacted" in rows.columns
+    assert spark.read.json(str(tmp_path / "pack/manifest")).first().redaction_mode == "protected_entity_placeholders_v1"
+
+
+def test_a_cluster_names_its_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from lipigraph import session
+
+    none = SimpleNamespace(get=lambda *a: None)
+    far = SimpleNamespace(conf=none, sparkContext=SimpleNamespace(_conf=none, master="spark://host:7077", getCheckpointDir=lambda: None))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_dir(far)
+
+
+def test_sql_functions(spark):
+    from lipigraph.functions import register
+
+    assert {"normalize_text", "detect_entities", "segment_text"} <= set(register.register(spark))
+    r = spark.sql("SELECT normalize_text(' Ｆｕｌｌ  X ') AS n, normalize_text(NULL) AS e, to_native_digits('12') AS d, scope_of(' ') AS s, detect_entities('a@b.co')[0].kind AS k").first()
+    assert tuple(r) == ("full x", "", "१२", "__none__", "email")
+    assert [tuple(x) for x in spark.sql("SELECT * FROM segment_text('one\n\ntwo')").collect()] == [(1, "one"), (2, "two")]
