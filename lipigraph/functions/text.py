@@ -72,11 +72,6 @@ def sanitize_unicode(text: Column | str) -> Column:
     return F.when(c.isNotNull(), F.regexp_replace(compatible(c), r"[\p{C}&&[^\n\r\t]]", ""))
 
 
-def collapse(text: Column) -> Column:
-    """Single spaces between words; the display form of texts that are in compatibility form already."""
-    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
-
-
 def contains_devanagari(text: Column) -> Column:
     return text.rlike(r"[ऀ-ॿ]")
 

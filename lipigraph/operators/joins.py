@@ -16,12 +16,6 @@ SCOPE = ["source_lang", "target_lang", "domain", "subdomain"]
 MAX_DICTIONARY = 50_000
 
 
-def with_translation(segments: DataFrame, translations: DataFrame, how: str = "left") -> DataFrame:
-    """Segments beside their one translation, if any."""
-    right = translations.select(F.col("segment_id").alias("id"), F.col("id").alias("translation_id"), *(F.col(c).alias(f"translation_{c}" if c == "status" else c) for c in ("candidate_text", "approved_text", "source_type", "provider_name", "memory_entry_id", "risk_score", "risk_reasons", "status", "is_repaired")))
-    return segments.join(right, "id", how)
-
-
 def provenance(translations: DataFrame, memory: DataFrame, documents: DataFrame) -> DataFrame:
     """Translations with the memory entry they came from and the file in which that was approved; a missing link stays null."""
     m = memory.select(F.col("id").alias("memory_entry_id"), "created_from_document_id", "approved_by", "times_used")

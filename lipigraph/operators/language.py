@@ -41,9 +41,8 @@ def letters(text: Column, range_: str) -> Column:
     return F.length(F.regexp_replace(text, f"[^{range_}]", ""))
 
 
-def phrase_scores(text: Column) -> dict[str, Column]:
-    """What the telling phrases of each language in a text add."""
-    plain = T.normalize_text(text)
+def phrase_scores(plain: Column) -> dict[str, Column]:
+    """What the telling phrases of each language in a normalised text add."""
     out = {}
     for x in LANGS:
         known = [values.PHRASES[k][x].lower() for k in values.TELLING_PHRASES]
@@ -55,8 +54,9 @@ def scores(texts: DataFrame, weights: DataFrame, key: str, text: str = "text") -
     """(key, s_en, s_ne, s_tmg, latin, native) for one text of each key: weighted words and phrases, and the bonus of Latin script for English."""
     if weights.limit(MAX_WEIGHTS + 1).count() > MAX_WEIGHTS:
         raise ValueError(f"more than {MAX_WEIGHTS} weighted words")
-    phrases = phrase_scores(F.col(text))
-    base = texts.select(key, letters(F.col(text), "A-Za-z").alias("latin"), letters(F.col(text), "ऀ-ॿ").alias("native"), *(phrases[x].alias(f"p_{x}") for x in LANGS), tokens(F.col(text)).alias("tokens"))
+    phrases = phrase_scores(F.col("_plain"))
+    # The normal form stands in a projection of its own, so that it is made once a text.
+    base = texts.withColumn("_plain", T.normalize_text(text)).select(key, letters(F.col(text), "A-Za-z").alias("latin"), letters(F.col(text), "ऀ-ॿ").alias("native"), *(phrases[x].alias(f"p_{x}") for x in LANGS), F.regexp_extract_all("_plain", F.lit(TOKEN), F.lit(0)).alias("tokens"))
     known = base.select(key, "latin", "native", *(f"p_{x}" for x in LANGS), F.explode_outer("tokens").alias("token")).join(F.broadcast(weights), "token", "left")
     # Integer hundredths, so that sums don't depend on their order.
     sums = [F.coalesce(F.sum(F.when(F.col("lang") == x, F.round(F.col("weight") * 100).cast("long"))), F.lit(0)).alias(f"w_{x}") for x in LANGS]
